@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, url_filter
+from . import bpe, fingerprint, mixing, url_filter
 from .common import read
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -19,6 +20,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules, listed).drop("url")
 
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bpe.encode(read(spark, sf_dir, "documents"), VOCABULARY, outputs=("n_tokens", "packed", "decoded"), keep=["doc_id"])
+    return made.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -27,5 +36,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edited(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op8_source_mixing, op9_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op5_bpe, op8_source_mixing, op9_fingerprints)}
 ORACLES: dict[str, str] = {}
