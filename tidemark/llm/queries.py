@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, minhash, mixing, quality, repeats, url_filter
+from . import bpe, fingerprint, katz, minhash, mixing, quality, repeats, url_filter
 from .common import read
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -43,6 +43,12 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = quality.fold() == 1
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", side.alias("held_out"), (~side).alias("train"))
+    return katz.score_texts(docs)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -51,5 +57,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edited(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_near_duplicates, op4_quality, op5_bpe, op6_repeats, op8_source_mixing, op9_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_near_duplicates, op4_quality, op5_bpe, op6_repeats, op7_katz, op8_source_mixing, op9_fingerprints)}
 ORACLES: dict[str, str] = {}

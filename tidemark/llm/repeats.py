@@ -24,49 +24,26 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import SPAN, anchors
+from .bundles import beside, bundled, unpack
 from .common import stored
 from .graph import bounds, groups
-from .words import U, chunks, mix, raw
+from .words import U, mix
 
 BUNDLE_BYTES = 1 << 20
 CROWD = 4096
 SORTED_BYTES = 4 << 20
 
-def _bundles(docs: DataFrame) -> DataFrame:
-    """bundle, z, ends, rest: the other columns of each text."""
-    rest = [c for c in docs.columns if c != "text"]
-    given = docs.select("text", F.struct(*rest).alias("rest"))
-    kind = given.schema["rest"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            column = batch.column("text")
-            for at, to in chunks(column, BUNDLE_BYTES):
-                body, ends = raw(column.slice(at, to - at))
-                rest = batch.column("rest").slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([pa.array([pack.compress(body.tobytes())], pa.binary()), pa.array([ends], pa.list_(pa.int64())), pa.ListArray.from_arrays([0, to - at], pa.concat_arrays([rest]))], ["z", "ends", "rest"])
-
-    packed = given.mapInArrow(run, f"z binary, ends array<long>, rest array<{kind}>")
-    return stored(packed.withColumn("bundle", F.monotonically_increasing_id()), "bundles")
-
-
-def _body(z: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
-
-
 def _anchors(bundles: DataFrame) -> DataFrame:
     """anchor, context, bundle, spots: of each different context in a bundle, the places and lengths of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bundle, z, ends in zip(*(batch.column(c) for c in ("bundle", "z", "ends")), strict=True):
-                body, ends = _body(z.as_py()), ends.values.to_numpy()
+                body, ends = unpack(z.as_py()), ends.values.to_numpy()
                 found = [(x[0], x[1], x[2] + a, x[3]) for a, x in ((a, anchors(body[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True) if b - a >= SPAN)]
                 if not found:
                     continue
@@ -137,15 +114,6 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _beside(bundles: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
-    """Each bundle's row, and after it the rows of spans for it, side by side in one partition."""
-    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
-    own = [c for c in bundles.columns if c != "bundle"]
-    left = bundles.select("bundle", F.lit(0).alias("kind"), *own, *(none(spans, c) for c in columns))
-    right = spans.select("bundle", F.lit(1).alias("kind"), *(none(bundles, c) for c in own), *columns)
-    return left.unionByName(right).repartition("bundle").sortWithinPartitions("bundle", "kind")
-
-
 def _contexts(bundles: DataFrame, judged: DataFrame) -> DataFrame:
     """anchor, bundle, spot, bytes of each different context that is an edge."""
     edges = judged.where("edge").select("bundle", "spots", "anchor")
@@ -156,13 +124,13 @@ def _contexts(bundles: DataFrame, judged: DataFrame) -> DataFrame:
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 if j - i < 2:
                     continue
-                body = _body(whole.column("z")[i].as_py())
+                body = unpack(whole.column("z")[i].as_py())
                 part = whole.slice(i + 1, j - i - 1)
                 spot = np.array([int.from_bytes(s[:8], "little") for s in part.column("spots").to_pylist()])
                 data = [body[s >> 8 : (s >> 8) + (s & 255) + SPAN].tobytes() for s in spot.tolist()]
                 yield pa.RecordBatch.from_arrays([part.column("anchor"), part.column("bundle"), pa.array(spot), pa.array(data, pa.binary())], ["anchor", "bundle", "spot", "bytes"])
 
-    rows = _beside(bundles.select("bundle", "z"), edges, ["spots", "anchor"])
+    rows = beside(bundles.select("bundle", "z"), edges, ["spots", "anchor"])
     return stored(rows.mapInArrow(run, "anchor long, bundle long, spot long, bytes binary"), "contexts")
 
 
@@ -277,7 +245,7 @@ def _counted_spans(contexts: DataFrame) -> DataFrame:
 
 def _removed(docs: DataFrame) -> DataFrame:
     """The bundles' rows, each followed by the spans to remove from it."""
-    bundles = _bundles(docs)
+    bundles = bundled(docs, BUNDLE_BYTES)
     judged = stored(_judged(_anchors(bundles)), "judged")
     contexts = _contexts(bundles, judged)
     crowded = stored(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {CROWD}").select("anchor"), "crowded")
@@ -286,7 +254,7 @@ def _removed(docs: DataFrame) -> DataFrame:
         few = contexts.join(crowded, "anchor", "left_semi")
         spans = spans.unionByName(_counted_spans(few))
     whole = judged.where("whole").select("bundle", "spots", F.lit(True).alias("whole"))
-    return _beside(bundles, whole.unionByName(spans.select("bundle", "spots", F.lit(False).alias("whole"))), ["spots", "whole"])
+    return beside(bundles, whole.unionByName(spans.select("bundle", "spots", F.lit(False).alias("whole"))), ["spots", "whole"])
 
 
 def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("kept", "n_bytes", "n_removed", "n_spans")) -> DataFrame:
@@ -300,7 +268,7 @@ def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("kept", "n_bytes
         for group in groups(batches, ["bundle"]):
             cut = bounds(group, ["bundle"])
             for i, j in zip(cut[:-1], cut[1:], strict=True):
-                body = _body(group.column("z")[i].as_py())
+                body = unpack(group.column("z")[i].as_py())
                 ends = group.column("ends")[i].values.to_numpy()
                 step = np.zeros(len(body) + 1, np.int32)
                 part = group.slice(i + 1, j - i - 1)
