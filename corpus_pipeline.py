@@ -1,8 +1,65 @@
-"""The corpus pipeline: five stages, each one of the corpus operators, applied in turn to `documents`."""
+"""The corpus pipeline over `documents`: five stages, each one of the corpus operators.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame; all but the last
+return the columns of documents. Between stages the rows are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import bpe, minhash, mixing, quality, repeats
+from tidemark.llm.common import read, stored
+from tidemark.llm.queries import VOCABULARY
+from tidemark.session import ship
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from the labels beside the documents."""
+    ship(spark)
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    ship(spark)
+    return minhash.drop_near_duplicates(docs)
+
+
+def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 200 bytes and more that occur more than once; n_chars follows."""
+    ship(spark)
+    return repeats.without_repeats(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    ship(spark)
+    return mixing.mixed(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars with n_tokens and token ids."""
+    ship(spark)
+    return bpe.encode(docs, VOCABULARY, outputs=("n_tokens", "ids"), keep=[c for c in docs.columns if c != "text"])
+
+
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("near_dedup", near_dedup),
+    ("repeat_dedup", repeat_dedup),
+    ("source_mixing", source_mixing),
+    ("tokenize", tokenize),
+]
+
+#: A trained classifier, MinHash groups and a tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
+    return docs
