@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, katz, minhash, mixing, quality, repeats, url_filter
+from . import bpe, fingerprint, katz, minhash, mixing, quality, repeats, search, url_filter
 from .common import read
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -57,5 +57,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edited(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_near_duplicates, op4_quality, op5_bpe, op6_repeats, op7_katz, op8_source_mixing, op9_fingerprints)}
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where(search.is_query()).select(F.col("doc_id").alias("query_id"), "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_near_duplicates, op4_quality, op5_bpe, op6_repeats, op7_katz, op8_source_mixing, op9_fingerprints, op10_search)}
 ORACLES: dict[str, str] = {}
