@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, katz, minhash, mixing, quality, repeats, search, url_filter
+from . import bpe, extract, fingerprint, katz, minhash, mixing, quality, repeats, search, url_filter
 from .common import read
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -20,6 +20,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules, listed).drop("url")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("th", "label")
 
@@ -62,5 +66,5 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(docs, docs.where(search.is_query()).select(F.col("doc_id").alias("query_id"), "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_near_duplicates, op4_quality, op5_bpe, op6_repeats, op7_katz, op8_source_mixing, op9_fingerprints, op10_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_html_text, op3_near_duplicates, op4_quality, op5_bpe, op6_repeats, op7_katz, op8_source_mixing, op9_fingerprints, op10_search)}
 ORACLES: dict[str, str] = {}
