@@ -2,6 +2,31 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.sources.bars import SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "a1_ticker_performance"
+
+
+def query(name: str, oracle: str | None = None, base: bool = True):
+    """Register a query; oracle is SQL over the tables (with the market tables as common table expressions if base)."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if oracle:
+            body = oracle.strip()
+            if base:
+                start = next((k for k in ("WITH RECURSIVE ", "WITH ") if body.startswith(k)), "")
+                body = f"{start or 'WITH '}{SQL}{', ' if start else ' '}{body[len(start):]}"
+            ORACLES[name] = body
+        return f
+
+    return add
+
+
+from tidemark.plans import allocation, calendar, income, ingest, market, paths, portfolio_risk  # noqa: E402, F401
