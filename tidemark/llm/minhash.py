@@ -4,10 +4,14 @@ A text's set holds its distinct 5-word shingles. Texts with equal sets are one n
 ROWS of them at a time make a band key, and nodes that share a band key are candidates. Of every minimum the low BITS are
 kept and packed; the share of equal low bits, corrected for chance hits, estimates the similarity of a candidate pair.
 
-Links are confirmed on full sets, in two passes that emit no group's pairs wholesale:
-1. each node against the smallest nodes of its buckets, best estimate first: one pair a node. Components follow;
-2. buckets that still hold several components, compared block by block across components; pairs whose estimate is not
-   MARGIN below the limit are confirmed. Large buckets are cut into blocks that go to different tasks.
+Links are confirmed on full sets, in passes that emit no group's pairs wholesale:
+1. each node against the most central nodes of its buckets (those with the most company over all buckets), the best
+   NEAREST estimates. Components follow;
+2. buckets that still hold several components, compared block by block across components: for each node the best NEAREST
+   estimates, again and again while that joins components;
+3. components between which an estimate is not MARGIN below the limit form families; a family's nodes come together with
+   their full sets, in blocks, and every such pair across components is decided there; only links leave a block.
+Large buckets and families are cut into blocks that go to different tasks.
 A pair at the limit shares no band with probability (1 - 0.75**ROWS)**BANDS, about 3e-7.
 
 Cases: null, empty or blank texts have no set, are linked with nothing and are their own component; a text of fewer
@@ -35,6 +39,7 @@ HASHES = ROWS * BANDS
 NUMERATOR, DENOMINATOR = 75, 100
 MARGIN = 0.12
 BLOCK = 1024
+NEAREST = 2
 
 _seeds = np.random.Generator(np.random.PCG64(31))
 _A = _seeds.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -141,6 +146,15 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(own.mapInArrow(run, "node long, set binary").join(small(ids.select("node"), n, 24), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two full sets (sorted) have NUMERATOR / DENOMINATOR of their union in common."""
+    if DENOMINATOR * min(len(x), len(y)) < NUMERATOR * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs(u, v) with NUMERATOR / DENOMINATOR of their union in common, by full sets."""
     side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
@@ -149,20 +163,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             ok = []
             for x, y in zip(b.column("set_u"), b.column("set_v"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), U) for s in (x, y))
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
+                ok.append(linked(*(np.frombuffer(s.as_buffer(), U) for s in (x, y))))
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("u").filter(ok), b.column("v").filter(ok)], ["u", "v"])
 
     return pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long")
 
 
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of members(key, node) with different labels in one bucket, if their estimate is not far below the limit.
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """u, v of the NEAREST best estimates of each v."""
+    order = Window.partitionBy("v").orderBy(F.desc("est"), "u")
+    top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= NEAREST)
+    return top.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
 
-    Of a bucket, the members of its largest component are `main`, the rest `other`. Every block of others meets every block
+def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """block, node, label, is_main: the members(key, node) of keys that hold several labels, dealt to blocks.
+
+    Of a key, the members of its largest component are `main`, the rest `other`. Every block of others meets every block
     of main members and of others; a block has BLOCK members of a kind at most, on average.
     """
     of = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -177,7 +195,18 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFram
     to_other = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.least(j, "b").alias("i"), F.greatest(j, "b").alias("j")))
     main = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.col("b").alias("i"), j.alias("j")))
     part = part.withColumn("at", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(to_main, to_other))))
-    part = part.select(F.xxhash64("key", "at").alias("block"), "node", "label", F.col("at.kind").alias("kind"), "is_main").join(nodes.select("node", "sig"), "node")
+    return part.select(F.xxhash64("key", "at").alias("block"), "node", "label", "is_main")
+
+
+def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
+    """What links members(key, node) of different labels may have, by estimates that are not far below the limit.
+
+    how: `best` gives u, v of each node outside the largest component of a key with its best partners; `labels` gives u, v,
+    each pair of labels with such an estimate once a block; `links` gives u, v of the links themselves, confirmed on the
+    full sets, which nodes then has as `set`.
+    """
+    columns = ["node", "sig", "set"] if how == "links" else ["node", "sig"]
+    part = _blocks(members, labels).join(nodes.select(*columns), "node")
     low = NUMERATOR / DENOMINATOR - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,23 +214,32 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFram
             node, label = (whole.column(c).to_numpy() for c in ("node", "label"))
             main = whole.column("is_main").to_numpy(zero_copy_only=False)
             sig = np.frombuffer(b"".join(whole.column("sig").to_pylist()), np.uint8).reshape(whole.num_rows, -1)
+            sets = [np.frombuffer(s.as_buffer(), U) for s in whole.column("set")] if how == "links" else []
             edge = bounds(whole, ["block"])
-            us, vs = [], []
+            us, vs, es = [], [], []
             for a, z in zip(edge[:-1], edge[1:], strict=True):
                 inside = np.arange(a, z)
                 others = inside[~main[a:z]]
                 against = inside[main[a:z]] if main[a:z].any() else others
                 for x in others:
                     y = against[label[against] != label[x]]
-                    y = y[similarity(sig[x], sig[y]) >= low] if len(y) else y
-                    us.append(np.full(len(y), node[x]))
-                    vs.append(node[y])
+                    est = similarity(sig[x], sig[y])
+                    near = np.flatnonzero(est >= low)
+                    if how == "best" and len(near):
+                        near = near[[est[near].argmax()]]
+                    elif how == "labels":
+                        near = near[np.unique(label[y[near]], return_index=True)[1]]
+                    elif how == "links":
+                        near = near[[linked(sets[x], sets[k]) for k in y[near]]] if len(near) else near
+                    of = label if how == "labels" else node
+                    us.append(of[y[near]])
+                    vs.append(np.full(len(near), of[x]))
+                    es.append(est[near])
             if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, es)], ["u", "v", "est"])
 
-    found = part.repartition("block").sortWithinPartitions("block", "is_main").mapInArrow(run, "u long, v long")
-    return found.distinct()
+    found = part.repartition("block").sortWithinPartitions("block", "is_main").mapInArrow(run, "u long, v long, est double")
+    return _nearest(found.distinct()) if how == "best" else found.select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -210,18 +248,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stored(rows.where("node is not null").select("node", "sig").dropDuplicates(["node"]), "nodes")
     keyed = rows.where("node is not null").select("node", F.explode("bands").alias("key")).distinct()
     in_bucket = Window.partitionBy("key")
-    members = stored(keyed.select("key", "node", F.count("*").over(in_bucket).alias("n"), F.min("node").over(in_bucket).alias("first")).where("n > 1").drop("n"), "members")
+    members = stored(keyed.select("key", "node", F.count("*").over(in_bucket).alias("n")).where("n > 1"), "members")
 
-    # pass 1: the best of a node's bucket leaders
-    pairs = members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    best = stored(_estimated(pairs, nodes).groupBy("v").agg(F.max_by("u", F.struct("est", "u")).alias("u")).select("u", "v"), "pairs")
-    links = stored(_confirmed(best, _sets(docs, rows, best)), "links")
+    central = members.groupBy("node").agg(F.sum("n").alias("company"))
+    lead = members.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("u"))
+    pairs = members.join(lead, "key").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    tried = stored(_nearest(_estimated(pairs, nodes)), "pairs")
+    links = stored(_confirmed(tried, _sets(docs, rows, tried)), "links")
     labels = components(links)
-
-    # pass 2: what is left between components
-    rest = stored(_across(members, labels, nodes).join(best, ["u", "v"], "left_anti"), "pairs")
-    more = _confirmed(rest, _sets(docs, rows, rest))
-    labels = components(stored(links.union(more), "links"))
+    while True:
+        pairs = stored(_across(members, labels, nodes, "best").join(tried, ["u", "v"], "left_anti"), "pairs")
+        found = stored(_confirmed(pairs, _sets(docs, rows, pairs)), "links")
+        if not found.limit(1).count():
+            break
+        tried, links = tried.union(pairs), links.union(found)
+        labels = components(links)
+
+    # components that may still be linked meet with their full sets, each node once
+    near = stored(_across(members, labels, nodes, "labels"), "pairs")
+    if near.limit(1).count():
+        family = components(near).select(F.col("node").alias("label"), F.col("label").alias("key"))
+        every = nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = stored(every.join(family, "label").select("key", "node"), "members")
+        full = nodes.join(_sets(docs, rows, rest.select(F.col("node").alias("u"), F.col("node").alias("v"))), "node")
+        labels = components(stored(links.union(_across(rest, labels, full, "links")), "links"))
 
     of = rows.join(labels, "node", "left").select("doc_id", "th", "n_shingles", F.coalesce("label", "node").alias("label"))
     ids = of.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
