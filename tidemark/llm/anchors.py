@@ -13,7 +13,7 @@ from .words import U, _LETTER, mix, powers
 SPAN = 200
 K = 100
 WINDOW = SPAN - K + 1
-PIECE = 4 << 20  # a longer body is read in pieces that overlap by SPAN - 1 bytes
+PIECE = 1 << 20  # a longer body is read in pieces that overlap by SPAN - 1 bytes
 _TOP = PIECE + 4 * SPAN
 _PLACE = U((1 << 24) - 1)
 

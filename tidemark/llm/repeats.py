@@ -35,7 +35,7 @@ from .words import U, mix
 
 BUNDLE_BYTES = 1 << 20
 CROWD = 4096
-SORTED_BYTES = 4 << 20
+SORTED_BYTES = 1 << 20
 
 def _anchors(bundles: DataFrame) -> DataFrame:
     """anchor, context, bundle, spots: of each different context in a bundle, the places and lengths of its runs."""
