@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 END = "\n"  # stands for the end-of-word suffix; no vocabulary character is a blank
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 100_000
+CACHE_PAIRS = 250_000
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 KINDS = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "packed": T.BinaryType(), "decoded": T.StringType()}
 
