@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.bars import BY_DATE
+from tidemark.sources.bars import by_date
 
 
 def rows(n: int):
-    return BY_DATE.rowsBetween(1 - n, 0)
+    return by_date().rowsBetween(1 - n, 0)
 
 
 def full(x: Column, n: int) -> Column:
@@ -37,7 +37,7 @@ def ema(prices: DataFrame, n: int = 20) -> DataFrame:
 
 def rsi(prices: DataFrame, n: int = 14) -> DataFrame:
     """Relative strength by plain averages of the last n gains and losses; 100 without losses."""
-    d = prices.withColumn("d", F.col("close") - F.lag("close").over(BY_DATE)).where("d is not null")
+    d = prices.withColumn("d", F.col("close") - F.lag("close").over(by_date())).where("d is not null")
     gain, loss = F.avg(F.greatest("d", F.lit(0.0))).over(rows(n)), F.avg(F.greatest(-F.col("d"), F.lit(0.0))).over(rows(n))
     x = d.withColumns({"gain": full(gain, n), "loss": full(loss, n)})
     return x.select("ticker", "date", F.when(F.col("loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("gain", "loss"))).alias("rsi"))
@@ -57,8 +57,8 @@ def fill_gaps(panel: DataFrame, column: str, limit: int = 5) -> DataFrame:
 
     Lines reach up to `limit` rows from the known row before or after; outside the known range the nearest value is used.
     """
-    p = panel.withColumn("rn", F.row_number().over(BY_DATE))
-    back, on = BY_DATE.rowsBetween(Window.unboundedPreceding, 0), BY_DATE.rowsBetween(0, Window.unboundedFollowing)
+    p = panel.withColumn("rn", F.row_number().over(by_date()))
+    back, on = by_date().rowsBetween(Window.unboundedPreceding, 0), by_date().rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col(column).isNotNull(), F.struct("rn", F.col(column).alias("v")))
     p = p.withColumns({"a": F.last(known, ignorenulls=True).over(back), "z": F.first(known, ignorenulls=True).over(on)})
     near = (F.col("rn") - F.col("a.rn") <= limit) | (F.col("z.rn") - F.col("rn") <= limit)
@@ -68,7 +68,7 @@ def fill_gaps(panel: DataFrame, column: str, limit: int = 5) -> DataFrame:
 
 def autocorrelation(rets: DataFrame, lags: int = 50) -> DataFrame:
     """ticker, lag, rho for lags 1..lags: every row meets its own later rows by position; one equi-join on shifted numbers."""
-    n = rets.withColumn("rn", F.row_number().over(BY_DATE)).select("ticker", "rn", "ret")
+    n = rets.withColumn("rn", F.row_number().over(by_date())).select("ticker", "rn", "ret")
     shifted = n.select("ticker", F.col("ret").alias("y"), F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "rn").select("ticker", "y", "lag", (F.col("rn") - F.col("lag")).alias("rn"))
     return n.join(shifted, ["ticker", "rn"]).groupBy("ticker", "lag").agg(F.corr("ret", "y").alias("rho"), F.count("*").alias("n"))
 

@@ -8,23 +8,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.optimize import equal_risk, least_variance, matrix, most_sharpe
 
-BOOK = Window.partitionBy("portfolio")
+
+def book() -> WindowSpec:
+    return Window.partitionBy("portfolio")
 SOLVED = "portfolio string, ticker string, w double"
 
 
 def equal_weights(members: DataFrame) -> DataFrame:
-    return members.withColumn("w", 1 / F.count("*").over(BOOK))
+    return members.withColumn("w", 1 / F.count("*").over(book()))
 
 
 def proportional(members: DataFrame, column: str) -> DataFrame:
     """Weights in proportion to a column; unknown counts as 0; equal where nothing is known."""
-    total = F.sum(F.coalesce(F.col(column), F.lit(0.0))).over(BOOK)
-    return members.withColumn("w", F.when(total > 0, F.coalesce(F.col(column), F.lit(0.0)) / total).otherwise(1 / F.count("*").over(BOOK)))
+    total = F.sum(F.coalesce(F.col(column), F.lit(0.0))).over(book())
+    return members.withColumn("w", F.when(total > 0, F.coalesce(F.col(column), F.lit(0.0)) / total).otherwise(1 / F.count("*").over(book())))
 
 
 def tail(rets: DataFrame, days: int) -> DataFrame:
@@ -35,9 +37,9 @@ def tail(rets: DataFrame, days: int) -> DataFrame:
 def momentum(rets: DataFrame, days: int = 60, top: int = 5) -> DataFrame:
     """1 / top to each of the `top` best compound returns over the last days; with fewer assets the rest stays in cash."""
     m = tail(rets, days).groupBy("portfolio", "ticker").agg(F.exp(F.sum(F.log1p("ret"))).alias("m"), F.count("*").alias("n"))
-    rank = F.row_number().over(BOOK.orderBy(F.desc("m"), "ticker"))
-    short = F.min("n").over(BOOK) < days
-    return m.withColumns({"rank": rank, "short": short, "k": F.count("*").over(BOOK)}).select("portfolio", "ticker", F.when(F.col("short"), 1 / F.col("k")).when(F.col("rank") <= top, F.lit(1.0 / top)).otherwise(0.0).alias("w"))
+    rank = F.row_number().over(book().orderBy(F.desc("m"), "ticker"))
+    short = F.min("n").over(book()) < days
+    return m.withColumns({"rank": rank, "short": short, "k": F.count("*").over(book())}).select("portfolio", "ticker", F.when(F.col("short"), 1 / F.col("k")).when(F.col("rank") <= top, F.lit(1.0 / top)).otherwise(0.0).alias("w"))
 
 
 def inverse_volatility(rets: DataFrame, days: int = 60) -> DataFrame:
@@ -165,12 +167,12 @@ def marked(held: DataFrame, last: DataFrame) -> DataFrame:
     value = F.coalesce("close", "avg_cost") * F.col("shares")
     x = x.withColumns({"cost_basis": F.col("avg_cost") * F.col("shares"), "market_value": value})
     x = x.withColumns({"pnl": F.col("market_value") - F.col("cost_basis"), "pnl_pct": F.try_divide(F.col("market_value") - F.col("cost_basis"), F.col("cost_basis")) * 100})
-    return x.withColumn("weight", F.try_divide(F.col("market_value"), F.sum("market_value").over(BOOK) + F.col("cash")))
+    return x.withColumn("weight", F.try_divide(F.col("market_value"), F.sum("market_value").over(book()) + F.col("cash")))
 
 
 def rebalancing_trades(held: DataFrame, targets: DataFrame, least: float = 1.0) -> DataFrame:
     """Shares to trade toward target weights; under `least` of value nothing, and sales are limited to what is held."""
-    total = F.sum("market_value").over(BOOK) + F.col("cash")
+    total = F.sum("market_value").over(book()) + F.col("cash")
     x = held.join(targets, ["portfolio", "ticker"]).withColumn("want", F.col("w") * total - F.col("market_value"))
     traded = F.when(F.abs("want") < least, 0.0).when(F.col("want") < 0, -F.least(F.col("shares"), -F.col("want") / F.col("close"))).otherwise(F.col("want") / F.col("close"))
     return x.select("portfolio", "ticker", traded.alias("shares"))

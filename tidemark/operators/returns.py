@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.sources.bars import BY_DATE
+from tidemark.sources.bars import by_date
 
-TO_DATE = BY_DATE.rowsBetween(Window.unboundedPreceding, 0)
-WHOLE = Window.partitionBy("ticker")
+
+def to_date() -> WindowSpec:
+    return by_date().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("ticker")
 LIMITS = (-0.5, 2.0)
 
 
 def log_returns(prices: DataFrame) -> DataFrame:
-    return prices.withColumn("log_ret", F.log(F.col("close") / F.lag("close").over(BY_DATE))).where("log_ret is not null")
+    return prices.withColumn("log_ret", F.log(F.col("close") / F.lag("close").over(by_date()))).where("log_ret is not null")
 
 
 def usable(prices: DataFrame, least_prices: int = 252, least_returns: int = 50) -> DataFrame:
     """Clipped returns of positive prices, of tickers with enough of both."""
-    clean = prices.where("close > 0").withColumn("n_prices", F.count("*").over(WHOLE)).where(F.col("n_prices") >= least_prices)
-    r = clean.withColumn("ret", F.col("close") / F.lag("close").over(BY_DATE) - 1).where("ret is not null")
+    clean = prices.where("close > 0").withColumn("n_prices", F.count("*").over(whole())).where(F.col("n_prices") >= least_prices)
+    r = clean.withColumn("ret", F.col("close") / F.lag("close").over(by_date()) - 1).where("ret is not null")
     clipped = r.withColumn("ret", F.greatest(F.lit(LIMITS[0]), F.least(F.lit(LIMITS[1]), F.col("ret"))))
-    return clipped.withColumn("n", F.count("*").over(WHOLE)).where(F.col("n") >= least_returns).select("ticker", "date", "ret")
+    return clipped.withColumn("n", F.count("*").over(whole())).where(F.col("n") >= least_returns).select("ticker", "date", "ret")
 
 
 def consistent() -> Column:
@@ -33,8 +38,8 @@ def consistent() -> Column:
 
 def clean(prices: DataFrame, jump: float = 0.5) -> DataFrame:
     """Consistent bars after a change of at most `jump`; a ticker's first bar has no change and goes."""
-    filled = prices.withColumn("close", F.last("close", ignorenulls=True).over(TO_DATE))
-    change = F.abs(F.col("close") / F.lag("close").over(BY_DATE) - 1)
+    filled = prices.withColumn("close", F.last("close", ignorenulls=True).over(to_date()))
+    change = F.abs(F.col("close") / F.lag("close").over(by_date()) - 1)
     return filled.withColumn("change", change).where(F.col("change") <= jump).where(consistent()).drop("change")
 
 
@@ -47,25 +52,25 @@ def standardized(prices: DataFrame) -> DataFrame:
 def clip_outliers(rets: DataFrame, sigmas: float) -> DataFrame:
     """Returns within mean +- sigmas deviations of their ticker; rows that are not finite go."""
     finite = rets.where("ret is not null and not isnan(ret) and abs(ret) < double('infinity')")
-    m, s = F.avg("ret").over(WHOLE), F.stddev_samp("ret").over(WHOLE)
+    m, s = F.avg("ret").over(whole()), F.stddev_samp("ret").over(whole())
     wide = finite.withColumns({"m": m, "s": F.coalesce(s, F.lit(0.0))})
     return wide.withColumn("clipped", F.greatest(F.col("m") - sigmas * F.col("s"), F.least(F.col("m") + sigmas * F.col("s"), F.col("ret")))).drop("m", "s")
 
 
 def rescale_small(rets: DataFrame, below: float = 0.01) -> DataFrame:
     """Percent in place of shares where a ticker's deviation is small."""
-    return rets.withColumn("scaled", F.when(F.stddev_samp("ret").over(WHOLE) < below, F.col("ret") * 100).otherwise(F.col("ret")))
+    return rets.withColumn("scaled", F.when(F.stddev_samp("ret").over(whole()) < below, F.col("ret") * 100).otherwise(F.col("ret")))
 
 
 def normalized(prices: DataFrame) -> DataFrame:
     """Percent from the first close."""
-    return prices.withColumn("pct", (F.col("close") / F.first("close").over(TO_DATE) - 1) * 100)
+    return prices.withColumn("pct", (F.col("close") / F.first("close").over(to_date()) - 1) * 100)
 
 
 def downsample(prices: DataFrame, most: int, keep_last: bool = True) -> DataFrame:
     """Every k-th bar of each ticker, such that at most `most` (and perhaps the last) remain."""
-    n = F.count("*").over(WHOLE)
-    rn = F.row_number().over(BY_DATE)
+    n = F.count("*").over(whole())
+    rn = F.row_number().over(by_date())
     marked = prices.withColumns({"n": n, "rn": rn}).withColumn("k", F.ceil(F.col("n") / most))
     pick = (F.col("rn") - 1) % F.col("k") == 0
     return marked.where(pick | (F.col("rn") == F.col("n")) if keep_last else pick).drop("n", "rn", "k")
@@ -73,8 +78,8 @@ def downsample(prices: DataFrame, most: int, keep_last: bool = True) -> DataFram
 
 def cumulative(rets: DataFrame) -> DataFrame:
     """Growth of 1, running maximum (at least the start) and drawdown (not positive) along each series."""
-    g = rets.withColumn("growth", F.exp(F.sum(F.log1p("ret")).over(TO_DATE)))
-    g = g.withColumn("peak", F.greatest(F.lit(1.0), F.max("growth").over(TO_DATE)))
+    g = rets.withColumn("growth", F.exp(F.sum(F.log1p("ret")).over(to_date())))
+    g = g.withColumn("peak", F.greatest(F.lit(1.0), F.max("growth").over(to_date())))
     return g.withColumn("drawdown", F.col("growth") / F.col("peak") - 1)
 
 
@@ -96,7 +101,7 @@ def performance(rets: DataFrame) -> DataFrame:
 
 def expected_shortfall(rets: DataFrame, level: float = 0.95) -> DataFrame:
     """var and cvar (mean of returns at or below var) of each ticker."""
-    cut = F.percentile("ret", F.lit(1 - level)).over(WHOLE)
+    cut = F.percentile("ret", F.lit(1 - level)).over(whole())
     return rets.withColumn("cut", cut).groupBy("ticker").agg(F.first("cut").alias("var"), F.avg(F.when(F.col("ret") <= F.col("cut"), F.col("ret"))).alias("cvar"))
 
 
@@ -133,7 +138,7 @@ def period_returns(prices: DataFrame, unit: str) -> DataFrame:
 
 def block_returns(rets: DataFrame, days: int = 21) -> DataFrame:
     """Compound returns of consecutive blocks of days; the last block, full or not, goes when no more days follow it."""
-    rn = F.row_number().over(BY_DATE) - 1
-    n = F.count("*").over(WHOLE)
+    rn = F.row_number().over(by_date()) - 1
+    n = F.count("*").over(whole())
     b = rets.withColumns({"rn": rn, "n": n}).withColumn("block", F.floor(F.col("rn") / days))
     return b.where(F.col("block") * days < F.col("n") - days).groupBy("ticker", "block").agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"))

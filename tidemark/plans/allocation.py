@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
@@ -13,15 +13,17 @@ from tidemark.sources import bars as b
 
 Spark = SparkSession
 BOOKS = "bk AS (SELECT DISTINCT p_brand AS ticker, left(p_brand, 7) AS portfolio FROM part), pr AS (SELECT portfolio, ticker, date, ret FROM returns JOIN bk USING (ticker))"
-FAMILY = F.left("ticker", F.lit(7)).alias("portfolio")
+
+def family() -> Column:
+    return F.left("ticker", F.lit(7)).alias("portfolio")
 
 
 def booked(spark: Spark, d: str) -> DataFrame:
-    return b.returns(spark, d).select(FAMILY, "ticker", "date", "ret")
+    return b.returns(spark, d).select(family(), "ticker", "date", "ret")
 
 
 def members(spark: Spark, d: str) -> DataFrame:
-    return b.table(spark, d, "part").groupBy(F.col("p_brand").alias("ticker")).agg(F.sum("p_retailprice").alias("cap")).select(FAMILY, "ticker", "cap")
+    return b.table(spark, d, "part").groupBy(F.col("p_brand").alias("ticker")).agg(F.sum("p_retailprice").alias("cap")).select(family(), "ticker", "cap")
 
 
 @query("b1_equal_weights", "SELECT left(t, 7) AS portfolio, t AS ticker, round(1.0 / count(*) OVER (PARTITION BY left(t, 7)), 6) AS w FROM (SELECT DISTINCT p_brand AS t FROM part)", base=False)

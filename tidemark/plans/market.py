@@ -273,7 +273,7 @@ def w13_autocorrelation(spark: Spark, d: str) -> DataFrame:
 
 @query("w14_date_gaps", "SELECT ticker, round(avg(g), 6) AS mean_gap, CAST(max(g) AS INTEGER) AS max_gap FROM (SELECT ticker, date - lag(date) OVER (PARTITION BY ticker ORDER BY date) AS g FROM bars) GROUP BY 1")
 def w14_date_gaps(spark: Spark, d: str) -> DataFrame:
-    g = b.bars(spark, d).withColumn("g", F.datediff("date", F.lag("date").over(b.BY_DATE)))
+    g = b.bars(spark, d).withColumn("g", F.datediff("date", F.lag("date").over(b.by_date())))
     return rnd(g.groupBy("ticker").agg(F.avg("g").alias("mean_gap"), F.max("g").alias("max_gap")), "mean_gap")
 
 

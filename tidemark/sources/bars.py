@@ -6,10 +6,12 @@ full key, so ties cannot change them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("ticker").orderBy("date")
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,7 @@ def source_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simple_returns(prices: DataFrame, close: str = "close") -> DataFrame:
     """ticker, date, close, ret of every day but a ticker's first."""
-    return prices.select("ticker", "date", F.col(close).alias("close"), (F.col(close) / F.lag(close).over(BY_DATE) - 1).alias("ret")).where("ret is not null")
+    return prices.select("ticker", "date", F.col(close).alias("close"), (F.col(close) / F.lag(close).over(by_date()) - 1).alias("ret")).where("ret is not null")
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
