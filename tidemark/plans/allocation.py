@@ -103,17 +103,17 @@ p AS (SELECT portfolio, ticker, w, date, close, s, e FROM al2 JOIN sp ON date >=
 gr AS (SELECT portfolio, s, date, 1 + sum(w * (close / p0 - 1)) AS g FROM p JOIN b0 USING (portfolio, ticker, s) GROUP BY 1, 2, 3),
 wh AS (SELECT b0.portfolio, b0.s, 1 + sum(0.19 * (al2.close / p0 - 1)) AS whole FROM b0 JOIN sp USING (s) JOIN al2 ON al2.ticker = b0.ticker AND al2.date = e GROUP BY 1, 2),
 v AS (SELECT portfolio, s, coalesce(exp(sum(ln(coalesce(whole, 1))) OVER (PARTITION BY portfolio ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) * 100000 AS v0 FROM (SELECT DISTINCT portfolio, s FROM gr) LEFT JOIN wh USING (portfolio, s))
-SELECT portfolio, date, round(ln(v0 * g), 6) AS log_value FROM gr JOIN v USING (portfolio, s)"""
+SELECT portfolio, date, CASE WHEN v0 * g > 0 THEN round(ln(v0 * g), 6) END AS log_value FROM gr JOIN v USING (portfolio, s)"""
 
 
 @query("b9_backtest", BACKTEST)
 def b9_backtest(spark: Spark, d: str) -> DataFrame:
-    """Quarterly rebalanced families, 95% invested."""
+    """Quarterly rebalanced families, 19% in each member; a family of many members borrows, and a value of 0 or less has no logarithm (null)."""
     prices = b.bars(spark, d).where("date >= '1995-03-01'")
     panel = pf.aligned(prices, prices).where("date >= '1995-07-01'")
     w = members(spark, d).select("portfolio", "ticker", F.lit(0.19).alias("w"))
     days = ind.first_of_period(panel.select("date").distinct(), "quarter")
-    return rnd(pf.backtest(panel, w, days).select("portfolio", "date", F.log("value").alias("log_value")), "log_value")
+    return rnd(pf.backtest(panel, w, days).select("portfolio", "date", F.when(F.col("value") > 0, F.log("value")).alias("log_value")), "log_value")
 
 
 TRADES = "tr AS (SELECT 'c' || (o_custkey % 50) AS portfolio, p_brand AS ticker, o_orderkey AS at, CASE WHEN l_linenumber % 3 = 0 THEN -l_quantity ELSE l_quantity END AS shares, l_extendedprice / l_quantity AS price, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
