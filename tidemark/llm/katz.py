@@ -3,7 +3,7 @@
 Events are the words seen in training, the end of a text, and one class for all unseen words (V + 1 in all). Counts
 above CUT are trusted; smaller ones are discounted by Good-Turing ratios of counts of counts. The mass that a context's
 discounts free goes to the events not seen after it, in proportion to their unigram probability, so each context's
-probabilities sum to 1. Bigrams seen once count as unseen (Katz's cut-off); their mass is backed off too.
+probabilities sum to 1. Bigrams seen once are kept, with a discount of their own.
 
 Count tables live in partitions, by word hash and by context hash, and texts stay in bundles:
 1. each bundle sends its different words with their training counts to the words' partitions, which sum and reply;
@@ -42,7 +42,7 @@ CUT = 5
 HOT = 4
 END = U(0x1F83D9ABFB41BD6B)
 BEGIN = U(0x5BE0CD19137E2179)
-HOT_ROW = np.dtype([("c", np.uint64), ("s", np.float64, CUT + 1)])
+HOT_ROW = np.dtype([("c", np.uint64), ("s", np.float64, CUT + 2)])
 LOW48 = U((1 << 48) - 1)
 
 
@@ -105,6 +105,19 @@ def unpack_sorted(z: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(unpack(z).reshape(8, -1).T).view(U).ravel(), dtype=U)
 
 
+def pack_sums(sums: np.ndarray) -> bytes:
+    """Rows of contexts' sums: the counts, all whole numbers, byte plane by byte plane, and the probabilities as they are."""
+    whole = np.ascontiguousarray(sums[:, :-1].T).astype(np.int64)
+    return whole.view(np.uint8).reshape(-1, 8).T.tobytes() + sums[:, -1].tobytes()
+
+
+def unpack_sums(raw: np.ndarray) -> np.ndarray:
+    n = len(raw) // (8 * (CUT + 2))
+    whole, chance = np.split(raw, [8 * n * (CUT + 1)])
+    whole = np.ascontiguousarray(whole.reshape(8, n * (CUT + 1)).T).view(np.int64).reshape(CUT + 1, n)
+    return np.column_stack([whole.T, np.frombuffer(chance.tobytes())])
+
+
 def _table(rows: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in rows.values()], list(rows))
 
@@ -208,7 +221,7 @@ def _totals(t: Tokens, rows: pa.RecordBatch, parts: int) -> np.ndarray:
 
 
 class Bigrams:
-    """The different bigrams of a bundle that training may have seen twice, in the order they are sent."""
+    """The different bigrams of a bundle, in the order they are sent; one with a word that training never saw is not sent."""
 
     def __init__(self, t: Tokens, totals: np.ndarray, shape: Shape):
         first, second = t.before(), t.index
@@ -216,7 +229,7 @@ class Bigrams:
         self.first, self.second = np.divmod(self.pair, len(t.unique) + 1)
         self.contexts = np.append(t.unique, BEGIN)
         self.counts = np.append(totals, shape.texts)  # of contexts
-        self.sent = np.flatnonzero((self.counts[self.first] > 1) & (totals[self.second] > 1))
+        self.sent = np.flatnonzero((self.counts[self.first] > 0) & (totals[self.second] > 0))
         c, w = self.contexts[self.first[self.sent]], t.unique[self.second[self.sent]]
         self.hot = self.counts[self.first[self.sent]] * shape.hot_parts > shape.total
         self.sending = Sending(np.where(self.hot, part_of((c ^ w * U(0x9E3779B97F4A7C15)), shape.parts), part_of(c, shape.parts)))
@@ -258,7 +271,7 @@ def _bigrams_out(bundles: DataFrame, words: DataFrame, shape: Shape) -> DataFram
 
 
 def _bigrams_back(sent: DataFrame, shape: Shape) -> DataFrame:
-    """Replies: a, the bigrams' counts; b, of each context the number of types by count 2..CUT, the count of larger ones,
+    """Replies: a, the bigrams' counts; b, of each context the number of types by count 1..CUT, the count of larger ones,
     and the unigram probability of all its types. With a null bundle: counts of counts (a), and sums of hot contexts (b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,23 +300,23 @@ def _bigrams_back(sent: DataFrame, shape: Shape) -> DataFrame:
                 kind[order] = np.cumsum(new) - 1
                 total = np.bincount(kind, weights=n).astype(np.int64)
                 owner, more = place[order][new], m[order][new].astype(np.int64)
-                seen = total > 1
-                sums = np.zeros((len(contexts), CUT + 1))
-                for r in range(2, CUT + 1):
-                    sums[:, r - 2] = np.bincount(owner[total == r], minlength=len(contexts))
-                sums[:, CUT - 1] = np.bincount(owner[total > CUT], weights=total[total > CUT], minlength=len(contexts))
-                sums[:, CUT] = np.bincount(owner[seen], weights=shape.unigram(more[seen]), minlength=len(contexts))
-                counts = np.split(np.where(seen, total, 0)[kind].astype(np.uint32), np.cumsum(sizes)[:-1])
+                seen = total > 0
+                sums = np.zeros((len(contexts), CUT + 2))
+                for r in range(1, CUT + 1):
+                    sums[:, r - 1] = np.bincount(owner[total == r], minlength=len(contexts))
+                sums[:, CUT] = np.bincount(owner[total > CUT], weights=total[total > CUT], minlength=len(contexts))
+                sums[:, CUT + 1] = np.bincount(owner[seen], weights=shape.unigram(more[seen]), minlength=len(contexts))
+                counts = np.split(total[kind].astype(np.uint32), np.cumsum(sizes)[:-1])
                 at = np.split(c, np.cumsum([len(x) for x in heads])[:-1])
                 is_hot = np.zeros(len(contexts), bool)
                 is_hot[c] = np.concatenate([unpack(x.as_py()) for x in rows.column("hot")])
                 partial = np.empty(int(is_hot.sum()), HOT_ROW)
                 partial["c"], partial["s"] = contexts[is_hot], sums[is_hot]
-                some = sums[:, :CUT].any(1) & ~is_hot
+                some = sums[:, : CUT + 1].any(1) & ~is_hot
                 # of a context without types, its place in the reply is one bit
-                back = [pack(np.packbits(some[k]).tobytes() + sums[k][some[k]].tobytes()) for k in at]
+                back = [pack(np.packbits(some[k]).tobytes() + pack_sums(sums[k][some[k]])) for k in at]
                 part = rows.column("part")[0].as_py()
-                yield _table({"bundle": ([*rows.column("bundle").to_pylist(), None], pa.int64()), "part": ([part] * (len(at) + 1), pa.int64()), "a": ([*map(pack, counts), _histogram(total) + int(total.sum()).to_bytes(8, "little")], pa.binary()), "b": ([*back, pack(partial.tobytes())], pa.binary())})
+                yield _table({"bundle": ([*rows.column("bundle").to_pylist(), None], pa.int64()), "part": ([part] * (len(at) + 1), pa.int64()), "a": ([*map(pack, counts), _histogram(total)], pa.binary()), "b": ([*back, pack(partial.tobytes())], pa.binary())})
 
     return stored(sent.repartition("part").sortWithinPartitions("part", "bundle").mapInArrow(run, "bundle long, part long, a binary, b binary"), "bigrams")
 
@@ -313,7 +326,7 @@ def _reply_sums(b: Bigrams, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarra
     s = b.sending
     by_a = dict(zip(rows.column("part").to_pylist(), rows.column("a"), strict=True))
     by_b = dict(zip(rows.column("part").to_pylist(), rows.column("b"), strict=True))
-    counts, sums = np.empty(len(b.sent), np.int64), np.zeros((len(b.contexts), CUT + 1))
+    counts, sums = np.empty(len(b.sent), np.int64), np.zeros((len(b.contexts), CUT + 2))
     if len(s.parts):
         counts[s.order] = np.concatenate([unpack(by_a[p].as_py(), np.uint32) for p in s.parts.tolist()])
         for p, first in zip(s.parts.tolist(), s.split(b.first[b.sent]), strict=True):
@@ -321,19 +334,19 @@ def _reply_sums(b: Bigrams, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarra
             raw = unpack(by_b[p].as_py())
             cut = -(-len(heads) // 8)
             some = np.unpackbits(raw[:cut], count=len(heads)).astype(bool)
-            sums[heads[some]] = np.frombuffer(raw[cut:].tobytes()).reshape(-1, CUT + 1)
+            sums[heads[some]] = unpack_sums(raw[cut:])
     return counts, sums
 
 
 def _hot_sums(bigrams: DataFrame) -> dict[int, np.ndarray]:
     """Sums of hot contexts over all partitions. Fewer than HOT * partitions contexts are hot, as they share one total."""
-    names = [f"s{k}" for k in range(CUT + 1)]
+    names = [f"s{k}" for k in range(CUT + 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column("b").to_pylist():
                 rows = unpack(x, HOT_ROW)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["c"].astype(np.int64)), *(pa.array(rows["s"][:, k].copy()) for k in range(CUT + 1))], ["c", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(rows["c"].astype(np.int64)), *(pa.array(rows["s"][:, k].copy()) for k in range(CUT + 2))], ["c", *names])
 
     rows = bigrams.where("bundle is null").select("b").mapInArrow(run, "c long, " + ", ".join(f"{n} double" for n in names))
     return {r.c: np.array([r[n] for n in names]) for r in rows.groupBy("c").agg(*(F.sum(n).alias(n) for n in names)).toLocalIterator()}
@@ -346,12 +359,12 @@ def _scores(t: Tokens, totals: np.ndarray, b: Bigrams, counts: np.ndarray, sums:
     base = np.log10((totals + 0.5) / (shape.total + 0.5 * (shape.types + 1)))
     one = shape.unigram(totals)
     c1 = b.counts.astype(float)
-    kept = sums[:, : CUT - 1] @ (shape.keep2[2:] * np.arange(2, CUT + 1)) + sums[:, CUT - 1]
+    kept = sums[:, :CUT] @ (shape.keep2[1:] * np.arange(1, CUT + 1)) + sums[:, CUT]
     mass = kept / np.maximum(c1, 1)
     # something is always left for events not seen after the context
     most = c1 / (c1 + 1)
     factor = np.where(mass > most, most / np.maximum(mass, 1e-300), 1.0)
-    weight = np.where(kept > 0, (1 - factor * mass) / np.maximum(1 - sums[:, CUT], 1e-12), 1.0)
+    weight = np.where(kept > 0, (1 - factor * mass) / np.maximum(1 - sums[:, CUT + 1], 1e-12), 1.0)
     c12 = np.zeros(len(b.pair), np.int64)
     c12[b.sent] = counts
     share = np.where(c12 <= CUT, shape.keep2[np.minimum(c12, CUT)], 1.0) * c12 / np.maximum(c1[b.first], 1)
@@ -370,11 +383,10 @@ def score_texts(docs: DataFrame, train: str = "train") -> DataFrame:
     words = _words_back(_words_out(bundles, parts))
     shape = _shape(words, texts, parts)
     bigrams = _bigrams_back(_bigrams_out(bundles, words, shape), shape)
-    by = np.zeros(CUT + 4, np.int64)  # counts of counts, and the occurrences of all bigrams sent
+    by = np.zeros(CUT + 3, np.int64)
     for r in bigrams.where("bundle is null").select("a").toLocalIterator():  # one short row for each partition
         by += np.frombuffer(bytes(r.a), np.int64)
-    by[1] += shape.total - by[-1]  # of the others, a word was seen once: so was each of them
-    shape.keep2, shape.hot = discounts(by[:-1], 2), _hot_sums(bigrams)
+    shape.keep2, shape.hot = discounts(by), _hot_sums(bigrams)
 
     kind = bundles.schema["rest"].dataType.elementType.simpleString()
 
