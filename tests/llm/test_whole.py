@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import katz
+from tidemark.llm import katz, search
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -59,3 +59,25 @@ def test_packed_sums():
     x[:, -1] /= 1 << 41
     for rows in (x, x[:1], x[:0]):
         assert (katz.unpack_sums(np.frombuffer(katz.pack_sums(rows), np.uint8)) == rows).all()
+
+
+def test_search_with_repeated_query_ids(spark):
+    r = np.random.default_rng(7)
+    say = lambda: " ".join(f"w{int(x)}" for x in r.integers(0, 30, 12))
+    rows = [(i, say()) for i in range(1, 80)]
+    first, second, third = say(), say(), say()
+    rows += [(100, first)] * 3 + [(200, second), (200, third), (200, second)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = [(d, Counter(t.split())) for d, t in rows]
+    has = Counter(w for _, c in words for w in c)
+    mean = sum(sum(c.values()) for _, c in words) / len(words)
+    want = []
+    for q, text in ((100, first), (200, second), (200, third)):
+        scores = []
+        for d, c in words:
+            norm = search.K1 * (1 - search.B + search.B * sum(c.values()) / mean)
+            scores.append((-round(sum(math.log1p((len(words) - has[w] + 0.5) / (has[w] + 0.5)) * c[w] * (search.K1 + 1) / (c[w] + norm) for w in set(text.split()) if c[w]), 9), d))
+        want += [(q, i + 1, d, -s) for i, (s, d) in enumerate(sorted(scores)[:10])]
+    ask = df.where(search.is_query()).select(F.col("doc_id").alias("query_id"), "text")
+    got = [(x.query_id, x.rank, x.doc_id, round(x.score, 9)) for x in search.top_k(df, ask).collect()]
+    assert sorted(got) == sorted(want)
