@@ -41,7 +41,13 @@ p AS (SELECT x.ticker AS a, y.ticker AS b, x.date, x.ret AS x, y.ret AS y FROM m
 SELECT p.a, p.b, round(avg(sign(p.x - q.x) * sign(p.y - q.y)), 6) AS kendall FROM p JOIN p q ON p.a = q.a AND p.b = q.b AND p.date < q.date GROUP BY 1, 2""")
 def a12_kendall(spark: Spark, d: str) -> DataFrame:
     m = b.bars(spark, d).groupBy("ticker", F.date_trunc("month", "date").alias("date")).agg(F.max_by("close", "date").alias("ret"))
-    return rnd(risk.kendall(m, ("Brand#11", "Brand#12", "Brand#13")), "kendall")
+    return rnd(risk.kendall(m.where("ticker IN ('Brand#11', 'Brand#12', 'Brand#13')")).select("a", "b", "kendall"), "kendall")
+
+
+@query("a12_kendall_all_pairs")
+def a12_kendall_all_pairs(spark: Spark, d: str) -> DataFrame:
+    """Daily returns of all tickers. Without SQL, which would join all pairs of days; tested by brute force."""
+    return rnd(risk.kendall(b.returns(spark, d)), "kendall", "tau_b")
 
 
 SYM = PAIRS + ", s AS (SELECT a, b, cov FROM c UNION ALL SELECT b, a, cov FROM c WHERE a <> b)"
@@ -121,6 +127,19 @@ def a22_correlation_stability(spark: Spark, d: str) -> DataFrame:
     return rnd(risk.stability(_with_first(spark, d)), "mean", "std", "low", "high", "spread", digits=5)
 
 
+ROLL_ALL = PAIRS + """, r AS (SELECT a, b, date, CASE WHEN count(*) OVER w = 60 THEN corr(x, y) OVER w END AS corr FROM p WHERE b <> a WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS 59 PRECEDING))"""
+
+
+@query("w4_rolling_correlation_all_pairs", ROLL_ALL + " SELECT a, b, date, round(corr, 5) + 0 AS corr FROM r")  # + 0: no negative zeros
+def w4_rolling_correlation_all_pairs(spark: Spark, d: str) -> DataFrame:
+    return rnd(risk.rolling_correlation(risk.pairs(b.returns(spark, d), same=False)).select("a", "b", "date", "corr"), "corr", digits=5)
+
+
+@query("a22_correlation_stability_all_pairs", ROLL_ALL + " SELECT a, b, round(avg(corr), 5) AS mean, round(stddev_samp(corr), 5) AS std, round(min(corr), 5) AS low, round(max(corr), 5) AS high, round(max(corr) - min(corr), 5) AS spread FROM r WHERE corr IS NOT NULL GROUP BY 1, 2")
+def a22_correlation_stability_all_pairs(spark: Spark, d: str) -> DataFrame:
+    return rnd(risk.stability(risk.pairs(b.returns(spark, d), same=False)), "mean", "std", "low", "high", "spread", digits=5)
+
+
 # daily order totals are a smooth series with real recoveries
 SMOOTH = """WITH t AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close FROM orders GROUP BY 1, 2),
 r AS (SELECT * FROM (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM t) WHERE ret IS NOT NULL)"""
