@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import katz, search
+from tidemark.llm import katz, minhash, search
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -81,3 +81,17 @@ def test_search_with_repeated_query_ids(spark):
     ask = df.where(search.is_query()).select(F.col("doc_id").alias("query_id"), "text")
     got = [(x.query_id, x.rank, x.doc_id, round(x.score, 9)) for x in search.top_k(df, ask).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_unequal_minima_agree_by_chance():
+    r = np.random.default_rng(3)
+    for step in (1, 1 << 32, 2, (1 << 32) + 1):
+        x = r.integers(0, 1 << 63, 200, dtype=np.uint64)
+        a, b = (minhash.signatures(h, np.arange(len(h) + 1))[0] for h in (x, x ^ np.uint64(step)))
+        assert abs(minhash.similarity(a, b).mean()) < 0.01, step
+
+
+def test_links_are_hardly_ever_estimated_below_the_margin():
+    limit, chance, n = minhash.NUMERATOR / minhash.DENOMINATOR, 2.0**-minhash.BITS, minhash.HASHES
+    p, least = limit + (1 - limit) * chance, math.ceil(n * ((limit - minhash.MARGIN) * (1 - chance) + chance) - 1e-9)
+    assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(least)) < 1e-9
