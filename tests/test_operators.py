@@ -1,0 +1,140 @@
+"""Operators against plain folds in Python, on cases that the tables do not hold."""
+
+import datetime as dt
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import income, indicators, integrate, portfolio, records, risk
+from tidemark.operators.quantiles import quantile
+
+DAY0 = dt.date(2000, 1, 3)
+
+
+def day(n):
+    return DAY0 + dt.timedelta(days=n)
+
+
+def series(n, seed=1, ticker="A"):
+    r = random.Random(seed)
+    return [(ticker, day(i), round(50 + 40 * r.random(), 3)) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 20])
+def test_ema_equals_the_recursion(spark, n):
+    rows = series(1200)
+    want, e = {}, None
+    for i, (_, d, x) in enumerate(rows):
+        if i == n - 1:
+            e = sum(v for *_, v in rows[:n]) / n
+        elif i >= n:
+            e = x * 2 / (n + 1) + e * (1 - 2 / (n + 1))
+        if e is not None:
+            want[d] = e
+    got = {r.date: r.ema for r in indicators.ema(spark.createDataFrame(rows, "ticker string, date date, close double"), n).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d] == pytest.approx(want[d], rel=1e-12) for d in want)
+
+
+def test_asof_is_linear_in_a_long_series(spark):
+    bars = spark.range(100_000).select(F.lit("A").alias("ticker"), F.expr("date_add(date'1750-01-01', cast(id as int))").alias("date"), F.col("id").cast("double").alias("close"))
+    events = spark.createDataFrame([("A", dt.date(1750, 1, 1)), ("A", dt.date(2023, 10, 15)), ("A", dt.date(2600, 1, 1)), ("B", DAY0)], "ticker string, ex_date date")
+    start = time.time()
+    got = {(r.ticker, r.ex_date): r.px for r in income.asof(events, bars, "nearest").collect()}
+    assert got[("A", dt.date(1750, 1, 1))] == 0 and got[("A", dt.date(2600, 1, 1))] == 99_999 and got[("B", DAY0)] is None
+    filled = indicators.fill_gaps(bars.withColumn("close", F.when(F.col("close") % 7 != 3, F.col("close"))), "close")
+    assert filled.where("linear is null or abs(linear - datediff(date, date'1750-01-01')) > 1e-9").count() == 0
+    assert time.time() - start < 60
+
+
+def test_reinvested_dividends_off_the_bars(spark):
+    prices = spark.createDataFrame([("A", day(0), 10.0), ("A", day(10), 20.0), ("A", day(20), 40.0)], "ticker string, date date, close double")
+    div = spark.createDataFrame([("A", day(4), 1.0), ("A", day(15), 2.0)], "ticker string, ex_date date, amount double")
+    got = income.total_return(prices, div, reinvest=True).first()
+    assert got.total_return == pytest.approx((1 + 1 / 10) * (1 + 2 / 40) * 4 - 1)  # day 15 is as near to both: the later bar
+
+
+def fold(prices, weights, marks, start):
+    """A backtest day by day: {(book, day): value}."""
+    days = sorted({d for _, d, _ in prices if d >= start})
+    out, cash, held = {}, dict.fromkeys({b for b, *_ in weights}, 1000.0), {}
+    last = {}
+    by_day = {}
+    for t, d, x in prices:
+        by_day.setdefault(d, []).append((t, x))
+    firsts = {b: min(d for t, d, _ in prices for bb, tt, _ in weights if bb == b and tt == t) for b, *_ in weights}
+    for d in sorted({d for _, d, _ in prices}):
+        last.update(by_day[d])
+        if d < start:
+            continue
+        for b in cash:
+            value = cash[b] + sum(n * last[t] for (bb, t), n in held.items() if bb == b)
+            if d in marks:
+                held = {k: n for k, n in held.items() if k[0] != b}
+                for bb, t, w in weights:
+                    if bb == b and t in last:
+                        held[b, t] = w * value / last[t]
+                cash[b] = value - sum(n * last[t] for (bb, t), n in held.items() if bb == b)
+            if firsts[b] <= max(m for m in marks if m <= d):
+                out[b, d] = value
+    assert days
+    return out
+
+
+def test_backtest_equals_a_daily_fold(spark):
+    r = random.Random(4)
+    prices = [(t, day(i), round(10 + 90 * r.random(), 2)) for t, begin in (("A", 0), ("B", 3), ("C", 45)) for i in range(begin, 120) if r.random() < 0.4]
+    weights = [("x", "A", 0.5), ("x", "B", 0.3), ("y", "B", 0.6), ("y", "C", 0.4), ("z", "C", 1.0)]
+    days = sorted({d for _, d, _ in prices if d >= day(10)})
+    marks = {days[0], days[20], days[21], days[60]}
+    want = fold(prices, weights, marks, day(10))
+    got = portfolio.backtest(spark.createDataFrame(prices, "ticker string, date date, close double"), spark.createDataFrame(weights, "portfolio string, ticker string, w double"), spark.createDataFrame([(m,) for m in marks], "date date"), 1000.0, start=str(day(10)))
+    got = {(x.portfolio, x.date): x.value for x in got.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_positions_keep_unfilled_sales(spark):
+    t = [("p", "A", 1, 1, 10.0, 5.0), ("p", "A", 1, 2, -4.0, 8.0), ("p", "A", 2, 1, -10.0, 9.0), ("p", "A", 3, 1, 2.0, 7.0)]
+    got = portfolio.positions(spark.createDataFrame(t, "portfolio string, ticker string, at int, line int, shares double, price double")).first()
+    assert (got.shares, got.avg_cost, got.realised, got.unfilled) == (2.0, 7.0, 4 * 3.0 + 6 * 4.0, 4.0)
+
+
+def test_quantiles_are_exact(spark):
+    r = random.Random(2)
+    rows = [(g, r.choice([r.random() * 1e6, 5.0, -3.0, None])) for g in ("a", "b", None) for _ in range(999)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = {x.g: x.q for x in quantile(df, "g", "v", q, "q").collect()}
+        want = {x.g: x.q for x in df.where("v is not null").groupBy("g").agg(F.percentile("v", F.lit(q)).alias("q")).collect()}
+        assert got == pytest.approx(want)
+    assert quantile(df.limit(0), "g", "v", 0.5, "q").count() == 0
+
+
+def test_runs_and_averages_across_days(spark):
+    r = random.Random(6)
+    rows = [("k", dt.datetime(2020, 1, 1) + dt.timedelta(hours=5 * i), i, r.random() * 100, r.random() < 0.7) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, i long, v double, bad boolean")
+    best = run = 0
+    ema = None
+    for *_, v, bad in rows:
+        run = run + 1 if bad else 0
+        best = max(best, run)
+        ema = v if ema is None else 0.1 * v + 0.9 * ema
+    assert integrate.longest_runs(df, "k", F.col("bad"), ["ts", "i"]).first().longest == best
+    assert integrate.smoothed(df, "k", "v", ["ts", "i"]).first().ema == pytest.approx(ema)
+
+
+def test_tails_rates_and_histories(spark):
+    rets = spark.createDataFrame([(t, day(2 * i), float(i)) for t, n in (("A", 5), ("B", 3)) for i in range(n)], "ticker string, date date, ret double")
+    got = {(x.ticker, x.place): x.ret for x in risk.aligned_tails(rets, "position").collect()}
+    assert got == {("A", 0): 2.0, ("A", 1): 3.0, ("A", 2): 4.0, ("B", 0): 0.0, ("B", 1): 1.0, ("B", 2): 2.0}
+    assert risk.aligned_tails(rets).count() == 6 and risk.return_matrix(rets, 4).count() == 5
+    seen = spark.createDataFrame([("s", day(i), None if i > 3 else i / 100) for i in range(16)] + [("t", day(1), 0.04), ("t", day(2), None)], "series string, date date, rate double")
+    asked = spark.createDataFrame([("s",), ("t",), ("u",)], "series string")
+    assert {x.series: x.rate for x in records.latest_rate(seen, asked).collect()} == {"s": 0.02, "t": 0.04, "u": 0.02}
+    runs = spark.createDataFrame([(1, 10.0, 5.0), (2, 20.0, 4.0)], "run int, paths_per_second double, memory_mb double")
+    h = records.append_run(runs.where("run = 1"), runs)
+    assert h.count() == 2 and [x.throughput_change for x in records.regressions(h).orderBy("run").collect()] == [None, 100.0]

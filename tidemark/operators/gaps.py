@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def missing_days(prices: DataFrame, calendar: DataFrame) -> DataFrame:
-    """ticker, date of the calendar's days between a ticker's first and last bar on which it has none."""
-    ends = prices.groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("z"))
-    # the calendar is bounded by the days between two dates, the tickers' ends by their number
-    want = calendar.join(F.broadcast(ends), calendar.date.between(F.col("a"), F.col("z"))).select("ticker", "date")
-    return want.join(prices.select("ticker", "date"), ["ticker", "date"], "left_anti")
+    """ticker, date of the calendar's days between a ticker's first and last bar on which it has none.
+
+    Each ticker's span is dealt out by day and met with the calendar by equality; nothing is broadcast.
+    """
+    spans = prices.groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("z"))
+    days = spans.select("ticker", F.explode(F.expr("sequence(a, z, interval 1 day)")).alias("date"))
+    return days.join(calendar.select("date"), "date", "left_semi").join(prices.select("ticker", "date"), ["ticker", "date"], "left_anti").select("ticker", "date")
 
 
 def runs(days: DataFrame, order: Column) -> DataFrame:
@@ -20,12 +22,6 @@ def runs(days: DataFrame, order: Column) -> DataFrame:
     return days.withColumn("island", order - rn).groupBy("ticker", "island").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("n")).drop("island")
 
 
-def numbered(calendar: DataFrame) -> DataFrame:
-    """The calendar with `no`, the number of weekdays up to each day: by arithmetic, without a global order."""
-    days = F.datediff("date", F.lit("1970-01-05").cast("date"))  # a Monday
-    return calendar.withColumn("no", F.floor(days / 7) * 5 + F.least(F.pmod(days, F.lit(7)), F.lit(4)))
-
-
 def weekday_number(c: str = "date") -> Column:
     days = F.datediff(c, F.lit("1970-01-05").cast("date"))
     return F.floor(days / 7) * 5 + F.least(F.pmod(days, F.lit(7)), F.lit(4))

@@ -16,8 +16,9 @@ def asof(events: DataFrame, prices: DataFrame, how: str = "nearest") -> DataFram
     w = Window.partitionBy("ticker").orderBy("at")
     both = p.unionByName(e)
     # equal dates are peers in a range frame, so a bar on the day itself is seen from both sides
+    # both frames grow from their order's first row, so each is one running pass
     back = F.last("bar", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    on = F.first("bar", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    on = F.last("bar", ignorenulls=True).over(Window.partitionBy("ticker").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0))
     x = both.withColumns({"b": back, "n": on}).where("event is not null")
     if how == "nearest":
         later = F.col("b").isNull() | (F.datediff("n.d", "at") <= F.datediff("at", "b.d"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +24,23 @@ def sma(prices: DataFrame, n: int = 20) -> DataFrame:
 
 
 def ema(prices: DataFrame, n: int = 20) -> DataFrame:
-    """Exponential average, seeded with the mean of the first n closes; null before.
+    """Exponential average, seeded with the mean of the first n closes; null before, so those rows are left out.
 
-    Recursive in the day, so each ticker's closes are folded in order inside one array expression.
+    In closed form, the sum of u(j) * (1 - a)^(t - j), with the seed as first term: running sums over blocks of rows that are short
+    enough for the powers to stay exact, and of the blocks before only the few that still weigh more than rounding does.
     """
     a = 2 / (n + 1)
-    series = prices.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("s"))
-    seed = F.aggregate(F.slice("s", 1, n), F.lit(0.0), lambda acc, x: acc + x.close) / n
-    rest = F.expr(f"slice(s, {n + 1}, greatest(size(s) - {n}, 0))")
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x.date.alias("date"), (x.close * a + F.element_at(acc, -1).ema * (1 - a)).alias("ema"))))
-    out = F.aggregate(rest, F.array(F.struct(F.element_at("s", n).date.alias("date"), seed.alias("ema"))), step)
-    return series.where(F.size("s") >= n).select("ticker", F.explode(out).alias("e")).select("ticker", "e.date", "e.ema")
+    block = max(1, int(14 / -math.log(1 - a))) if a < 1 else 1
+    at = F.row_number().over(by_date()) - n
+    x = prices.withColumns({"_at": at, "_mean": F.avg("close").over(rows(n))}).where("_at >= 0")
+    x = x.withColumns({"_b": F.floor(F.col("_at") / block), "_pos": F.col("_at") % block, "_u": F.when(F.col("_at") == 0, F.col("_mean")).otherwise(F.col("close") * a)})
+    keep = lambda k: F.pow(F.lit(1 - a), k) if a < 1 else F.when(k == 0, 1.0).otherwise(0.0)
+    inside = Window.partitionBy("ticker", "_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_in", F.sum(F.col("_u") / keep(F.col("_pos"))).over(inside) * keep(F.col("_pos")) if block > 1 else F.col("_u"))
+    ends = x.groupBy("ticker", "_b").agg(F.max_by("_in", "_pos").alias("end"))
+    carried = F.aggregate(F.collect_list("end").over(Window.partitionBy("ticker").orderBy("_b").rowsBetween(-3, -1)), F.lit(0.0), lambda acc, e: acc * (1 - a) ** block + e)
+    before = ends.select("ticker", "_b", carried.alias("_carry"))
+    return x.join(before, ["ticker", "_b"]).select("ticker", "date", (F.col("_in") + keep(F.col("_pos") + 1) * F.col("_carry")).alias("ema"))
 
 
 def rsi(prices: DataFrame, n: int = 14) -> DataFrame:
@@ -58,9 +66,9 @@ def fill_gaps(panel: DataFrame, column: str, limit: int = 5) -> DataFrame:
     Lines reach up to `limit` rows from the known row before or after; outside the known range the nearest value is used.
     """
     p = panel.withColumn("rn", F.row_number().over(by_date()))
-    back, on = by_date().rowsBetween(Window.unboundedPreceding, 0), by_date().rowsBetween(0, Window.unboundedFollowing)
+    back, on = (Window.partitionBy("ticker").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("date", F.desc("date")))
     known = F.when(F.col(column).isNotNull(), F.struct("rn", F.col(column).alias("v")))
-    p = p.withColumns({"a": F.last(known, ignorenulls=True).over(back), "z": F.first(known, ignorenulls=True).over(on)})
+    p = p.withColumns({"a": F.last(known, ignorenulls=True).over(back), "z": F.last(known, ignorenulls=True).over(on)})
     near = (F.col("rn") - F.col("a.rn") <= limit) | (F.col("z.rn") - F.col("rn") <= limit)
     line = F.when(F.col("a").isNull(), F.col("z.v")).when(F.col("z").isNull(), F.col("a.v")).when(F.col("a.rn") == F.col("z.rn"), F.col("a.v")).otherwise(F.col("a.v") + (F.col("z.v") - F.col("a.v")) * (F.col("rn") - F.col("a.rn")) / F.nullif(F.col("z.rn") - F.col("a.rn"), F.lit(0)))
     return p.withColumns({"ffill": F.when(F.col("rn") - F.col("a.rn") <= limit, F.col("a.v")), "linear": F.coalesce(F.col(column), F.when(near, line))}).drop("a", "z", "rn")

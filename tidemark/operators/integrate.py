@@ -53,25 +53,43 @@ def voted(panel: DataFrame) -> DataFrame:
     return panel.groupBy("ticker", "date").agg(*(F.mode(c, True).alias(c) for c in PRICES))
 
 
-def repaired(rows: DataFrame) -> DataFrame:
-    """High and low widened to hold open and close, short gaps filled forward, near-empty rows dropped."""
+def repaired(rows: DataFrame, version: str | None = None) -> DataFrame:
+    """Repeated days removed (the last by `version` stays), high and low widened to hold open and close, short gaps filled
+    forward, rows under half full dropped, and the adjusted close taken from the close where there is none."""
+    if version:
+        last = Window.partitionBy("ticker", "source", "date").orderBy(F.desc(version))
+        rows = rows.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", version)
+    rows = rows.withColumns({"high": F.greatest("open", "high", "close"), "low": F.least("open", "low", "close")})
     w = Window.partitionBy("ticker", "source").orderBy("date").rowsBetween(-5, 0)
     filled = rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in PRICES})
     full = filled.where(sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in PRICES), F.lit(0)) >= 2)
-    return full.withColumns({"high": F.greatest(*PRICES), "low": F.least(*PRICES)})
+    return full if "adj_close" in full.columns else full.withColumn("adj_close", F.col("close"))
+
+
+def _by_day(events: DataFrame, by: str, order: list[str], back: bool, count) -> DataFrame:
+    """events with _k: the running sum of `count` in order (or from the end), of a group of any size: day by day, and then days.
+
+    Only a day of a group is ordered as a whole; the sums of days, which the calendar bounds, are carried over.
+    """
+    turn = F.desc if back else F.asc
+    x = events.withColumns({"_day": F.to_date(order[0]), "_c": count})
+    days = x.groupBy(by, "_day").agg(F.sum("_c").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(by).orderBy(turn("_day")).rowsBetween(Window.unboundedPreceding, -1))
+    carried = days.select(F.col(by).alias("_by"), F.col("_day").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy(by)).alias("_all"))
+    inside = F.sum("_c").over(Window.partitionBy(by, "_day").orderBy(*map(turn, order)).rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("_in", inside).join(carried, F.col(by).eqNullSafe(F.col("_by")) & F.col("_day").eqNullSafe(F.col("_of")))
+    return x.withColumn("_k", F.col("_before") + F.col("_in"))
 
 
 def smoothed(events: DataFrame, by: str, value: str, order: list[str], alpha: float = 0.1) -> DataFrame:
-    """Exponential average of each group's values in order, from weighted sums: the first value seeds it."""
-    w = Window.partitionBy(by).orderBy(*(F.desc(c) for c in order))
-    x = events.withColumns({"_age": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(by))})
-    weight = F.pow(F.lit(1 - alpha), F.col("_age")) * F.when(F.col("_age") == F.col("_n") - 1, 1.0).otherwise(alpha)
+    """Exponential average of each group's values in order (a time first), from weighted sums: the first value seeds it."""
+    x = _by_day(events, by, order, True, F.lit(1).cast("long"))
+    weight = F.pow(F.lit(1 - alpha), F.col("_k") - 1) * F.when(F.col("_k") == F.col("_all"), 1.0).otherwise(alpha)
     return x.groupBy(by).agg(F.sum(weight * F.col(value)).alias("ema"), F.count("*").alias("n"))
 
 
 def longest_runs(events: DataFrame, by: str, failed, order: list[str]) -> DataFrame:
     """The longest run of consecutive failures of each group: islands numbered by a running count of successes."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = events.withColumn("_f", failed).withColumn("_i", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(w))
-    runs = x.groupBy(by, "_i").agg(F.count_if("_f").alias("run"))
+    x = _by_day(events.withColumn("_f", failed), by, order, False, F.when(F.col("_f"), 0).otherwise(1).cast("long"))
+    runs = x.groupBy(by, "_k").agg(F.count_if("_f").alias("run"))
     return runs.groupBy(by).agg(F.max("run").alias("longest"))

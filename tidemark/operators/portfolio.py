@@ -124,31 +124,102 @@ def aligned(prices: DataFrame, days: DataFrame) -> DataFrame:
     return grid.join(prices.select("ticker", "date", "close"), ["ticker", "date"], "left").withColumn("close", F.last("close", ignorenulls=True).over(w))
 
 
-def backtest(panel: DataFrame, weights: DataFrame, rebalance: DataFrame, initial: float = 100_000.0) -> DataFrame:
-    """portfolio, date, value: holdings reset to the weights at each rebalance date, cash earns nothing.
+def segments(days: DataFrame, rebalance: DataFrame) -> DataFrame:
+    """date, segment (the last rebalance date up to it) and before (the one before that) of every day, from the first rebalance on.
 
-    Between two rebalance dates s and t the value is V(s) * (1 - sum w + sum w * p(t) / p(s)): closed form, no loop. A
-    segment's number is the count of rebalance dates up to the day; segment values chain by a running product.
+    The only order over all days is one over different dates, which the calendar bounds.
     """
-    days = panel.select("date").distinct().join(rebalance.select("date", F.lit(1).alias("mark")), "date", "left")
-    # segments are numbered by a join on the few rebalance dates, not by an order over all days
-    spans = rebalance.select(F.col("date").alias("s"), F.lead("date").over(Window.orderBy("date")).alias("e"))
-    seg = days.join(F.broadcast(spans), (F.col("date") >= F.col("s")) & (F.col("date") < F.coalesce("e", F.lit("9999-12-31").cast("date")))).select("date", F.col("s").alias("segment"), "e")
-    p = panel.where("close is not null").join(seg, "date").join(weights, "ticker")
-    base = p.where("date = segment").select("portfolio", "ticker", "segment", F.col("close").alias("p0"))
-    grown = p.join(base, ["portfolio", "ticker", "segment"]).groupBy("portfolio", "segment", "date").agg((1 + F.sum(F.col("w") * (F.col("close") / F.col("p0") - 1))).alias("g"))
-    # the value at a rebalance date is that of the segment before, carried to the date itself
-    at_end = p.select("portfolio", "ticker", "segment", "w", "e").distinct().join(panel.select("ticker", F.col("date").alias("e"), F.col("close").alias("pe")), ["ticker", "e"]).join(base, ["portfolio", "ticker", "segment"])
-    whole = at_end.groupBy("portfolio", "segment").agg((1 + F.sum(F.col("w") * (F.col("pe") / F.col("p0") - 1))).alias("whole"))
-    chain = Window.partitionBy("portfolio").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    start = grown.select("portfolio", "segment").distinct().join(whole, ["portfolio", "segment"], "left").withColumn("v0", F.coalesce(F.product(F.coalesce("whole", F.lit(1.0))).over(chain), F.lit(1.0)) * initial)
-    return grown.join(start.select("portfolio", "segment", "v0"), ["portfolio", "segment"]).select("portfolio", "date", (F.col("v0") * F.col("g")).alias("value"))
-
-
-def positions(trades: DataFrame) -> DataFrame:
-    """Shares, average cost and realised profit after folding each position's trades in order: average cost method."""
-    rows = trades.groupBy("portfolio", "ticker").agg(F.array_sort(F.collect_list(F.struct("at", "shares", "price"))).alias("t"))
-    zero = F.struct(F.lit(0.0).alias("shares"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("realised"))
+    marks = rebalance.select("date").distinct()
+    marks = marks.select("date", F.col("date").alias("s"), F.lag("date").over(Window.orderBy("date")).alias("b"))
+    upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    x = days.select("date").distinct().join(marks, "date", "left")
+    return x.select("date", F.last("s", True).over(upto).alias("segment"), F.last(F.when(F.col("s").isNotNull(), F.struct("b")), True).over(upto)["b"].alias("before")).where("segment is not null")
+
+
+def price_moves(prices: DataFrame, seg: DataFrame) -> DataFrame:
+    """ticker, segment, date, move, at_end: what each bar adds to its ticker's growth since its segment's start.
+
+    A segment starts from the last close up to its first day; a ticker without one takes no part in it. A bar on the first
+    day of a segment also ends the segment before (at_end). One pass over each ticker's bars; days without a bar add nothing.
+    """
+    by = Window.partitionBy("ticker").orderBy("date")
+    x = prices.where("close is not null").select("ticker", "date", "close").join(seg, "date", "left")
+    x = x.withColumns({"prev": F.lag("close").over(by), "prev_segment": F.lag("segment").over(by)})
+    opening = F.when(F.col("date") == F.col("segment"), F.col("close")).otherwise(F.col("prev"))
+    first = F.col("segment").isNotNull() & ~F.col("prev_segment").eqNullSafe(F.col("segment"))
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    # the base is wrapped, as it may be null for good in a segment
+    x = x.withColumn("p0", F.last(F.when(first, F.struct(opening.alias("p"))), True).over(upto)["p"])
+    x = x.withColumn("prev_p0", F.when(F.col("prev_segment").eqNullSafe(F.col("before")), F.lag("p0").over(by)).otherwise(F.col("prev")))
+    own = F.struct(F.col("segment").alias("segment"), F.when(first & (F.col("date") == F.col("segment")), F.when(F.col("p0").isNotNull(), 0.0)).otherwise(F.try_divide(F.col("close") - F.col("prev"), F.col("p0"))).alias("move"), F.lit(False).alias("at_end"))
+    end = F.struct(F.col("before").alias("segment"), F.try_divide(F.col("close") - F.col("prev"), F.col("prev_p0")).alias("move"), F.lit(True).alias("at_end"))
+    rows = F.when((F.col("date") == F.col("segment")) & F.col("before").isNotNull(), F.array(own, end)).otherwise(F.array(own))
+    return x.where("segment is not null").select("ticker", "date", F.explode(rows).alias("r")).select("ticker", "date", "r.*").where("move is not null")
+
+
+def backtest(prices: DataFrame, weights: DataFrame, rebalance: DataFrame, initial: float = 100_000.0, by: tuple[str, ...] = ("portfolio",), start: str | None = None) -> DataFrame:
+    """by.., date, value: holdings reset to the weights at each rebalance date, cash earns nothing.
+
+    Between two rebalance dates s and t the value is V(s) * (1 - sum w + sum w * p(t) / p(s)): closed form, no loop. Closes are
+    carried forward over days without a bar by adding nothing on them. weights: by.., ticker, w and, where they change,
+    the segment (rebalance date) they hold from. Days are those of `prices` from `start` on.
+    """
+    days = prices.select("date").distinct()
+    seg = segments(days if start is None else days.where(F.col("date") >= F.lit(start).cast("date")), rebalance)
+    keys = list(by)
+    w = weights.select(*keys, "ticker", *[c for c in ("segment",) if c in weights.columns], "w")
+    moves = price_moves(prices, seg).join(w, ["ticker", "segment"] if "segment" in w.columns else "ticker")
+    sums = moves.groupBy(*keys, "segment", "date", "at_end").agg(F.sum(F.col("w") * F.col("move")).alias("move"))
+    whole = sums.groupBy(*keys, "segment").agg((1 + F.sum("move")).alias("whole"))
+    begins = prices.groupBy("ticker").agg(F.min("date").alias("first")).join(w.select(*keys, "ticker").distinct(), "ticker").groupBy(*keys).agg(F.min("first").alias("first"))
+    # a book's segments: its number of books times the few rebalance dates
+    spans = begins.join(seg.groupBy("segment").agg(F.sort_array(F.collect_list("date")).alias("days")), F.col("first") <= F.col("segment")).drop("first")
+    chain = Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    opened = spans.join(whole, [*keys, "segment"], "left").withColumn("v0", F.coalesce(F.product(F.coalesce("whole", F.lit(1.0))).over(chain), F.lit(1.0)) * initial)
+    grid = opened.select(*keys, "segment", "v0", F.explode("days").alias("date"))
+    run = Window.partitionBy(*keys, "segment").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    daily = grid.join(sums.where("not at_end").drop("at_end"), [*keys, "segment", "date"], "left")
+    return daily.select(*keys, "date", (F.col("v0") * (1 + F.sum(F.coalesce("move", F.lit(0.0))).over(run))).alias("value"))
+
+
+def rule_weights(prices: DataFrame, members: DataFrame, rebalance: DataFrame, days: int = 60, top: int = 5) -> DataFrame:
+    """strategy, portfolio, ticker, segment, w: what each rule gives on each rebalance date from the prices up to that date.
+
+    Rules: equal, cap_weighted (members' `cap`), momentum and inverse_volatility over the last `days` returns. A rule falls
+    back to equal weights on dates on which a member has fewer returns. Strategies are a key column, so one job runs all.
+    """
+    by = Window.partitionBy("ticker").orderBy("date")
+    last = by.rowsBetween(1 - days, 0)
+    x = prices.select("ticker", "date", (F.col("close") / F.lag("close").over(by) - 1).alias("ret")).where("ret is not null")
+    x = x.select("ticker", "date", F.struct(F.sum(F.log1p("ret")).over(last).alias("m"), F.stddev_samp("ret").over(last).alias("sd"), F.count("*").over(last).alias("n")).alias("s"))
+    # the rebalance dates are few (the calendar bounds them): one list, dealt to every member
+    dates = rebalance.agg(F.sort_array(F.collect_set("date")).alias("dates"))
+    ask = members.select("ticker").distinct().join(F.broadcast(dates)).select("ticker", F.explode("dates").alias("date"), F.lit(None).cast(x.schema["s"].dataType).alias("s"), F.lit(True).alias("ask"))
+    seen = x.withColumn("ask", F.lit(False)).unionByName(ask)
+    known = seen.withColumn("s", F.last("s", True).over(by.rangeBetween(Window.unboundedPreceding, 0))).where("ask").select("ticker", F.col("date").alias("segment"), "s.*")
+    at = Window.partitionBy("portfolio", "segment")
+    y = members.select("portfolio", "ticker", "cap").join(known, "ticker")
+    y = y.withColumns({"k": F.count("*").over(at), "short": F.coalesce(F.min(F.coalesce("n", F.lit(0))).over(at) < days, F.lit(True)), "iv": F.try_divide(F.lit(1.0), F.col("sd"))})
+    y = y.withColumns({"rank": F.row_number().over(at.orderBy(F.desc("m"), "ticker")), "sum_iv": F.sum("iv").over(at), "sum_cap": F.sum("cap").over(at)})
+    equal = F.lit(1.0) / F.col("k")
+    rules = {
+        "equal": equal,
+        "cap_weighted": F.coalesce(F.try_divide("cap", "sum_cap"), equal),
+        "momentum": F.when(F.col("short"), equal).when(F.col("rank") <= top, 1.0 / top).otherwise(0.0),
+        "inverse_volatility": F.when(F.col("short"), equal).otherwise(F.coalesce(F.try_divide("iv", "sum_iv"), F.lit(0.0))),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("strategy"), w.alias("w")) for n, w in rules.items())))
+    return y.select("portfolio", "ticker", "segment", each.alias("r")).select("r.strategy", "portfolio", "ticker", "segment", "r.w")
+
+
+def positions(trades: DataFrame, order: tuple[str, ...] = ("at", "line")) -> DataFrame:
+    """Shares, average cost, realised profit and unfilled shares after folding each position's trades: average cost method.
+
+    Trades go in order of the columns `order`, whose values tell a position's trades apart. A sale takes what is held at most;
+    the rest of it is counted as unfilled. The fold is one position's own trades, in their order.
+    """
+    rows = trades.groupBy("portfolio", "ticker").agg(F.array_sort(F.collect_list(F.struct(*order, "shares", "price"))).alias("t"))
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("shares", "cost", "realised", "unfilled")))
 
     def step(acc, x):
         buy = x.shares > 0
@@ -156,9 +227,9 @@ def positions(trades: DataFrame) -> DataFrame:
         after = F.when(buy, acc.shares + x.shares).otherwise(acc.shares - sold)
         cost = F.when(buy, F.try_divide(acc.cost * acc.shares + x.price * x.shares, acc.shares + x.shares)).otherwise(F.when(after > 0, acc.cost).otherwise(0.0))
         gain = acc.realised + F.when(buy, 0.0).otherwise((x.price - acc.cost) * sold)
-        return F.struct(after.alias("shares"), F.coalesce(cost, F.lit(0.0)).alias("cost"), gain.alias("realised"))
+        return F.struct(after.alias("shares"), F.coalesce(cost, F.lit(0.0)).alias("cost"), gain.alias("realised"), (acc.unfilled + F.when(buy, 0.0).otherwise(-x.shares - sold)).alias("unfilled"))
 
-    return rows.select("portfolio", "ticker", F.aggregate("t", zero, step).alias("s")).select("portfolio", "ticker", "s.shares", F.col("s.cost").alias("avg_cost"), "s.realised")
+    return rows.select("portfolio", "ticker", F.aggregate("t", zero, step).alias("s")).select("portfolio", "ticker", "s.shares", F.col("s.cost").alias("avg_cost"), "s.realised", "s.unfilled")
 
 
 def marked(held: DataFrame, last: DataFrame) -> DataFrame:

@@ -18,10 +18,6 @@ def whole() -> WindowSpec:
 LIMITS = (-0.5, 2.0)
 
 
-def log_returns(prices: DataFrame) -> DataFrame:
-    return prices.withColumn("log_ret", F.log(F.col("close") / F.lag("close").over(by_date()))).where("log_ret is not null")
-
-
 def usable(prices: DataFrame, least_prices: int = 252, least_returns: int = 50) -> DataFrame:
     """Clipped returns of positive prices, of tickers with enough of both."""
     clean = prices.where("close > 0").withColumn("n_prices", F.count("*").over(whole())).where(F.col("n_prices") >= least_prices)

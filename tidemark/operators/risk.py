@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.returns import cumulative
 
 
 def complete_cases(rets: DataFrame) -> DataFrame:
@@ -19,6 +18,22 @@ def complete_cases(rets: DataFrame) -> DataFrame:
     return rets.join(days, "date", "left_semi")
 
 
+def return_matrix(rets: DataFrame, least: int = 100) -> DataFrame:
+    """Complete cases over the tickers that have `least` returns or more."""
+    many = rets.groupBy("ticker").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("ticker")
+    return complete_cases(rets.join(many, "ticker", "left_semi"))
+
+
+def aligned_tails(rets: DataFrame, align: str = "date") -> DataFrame:
+    """Series of equal length: by `date`, the days that all share; by `position`, as many last rows of each as the shortest has
+    (`place` from 0), whatever their dates."""
+    if align == "date":
+        return complete_cases(rets)
+    least = rets.groupBy("ticker").agg(F.count("*").alias("c")).agg(F.min("c").alias("len"))
+    k = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
+    return rets.withColumn("_k", k).join(F.broadcast(least)).where("_k <= len").withColumn("place", F.col("len") - F.col("_k")).drop("_k", "len")
+
+
 def pairs(rets: DataFrame, column: str = "ret", same: bool = True) -> DataFrame:
     """date, a, b, x, y of all pairs of tickers (a <= b, or a < b) with a return on the same day."""
     left = rets.select("date", F.col("ticker").alias("a"), F.col(column).alias("x"))
@@ -156,8 +171,3 @@ def drawdown_episodes(rets: DataFrame) -> DataFrame:
     down = g.where("dd < 0").groupBy("ticker", "island").agg(F.min("dd").alias("depth"), F.min_by("date", F.struct("dd", "date")).alias("trough"), F.min("date").alias("start"), F.first("top").alias("peak_date"))
     back = g.where("dd = 0").select("ticker", (F.col("island") - 1).alias("island"), F.col("date").alias("recovery"))
     return down.join(back, ["ticker", "island"]).select("ticker", "peak_date", "trough", "recovery", "depth", F.datediff("recovery", "start").cast("long").alias("days"))
-
-
-def max_drawdown(rets: DataFrame) -> DataFrame:
-    return cumulative(rets).groupBy("ticker").agg(F.min("drawdown").alias("max_drawdown"))
-

@@ -110,10 +110,9 @@ SELECT portfolio, date, CASE WHEN v0 * g > 0 THEN round(ln(v0 * g), 6) END AS lo
 def b9_backtest(spark: Spark, d: str) -> DataFrame:
     """Quarterly rebalanced families, 19% in each member; a family of many members borrows, and a value of 0 or less has no logarithm (null)."""
     prices = b.bars(spark, d).where("date >= '1995-03-01'")
-    panel = pf.aligned(prices, prices).where("date >= '1995-07-01'")
     w = members(spark, d).select("portfolio", "ticker", F.lit(0.19).alias("w"))
-    days = ind.first_of_period(panel.select("date").distinct(), "quarter")
-    return rnd(pf.backtest(panel, w, days).select("portfolio", "date", F.when(F.col("value") > 0, F.log("value")).alias("log_value")), "log_value")
+    days = ind.first_of_period(prices.select("date").distinct().where("date >= '1995-07-01'"), "quarter")
+    return rnd(pf.backtest(prices, w, days, start="1995-07-01").select("portfolio", "date", F.when(F.col("value") > 0, F.log("value")).alias("log_value")), "log_value")
 
 
 TRADES = "tr AS (SELECT 'c' || (o_custkey % 50) AS portfolio, p_brand AS ticker, o_orderkey AS at, CASE WHEN l_linenumber % 3 = 0 THEN -l_quantity ELSE l_quantity END AS shares, l_extendedprice / l_quantity AS price, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
@@ -124,7 +123,7 @@ def trades(spark: Spark, d: str) -> DataFrame:
     lines, orders, parts = (b.table(spark, d, t) for t in ("lineitem", "orders", "part"))
     x = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
     shares = F.when(F.col("l_linenumber") % 3 == 0, -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-    return x.select(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("portfolio"), F.col("p_brand").alias("ticker"), F.col("o_orderkey").alias("at"), shares.alias("shares"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_linenumber")
+    return x.select(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("portfolio"), F.col("p_brand").alias("ticker"), F.col("o_orderkey").alias("at"), shares.alias("shares"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_linenumber").alias("line"))
 
 
 @query("p9_transaction_amounts", f"WITH {TRADES} SELECT portfolio, CASE WHEN shares > 0 THEN 'BUY' ELSE 'SELL' END AS kind, count(*) AS n, round(sum(abs(shares) * price), 2) AS gross, round(sum(CASE WHEN shares > 0 THEN -(shares * price + 5) ELSE -shares * price - 5 END), 2) AS net FROM tr GROUP BY 1, 2", base=False)
@@ -134,9 +133,15 @@ def p9_transaction_amounts(spark: Spark, d: str) -> DataFrame:
     return rnd(trades(spark, d).groupBy("portfolio", F.when(s > 0, "BUY").otherwise("SELL").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.abs(s) * p).alias("gross"), F.sum(net).alias("net")), "gross", "net", digits=2)
 
 
-@query("b11_positions")
+@query("b11_positions", f"""WITH RECURSIVE {TRADES}, n AS (SELECT *, row_number() OVER (PARTITION BY portfolio, ticker ORDER BY tr.at, l_linenumber, shares, price) AS k FROM tr),
+f AS (SELECT portfolio, ticker, 0::BIGINT AS k, 0::DOUBLE AS held, 0::DOUBLE AS cost, 0::DOUBLE AS gain, 0::DOUBLE AS unfilled FROM n WHERE k = 1
+UNION ALL SELECT f.portfolio, f.ticker, n.k, CASE WHEN n.shares > 0 THEN held + n.shares ELSE held - least(-n.shares, held) END,
+ CASE WHEN n.shares > 0 THEN (cost * held + n.price * n.shares) / (held + n.shares) WHEN held - least(-n.shares, held) > 0 THEN cost ELSE 0 END,
+ gain + CASE WHEN n.shares > 0 THEN 0 ELSE (n.price - cost) * least(-n.shares, held) END, unfilled + CASE WHEN n.shares > 0 THEN 0 ELSE -n.shares - least(-n.shares, held) END
+ FROM f JOIN n ON n.portfolio = f.portfolio AND n.ticker = f.ticker AND n.k = f.k + 1)
+SELECT portfolio, ticker, round(arg_max(held, k), 4) AS shares, round(arg_max(cost, k), 4) AS avg_cost, round(arg_max(gain, k), 4) AS realised, round(arg_max(unfilled, k), 4) AS unfilled FROM f GROUP BY 1, 2""", base=False)
 def b11_positions(spark: Spark, d: str) -> DataFrame:
-    return rnd(pf.positions(trades(spark, d)), "shares", "avg_cost", "realised", digits=4)
+    return rnd(pf.positions(trades(spark, d)), "shares", "avg_cost", "realised", "unfilled", digits=4)
 
 
 HELD = TRADES + ", h AS (SELECT portfolio, ticker, sum(shares) AS shares, sum(shares * price) / sum(shares) AS avg_cost FROM tr WHERE shares > 0 GROUP BY 1, 2), px AS (SELECT p_brand AS ticker, avg(p_retailprice) AS close FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1)"

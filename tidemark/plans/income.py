@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.operators import income as inc
+from tidemark.operators.quantiles import quantile
 from tidemark.plans.market import rnd
 from tidemark.sources import bars as b
 
@@ -122,5 +123,7 @@ def d7_income_total(spark: Spark, d: str) -> DataFrame:
 @query("a33_macro_stats", "SELECT o_orderpriority AS series, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1", base=False)
 def a33_macro_stats(spark: Spark, d: str) -> DataFrame:
     c = "o_totalprice"
-    out = b.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("series")).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high"))
+    rows = b.table(spark, d, "orders")
+    out = rows.groupBy(F.col("o_orderpriority").alias("series")).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high"))
+    out = out.join(quantile(rows, "o_orderpriority", c, 0.5, "median"), F.expr("series <=> o_orderpriority"), "left").drop("o_orderpriority")
     return rnd(out, "mean", "median", "std", digits=4)

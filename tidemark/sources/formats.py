@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.bars import resample_daily
-
 
 def keyed_json(payloads: DataFrame, body: str = "body") -> DataFrame:
     """ticker and a map of date to a map of numbered fields (`1. open` ...), all texts; what is no number becomes null."""
@@ -30,6 +28,20 @@ def records(payloads: DataFrame, body: str = "body") -> DataFrame:
     return rows.withColumnRenamed("adjClose", "adj_close").withColumn("date", F.to_date("date"))
 
 
+def aggregates(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """ticker and an array of short records, t in epoch milliseconds; what an empty or missing array holds is no row."""
+    kind = "struct<results:array<struct<t:bigint,o:double,h:double,l:double,c:double,v:double>>>"
+    rows = payloads.select("ticker", F.explode(F.from_json(body, kind)["results"]).alias("r"))
+    return rows.select("ticker", F.to_date(F.timestamp_millis("r.t")).alias("date"), F.col("r.o").alias("open"), F.col("r.h").alias("high"), F.col("r.l").alias("low"), F.col("r.c").alias("close"), F.col("r.v").cast("long").alias("volume"))
+
+
+def dividend_series(payloads: DataFrame, start: str, end: str, source: str, body: str = "body", frequency: int = 1) -> DataFrame:
+    """ticker and a map of date to amount, within the dates given, with the constants that a stored dividend has."""
+    rows = payloads.select("ticker", F.explode(F.from_json(body, "map<string, double>")).alias("d", "amount"))
+    rows = rows.select("ticker", F.to_date("d").alias("ex_date"), "amount").where(F.col("ex_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return rows.withColumns({"dividend_type": F.lit("regular"), "currency": F.lit("USD"), "frequency": F.lit(frequency), "source": F.lit(source)})
+
+
 def observations(payloads: DataFrame, body: str = "body", percent: bool = False) -> DataFrame:
     """series and an array of date, value records; `.` is missing; percent turns percents to shares."""
     rows = payloads.select("series", F.expr(f"inline(from_json({body}, 'array<struct<date:string,value:string>>'))"))
@@ -48,4 +60,7 @@ def splits(events: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["candles", "keyed_json", "observations", "records", "resample_daily", "splits"]
+def corporate_actions(events: DataFrame) -> DataFrame:
+    """Splits as actions with `recency`, 1 for a ticker's latest; dividends are no part of it."""
+    latest = Window.partitionBy("ticker").orderBy(F.desc("date"), "ratio_from", "ratio_to")
+    return splits(events).withColumn("recency", F.row_number().over(latest))
