@@ -11,8 +11,9 @@ Count tables live in partitions, by word hash and by context hash, and texts sta
    which sum, and reply with the bigram's count and the context's sums;
 3. each bundle scores its texts from the replies: log10 of the bigram's discounted share, or of backoff weight times
    unigram share.
-All messages are packed arrays. Partition numbers and replies grow with the corpus; nothing but counts of counts reaches
-the driver. A context with more than one in HOT * partitions of all tokens is dealt out by word, and its partial sums
+All messages are packed arrays, all counts 64 bits wide; the words after one context are told apart by 48 bits of their hash.
+The number of partitions grows with the number of bundles, so that what a task holds does not grow with the corpus; the number
+of messages is that of bundles times partitions. Nothing but counts of counts reaches the driver. A context with more than one in HOT * partitions of all tokens is dealt out by word, and its partial sums
 (of fewer contexts than HOT * partitions) are added up before scoring.
 
 Cases: null text is empty and has one token, the end; a corpus without training rows leaves N = V = 0: every token is the
@@ -33,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bundles import beside, bundled, pack, unpack
-from .common import stored
+from .common import lean, stored
 from .graph import bounds, groups
 from .words import U, Words
 
 BUNDLE_BYTES = 6 << 20
 CUT = 5
 HOT = 4
+HOT_PARTS = 4096
+PART_BUNDLES = 4  # a partition counts the tokens of so many bundles, on average, or fewer
 END = U(0x1F83D9ABFB41BD6B)
 BEGIN = U(0x5BE0CD19137E2179)
 HOT_ROW = np.dtype([("c", np.uint64), ("s", np.float64, CUT + 2)])
@@ -105,6 +108,15 @@ def unpack_sorted(z: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(unpack(z).reshape(8, -1).T).view(U).ravel(), dtype=U)
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """64-bit counts, byte plane by byte plane: the planes of zeros cost nothing."""
+    return pack(np.ascontiguousarray(x, U).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_counts(z: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(z).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def pack_sums(sums: np.ndarray) -> bytes:
     """Rows of contexts' sums: the counts, all whole numbers, byte plane by byte plane, and the probabilities as they are."""
     whole = np.ascontiguousarray(sums[:, :-1].T).astype(np.int64)
@@ -123,18 +135,26 @@ def _table(rows: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
 
 
 def _words_out(bundles: DataFrame, parts: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bundle, z, ends, rest in zip(*(batch.column(c) for c in ("bundle", "z", "ends", "rest")), strict=True):
                 t = Tokens.read(unpack(z.as_py()), ends.values.to_numpy())
                 train = rest.values.field("train").to_numpy(zero_copy_only=False)
-                n = np.bincount(t.index, weights=train[t.owner], minlength=len(t.unique)).astype(np.uint32)
+                n = np.bincount(t.index, weights=train[t.owner], minlength=len(t.unique)).astype(np.int64)
                 s = Sending(part_of(t.unique, parts))
-                yield _table({"part": (s.parts, pa.int64()), "bundle": ([bundle.as_py()] * len(s.parts), pa.int64()), "a": ([pack_sorted(x) for x in s.split(t.unique)], pa.binary()), "b": ([pack(x) for x in s.split(n)], pa.binary())})
+                yield _table({"part": (s.parts, pa.int64()), "bundle": ([bundle.as_py()] * len(s.parts), pa.int64()), "a": ([pack_sorted(x) for x in s.split(t.unique)], pa.binary()), "b": ([pack_counts(x) for x in s.split(n)], pa.binary())})
 
     return bundles.select("bundle", "z", "ends", "rest").mapInArrow(run, "part long, bundle long, a binary, b binary")
 
 
+def added(index: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Sums of n by index, as whole numbers."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, index, n)
+    return out
+
+
 def _histogram(counts: np.ndarray) -> bytes:
     return np.bincount(np.minimum(counts, CUT + 2).astype(np.int64), minlength=CUT + 3).astype(np.int64).tobytes()
 
@@ -142,18 +162,19 @@ def _histogram(counts: np.ndarray) -> bytes:
 def _words_back(sent: DataFrame) -> DataFrame:
     """Replies (bundle, part, a: totals) and, with a null bundle, each partition's counts of counts (a) and sum (n)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches, ["part"]):
             cut = bounds(whole, ["part"])
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 rows = whole.slice(i, j - i)
                 each = [unpack_sorted(x.as_py()) for x in rows.column("a")]
-                n = np.concatenate([unpack(x.as_py(), np.uint32) for x in rows.column("b")])
+                n = np.concatenate([unpack_counts(x.as_py()) for x in rows.column("b")])
                 unique, index = np.unique(np.concatenate(each), return_inverse=True)
-                total = np.bincount(index, weights=n, minlength=len(unique)).astype(np.int64)
-                back = np.split(total[index].astype(np.uint32), np.cumsum([len(x) for x in each])[:-1])
+                total = added(index, n, len(unique))
+                back = np.split(total[index], np.cumsum([len(x) for x in each])[:-1])
                 part = rows.column("part")[0].as_py()
-                yield _table({"bundle": ([*rows.column("bundle").to_pylist(), None], pa.int64()), "part": ([part] * (len(each) + 1), pa.int64()), "a": ([*map(pack, back), _histogram(total)], pa.binary()), "n": ([0] * len(each) + [int(total.sum())], pa.int64())})
+                yield _table({"bundle": ([*rows.column("bundle").to_pylist(), None], pa.int64()), "part": ([part] * (len(each) + 1), pa.int64()), "a": ([*map(pack_counts, back), _histogram(total)], pa.binary()), "n": ([0] * len(each) + [int(total.sum())], pa.int64())})
 
     return stored(sent.repartition("part").sortWithinPartitions("part", "bundle").mapInArrow(run, "bundle long, part long, a binary, n long"), "words")
 
@@ -207,7 +228,7 @@ def _shape(words: DataFrame, texts: int, parts: int) -> Shape:
     small = (np.arange(CUT + 1) * by[: CUT + 1]).astype(float)
     mass = float((keep * small).sum() + total - small.sum())
     s = Shape(parts, total, types, texts, keep, 1.0 if not total else max(1 - mass / total, 0.5 / (total + 1)))
-    s._mass, s.hot_parts = mass, HOT * parts
+    s._mass, s.hot_parts = mass, HOT * min(parts, HOT_PARTS)  # so many contexts at most are hot
     return s
 
 
@@ -216,7 +237,7 @@ def _totals(t: Tokens, rows: pa.RecordBatch, parts: int) -> np.ndarray:
     s = Sending(part_of(t.unique, parts))
     by = dict(zip(rows.column("part").to_pylist(), rows.column("a"), strict=True))
     out = np.empty(len(t.unique), np.int64)
-    out[s.order] = np.concatenate([unpack(by[p].as_py(), np.uint32) for p in s.parts.tolist()]) if len(s.parts) else []
+    out[s.order] = np.concatenate([unpack_counts(by[p].as_py()) for p in s.parts.tolist()]) if len(s.parts) else []
     return out
 
 
@@ -237,6 +258,7 @@ class Bigrams:
 
 
 def _bigrams_out(bundles: DataFrame, words: DataFrame, shape: Shape) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["bundle"]):
             cut = bounds(group, ["bundle"])
@@ -245,7 +267,7 @@ def _bigrams_out(bundles: DataFrame, words: DataFrame, shape: Shape) -> DataFram
                 totals = _totals(t, group.slice(i + 1, j - i - 1), shape.parts)
                 train = group.column("rest")[i].values.field("train").to_numpy(zero_copy_only=False)
                 b = Bigrams(t, totals, shape)
-                n = np.bincount(b.index, weights=train[t.owner], minlength=len(b.pair)).astype(np.uint32)[b.sent]
+                n = np.bincount(b.index, weights=train[t.owner], minlength=len(b.pair)).astype(np.int64)[b.sent]
                 s = b.sending
                 low = b.w & LOW48
                 rows = {"part": (s.parts, pa.int64()), "bundle": ([group.column("bundle")[i].as_py()] * len(s.parts), pa.int64())}
@@ -262,8 +284,8 @@ def _bigrams_out(bundles: DataFrame, words: DataFrame, shape: Shape) -> DataFram
                     own, at, place = np.unique(x, return_index=True, return_inverse=True)
                     names.append(pack_sorted(own))
                     places.append(pack(place.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)))
-                    sums.append(pack(m[at].astype(np.uint32)))
-                rows |= {"w": (names, pa.binary()), "at": (places, pa.binary()), "n": (list(map(pack, s.split(n))), pa.binary()), "m": (sums, pa.binary())}
+                    sums.append(pack_counts(m[at]))
+                rows |= {"w": (names, pa.binary()), "at": (places, pa.binary()), "n": (list(map(pack_counts, s.split(n))), pa.binary()), "m": (sums, pa.binary())}
                 yield _table(rows)
 
     replies = words.where("bundle is not null").select("bundle", "part", "a")
@@ -274,6 +296,7 @@ def _bigrams_back(sent: DataFrame, shape: Shape) -> DataFrame:
     """Replies: a, the bigrams' counts; b, of each context the number of types by count 1..CUT, the count of larger ones,
     and the unigram probability of all its types. With a null bundle: counts of counts (a), and sums of hot contexts (b)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches, ["part"]):
             cut = bounds(whole, ["part"])
@@ -284,11 +307,11 @@ def _bigrams_back(sent: DataFrame, shape: Shape) -> DataFrame:
                 sizes = [int(x.sum()) for x in runs]
                 w, m = [], []
                 for x, at, sums in zip(*(rows.column(k) for k in ("w", "at", "m")), strict=True):
-                    own, each = unpack_sorted(x.as_py()), unpack(sums.as_py(), np.uint32)
+                    own, each = unpack_sorted(x.as_py()), unpack_counts(sums.as_py())
                     place = unpack(at.as_py(), np.uint16 if len(own) <= 1 << 16 else np.uint32)
                     w.append(own[place])
                     m.append(each[place])
-                n = np.concatenate([unpack(x.as_py(), np.uint32) for x in rows.column("n")])
+                n = np.concatenate([unpack_counts(x.as_py()) for x in rows.column("n")])
                 m = np.concatenate(m)
                 contexts, c = np.unique(np.concatenate(heads), return_inverse=True)
                 place = np.repeat(c, np.concatenate(runs))  # of each bigram: its context's number
@@ -298,7 +321,7 @@ def _bigrams_back(sent: DataFrame, shape: Shape) -> DataFrame:
                 new[1:] = (place[order][1:] != place[order][:-1]) | (w[order][1:] != w[order][:-1])
                 kind = np.empty(len(order), np.int64)
                 kind[order] = np.cumsum(new) - 1
-                total = np.bincount(kind, weights=n).astype(np.int64)
+                total = added(kind, n, int(new.sum()))
                 owner, more = place[order][new], m[order][new].astype(np.int64)
                 seen = total > 0
                 sums = np.zeros((len(contexts), CUT + 2))
@@ -306,7 +329,7 @@ def _bigrams_back(sent: DataFrame, shape: Shape) -> DataFrame:
                     sums[:, r - 1] = np.bincount(owner[total == r], minlength=len(contexts))
                 sums[:, CUT] = np.bincount(owner[total > CUT], weights=total[total > CUT], minlength=len(contexts))
                 sums[:, CUT + 1] = np.bincount(owner[seen], weights=shape.unigram(more[seen]), minlength=len(contexts))
-                counts = np.split(total[kind].astype(np.uint32), np.cumsum(sizes)[:-1])
+                counts = np.split(total[kind], np.cumsum(sizes)[:-1])
                 at = np.split(c, np.cumsum([len(x) for x in heads])[:-1])
                 is_hot = np.zeros(len(contexts), bool)
                 is_hot[c] = np.concatenate([unpack(x.as_py()) for x in rows.column("hot")])
@@ -316,7 +339,7 @@ def _bigrams_back(sent: DataFrame, shape: Shape) -> DataFrame:
                 # of a context without types, its place in the reply is one bit
                 back = [pack(np.packbits(some[k]).tobytes() + pack_sums(sums[k][some[k]])) for k in at]
                 part = rows.column("part")[0].as_py()
-                yield _table({"bundle": ([*rows.column("bundle").to_pylist(), None], pa.int64()), "part": ([part] * (len(at) + 1), pa.int64()), "a": ([*map(pack, counts), _histogram(total)], pa.binary()), "b": ([*back, pack(partial.tobytes())], pa.binary())})
+                yield _table({"bundle": ([*rows.column("bundle").to_pylist(), None], pa.int64()), "part": ([part] * (len(at) + 1), pa.int64()), "a": ([*map(pack_counts, counts), _histogram(total)], pa.binary()), "b": ([*back, pack(partial.tobytes())], pa.binary())})
 
     return stored(sent.repartition("part").sortWithinPartitions("part", "bundle").mapInArrow(run, "bundle long, part long, a binary, b binary"), "bigrams")
 
@@ -328,7 +351,7 @@ def _reply_sums(b: Bigrams, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarra
     by_b = dict(zip(rows.column("part").to_pylist(), rows.column("b"), strict=True))
     counts, sums = np.empty(len(b.sent), np.int64), np.zeros((len(b.contexts), CUT + 2))
     if len(s.parts):
-        counts[s.order] = np.concatenate([unpack(by_a[p].as_py(), np.uint32) for p in s.parts.tolist()])
+        counts[s.order] = np.concatenate([unpack_counts(by_a[p].as_py()) for p in s.parts.tolist()])
         for p, first in zip(s.parts.tolist(), s.split(b.first[b.sent]), strict=True):
             heads = first[np.concatenate([[True], first[1:] != first[:-1]])]
             raw = unpack(by_b[p].as_py())
@@ -342,6 +365,7 @@ def _hot_sums(bigrams: DataFrame) -> dict[int, np.ndarray]:
     """Sums of hot contexts over all partitions. Fewer than HOT * partitions contexts are hot, as they share one total."""
     names = [f"s{k}" for k in range(CUT + 2)]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column("b").to_pylist():
@@ -377,9 +401,9 @@ def score_texts(docs: DataFrame, train: str = "train") -> DataFrame:
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = [c for c in docs.columns if c not in (*made, "text", train)]
     docs = docs.select("text", *(F.col(c).alias(f"_{i}") for i, c in enumerate(rest)), F.coalesce(F.col(train), F.lit(False)).alias("train"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where("train").count()
     bundles = bundled(docs, BUNDLE_BYTES)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bundles.count() // PART_BUNDLES))
     words = _words_back(_words_out(bundles, parts))
     shape = _shape(words, texts, parts)
     bigrams = _bigrams_back(_bigrams_out(bundles, words, shape), shape)
@@ -390,6 +414,7 @@ def score_texts(docs: DataFrame, train: str = "train") -> DataFrame:
 
     kind = bundles.schema["rest"].dataType.elementType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["bundle"]):
             cut = bounds(group, ["bundle"])
