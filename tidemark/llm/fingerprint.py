@@ -1,12 +1,12 @@
 """Operator 9, document fingerprints by winnowing, in DataFrame functions only.
 
-Words (runs between ASCII blanks) are hashed, K neighbouring hashes are combined to a rolling k-gram hash, and every
-window of W consecutive k-grams gives its smallest hash, the rightmost of equal ones. Any two texts that share
-W + K - 1 words in a row share a fingerprint entry; an entry keeps the k-gram's position.
+Words (runs between ASCII blanks) get 32 bits of their MD5; K neighbouring ones are combined to a rolling k-gram hash, the
+polynomial in BASE modulo the prime MOD; every window of W consecutive k-grams gives its smallest hash, the rightmost of equal
+ones. Any two texts that share W + K - 1 words in a row share a fingerprint entry; an entry keeps the k-gram's position.
 
-K-gram hashes and window minima are built by doubling (2, 4, 8 neighbours), so the work is a few passes over an array.
-A hash and its position are packed in one long, (hash << POS_BITS) | (last position - position): the smallest long is the
-smallest hash, rightmost.
+The polynomial of K words is built from those of K / 2, and window minima from those of 2, 4, ... neighbours, so the work is a
+few passes over an array. A hash and its position are packed in one long, (hash << 32) | (2**32 - 1 - position): the smallest
+long is the smallest hash, rightmost. Positions have 32 bits, more than a string of two gigabytes has words.
 
 Cases: null text is empty; an empty text or one of blanks has the empty fingerprint; a text of fewer than K words has its
 whole sequence as its one k-gram, and one with fewer than W k-grams has one window; the likeness of two empty
@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, W = 4, 8
-POS_BITS = 25
+BASE, MOD = 1_000_003, (1 << 31) - 1
+POS_BITS = 32
 POS_MASK = (1 << POS_BITS) - 1
 RANGES = 64
+RANGE_BYTES = 16 << 20
 
 
 def _next(a: str, by: int) -> str:
@@ -29,27 +31,34 @@ def _next(a: str, by: int) -> str:
     return f"slice({a}, {by + 1}, greatest(size({a}) - {by}, 0))"
 
 
+def _prefix(a: str, by: int) -> str:
+    return f"slice({a}, 1, greatest(size({a}) - {by}, 0))"
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the array of packed entries `out`; K is 4 and W is 8, both by doubling."""
+    """df with the array of packed entries `out`; K and W are powers of two, reached by doubling."""
     keep = df.columns
     words = f"filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')"
-    df = df.selectExpr(*keep, f"transform({words}, w -> xxhash64(w)) _h")
-    pair = lambda a, by: f"zip_with({_prefix(a, by)}, {_next(a, by)}, (x, y) -> xxhash64(x, y))"
-    df = df.selectExpr(*keep, f"if(size(_h) < {K}, if(size(_h) = 0, _h, array(xxhash64(_h))), {pair('_h', 1)}) _g", f"size(_h) < {K} _short")
-    df = df.selectExpr(*keep, f"if(_short, _g, {pair('_g', 2)}) _g")
-    df = df.selectExpr(*keep, f"transform(_g, (x, i) -> shiftleft(shiftrightunsigned(x, {POS_BITS + 1}), {POS_BITS}) | ({POS_MASK} - (i & {POS_MASK}))) _g")
-    for by in (1, 2, 4):
-        df = df.selectExpr(*keep, "coalesce(_n, size(_g)) _n" if by > 1 else "size(_g) _n", f"zip_with(_g, {_next('_g', by)}, (x, y) -> least(x, y)) _g")
+    df = df.selectExpr(*keep, f"transform({words}, w -> cast(conv(left(md5(w), 8), 16, 10) as bigint)) _h")
+    whole = f"array(aggregate(_h, 0L, (s, x) -> (s * {BASE}L + x) % {MOD}L))"
+    step = lambda by: f"zip_with({_prefix('_g', by)}, {_next('_g', by)}, (x, y) -> (x * {pow(BASE, by, MOD)}L + y) % {MOD}L)"
+    df = df.selectExpr(*keep, f"if(size(_h) = 0, _h, {whole}) _all", f"size(_h) < {K} _short", "_h _g")
+    by = 1
+    while by < K:
+        df = df.selectExpr(*keep, "_all", "_short", f"{step(by)} _g")
+        by *= 2
+    df = df.selectExpr(*keep, f"transform(if(_short, _all, _g), (x, i) -> shiftleft(x, {POS_BITS}) | ({POS_MASK}L - i)) _g")
+    df = df.selectExpr(*keep, "size(_g) _n", "_g")
+    by = 1
+    while by < W:
+        df = df.selectExpr(*keep, "_n", f"zip_with(_g, {_next('_g', by)}, (x, y) -> least(x, y)) _g")
+        by *= 2
     return df.selectExpr(*keep, f"array_distinct(slice(_g, 1, greatest(_n - {W - 1}, least(_n, 1)))) {out}")
 
 
-def _prefix(a: str, by: int) -> str:
-    return f"slice({a}, 1, greatest(size({a}) - {by}, 0))"
-
-
 def digest(packed: str) -> Column:
     """The fingerprint as text: `position:hash` in hexadecimal, in order of windows."""
-    return F.expr(f"array_join(transform({packed}, x -> concat(lower(hex({POS_MASK} - (x & {POS_MASK}))), ':', lower(hex(shiftrightunsigned(x, {POS_BITS}))))), ' ')")
+    return F.expr(f"array_join(transform({packed}, x -> concat(lower(hex({POS_MASK}L - (x & {POS_MASK}L))), ':', lower(hex(shiftrightunsigned(x, {POS_BITS}))))), ' ')")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -74,11 +83,13 @@ def _range_of(cuts: list[int]) -> Column:
 def with_following(df: DataFrame, cols: list[str]) -> DataFrame:
     """Adds the struct `_next` of cols of the row that follows by descending doc_id; the first row follows the last.
 
-    Rows are dealt to ranges of doc_id, and each range is ordered on its own. A range's first rows also stand, marked, at
+    Rows are dealt to ranges of doc_id, of RANGE_BYTES of text on average, and each range is ordered on its own (a sort that
+    spills). Equal ids stay in one range, as do null ones; the order by text among them needs them together. A range's first rows also stand, marked, at
     the end of the range before it (the first range's at the end of the last), so each row's follower is in its range.
     """
-    ranges = max(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ids = df.select("doc_id")
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("q")).first().q or []
     place = F.coalesce(_range_of(sorted(set(cuts))), F.lit(-1))
     tops = {r._b: r.top for r in ids.select(place.alias("_b"), "doc_id").groupBy("_b").agg(F.max("doc_id").alias("top")).collect()}
@@ -114,3 +125,21 @@ def fingerprint_edited(docs: DataFrame) -> DataFrame:
     df = df.selectExpr("*", "sha2(encode(edited, 'UTF-8'), 256) edited_sha256")
     df = with_fingerprint(df, "edited", "edited_fp")
     return df.select("doc_id", "n_chars", "edited_sha256", digest("fp").alias("fingerprint"), digest("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+
+
+_WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+#: The same as SQL.
+SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER o, first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text)) AS follows FROM d WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, text)),
+e AS (SELECT *, left(text, length(text) - length(text) // 3) || left(follows, length(text) // 3) AS edited FROM n),
+t AS (SELECT DISTINCT text AS x FROM e UNION SELECT DISTINCT edited FROM e),
+h AS (SELECT x, list_transform({_WORDS.format("x")}, lambda w: CAST('0x' || left(md5(w), 8) AS BIGINT)) AS h FROM t),
+g AS (SELECT x, CASE WHEN len(h) = 0 THEN []::BIGINT[] WHEN len(h) < {K} THEN [list_reduce(list_prepend(0::BIGINT, h), lambda s, y: (s * {BASE} + y) % {MOD})]
+  ELSE list_transform(range(1, len(h) - {K - 2}), lambda i: list_reduce(list_prepend(0::BIGINT, h[i : i + {K - 1}]), lambda s, y: (s * {BASE} + y) % {MOD})) END AS g FROM h),
+p AS (SELECT x, list_transform(range(1, len(g) + 1), lambda i: (g[i] << {POS_BITS}) | ({POS_MASK} - (i - 1))) AS g FROM g),
+f AS (SELECT x, list_sort(list_transform(list_distinct(list_transform(range(1, greatest(len(g) - {W - 2}, least(len(g), 1) + 1)), lambda i: list_min(g[i : i + {W - 1}]))), lambda v: {{'p': {POS_MASK} - (v & {POS_MASK}), 'h': v >> {POS_BITS}}})) AS f FROM p),
+s AS (SELECT x, list_distinct(list_transform(f, lambda v: v.h)) AS hs, array_to_string(list_transform(f, lambda v: printf('%x:%x', v.p, v.h)), ' ') AS shown FROM f)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, a.shown AS fingerprint, b.shown AS edited_fingerprint,
+ CASE WHEN len(a.hs) = 0 AND len(b.hs) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.hs, b.hs)) / CAST(len(a.hs) + len(b.hs) - len(list_intersect(a.hs, b.hs)) AS DOUBLE) END AS near_edited,
+ CASE WHEN len(a.hs) = 0 AND len(c.hs) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.hs, c.hs)) / CAST(len(a.hs) + len(c.hs) - len(list_intersect(a.hs, c.hs)) AS DOUBLE) END AS near_next
+FROM e JOIN s a ON a.x = text JOIN s b ON b.x = edited JOIN s c ON c.x = follows"""
