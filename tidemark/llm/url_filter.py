@@ -4,12 +4,15 @@ Both lists hold canonical prefixes, `host` + `path`: an entry fits its host and
 starts with the entry's path. `rules` carry their own verdict; `listed` entries block where no rule fits.
 
 Every url yields the few keys that could be listed (host suffixes by label count, path prefixes by length, only for
-the combinations that occur in the lists). The keys meet the Bloom blocks in an equi-join on the block number; only
-possible hits go on to the exact join, so false positives of the filter never show.
+the combinations that occur in the lists), and each is tried on the filter: its block is one of the words packed in an array
+that all tasks have, as long as that is small (BROADCAST_BYTES), and a row of a table joined by block number beyond. Rows
+without a possible hit end there, in no shuffle. The others' different urls go on to the exact join, so false positives of the
+filter never show, and the winners are joined back to these rows only; a url that very many rows share is counted map-side,
+and its rows are joined by a broadcast, or as a skewed key.
 
 Cases: null url or one without `://` has empty host and path and fits nothing (verdict allow); repeated rows each get
-their row; an empty table gives an empty result; other columns of the input are ignored; of equal keys with two
-verdicts, block wins.
+their row; an empty table gives an empty result; other columns of the input are kept, whatever their names, but for former
+host, path, rule and verdict, which are replaced; of equal keys with two verdicts, block wins.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, small
+from .common import BROADCAST_BYTES, lower_ascii, small, stored
 
 BITS_PER_KEY = 16
 LANES = 4  # of 64 bits: a block has 256
@@ -38,8 +41,7 @@ def _hashed(df: DataFrame, blocks: int) -> DataFrame:
         "block",
         *(
             F.expr(
-                f"shiftleft(1L, cast(shiftrightunsigned(bits, {12 * k}) & 63 as int)) | "
-                f"shiftleft(1L, cast(shiftrightunsigned(bits, {12 * k + 6}) & 63 as int))"
+                _mask(k).replace("xxhash64(k, 1)", "bits")
             ).alias(f"mask{k}")
             for k in range(LANES)
         ),
@@ -66,33 +68,69 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str
     n_keys = keys.count()
     blocks = max(1, -(-n_keys * BITS_PER_KEY // 256))
 
-    host, path = host_path(F.col(url))
-    urls = pages.select(F.col(url).alias("url")).where(F.instr("url", "://") > 0).distinct().select("url", host.alias("host"), path.alias("path"))
-    labels = F.split("host", "[.]")
-    candidates = [
-        F.when(
-            (F.size(labels) >= n) & (F.length("path") >= m),
-            F.concat(F.substring_index("host", ".", -n), F.lit("\n"), F.substring("path", 1, m)),
-        )
-        for n, m in shapes
-    ]
-    tried = urls.select("url", F.explode(F.array_compact(F.array(*candidates) if candidates else F.expr("cast(array() as array<string>)"))).alias("key"))
-    inside = F.lit(True)
-    for k in range(LANES):
-        inside = inside & (F.col(f"word{k}").bitwiseAND(F.col(f"mask{k}")) == F.col(f"mask{k}"))
-    possible = _hashed(tried, blocks).join(small(bloom_blocks(keys, blocks), blocks, 64), "block").where(inside).select("url", "key")
+    row = pages.select(F.struct(*pages.columns).alias("row"), F.col(url).alias("url"))
+    row = row.select("row", F.when(F.instr("url", "://") > 0, F.col("url")).alias("url"))
+    marked = _possible(row, keys, shapes, blocks)
+    hits = marked.where("size(possible) > 0")
+    tried = hits.select("url", "possible").distinct().select("url", F.explode("possible").alias("key"))
     best = (
-        possible.join(small(keys, n_keys, 400), "key")
+        tried.join(small(keys, n_keys, 400), "key")
         .groupBy("url")
         .agg(F.max(F.struct("is_rule", F.length("entry").alias("n"), "entry", "verdict")).alias("best"))
     )
-    hit = best.select(F.col("url").alias("_hit_url"), "best")
-    kept = [F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    host, path = host_path(F.col(url))
-    return pages.join(hit, F.col(url) == F.col("_hit_url"), "left").select(
+    best = stored(best, "url-hits")
+    judged = hits.select("row", "url").join(small(best, best.count(), 400), "url", "left")
+    every = judged.select("row", "best").unionByName(marked.where("size(possible) = 0").select("row", F.lit(None).cast(best.schema["best"].dataType).alias("best")))
+    host, path = host_path(F.col(f"row.`{url}`"))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return every.select(
         *kept,
         host.alias("host"),
         path.alias("path"),
         F.when(F.col("best.is_rule"), F.col("best.entry")).alias("rule"),
         F.coalesce(F.col("best.verdict"), F.lit("allow")).alias("verdict"),
     )
+
+
+def _possible(row: DataFrame, keys: DataFrame, shapes: list[tuple[int, int]], blocks: int) -> DataFrame:
+    """row(row, url) with `possible`, the keys of its url that the filter does not rule out (none for a null url)."""
+    host, path = host_path(F.col("url"))
+    x = row.withColumns({"h": host, "p": path}).withColumn("labels", F.size(F.split("h", "[.]")))
+    candidates = [
+        F.when(
+            F.col("url").isNotNull() & (F.col("labels") >= n) & (F.length("p") >= m),
+            F.concat(F.substring_index("h", ".", -n), F.lit("\n"), F.substring("p", 1, m)),
+        )
+        for n, m in shapes
+    ]
+    none = F.expr("cast(array() as array<string>)")
+    x = x.select("row", "url", (F.array_compact(F.array(*candidates)) if candidates else none).alias("keys"))
+    filled = bloom_blocks(keys, blocks)
+    if blocks * LANES * 8 <= BROADCAST_BYTES:
+        entries = F.map_from_entries(F.collect_list(F.struct("block", F.array(*(f"word{k}" for k in range(LANES))))))
+        at = filled.agg(F.coalesce(entries, F.expr("cast(map() as map<bigint, array<bigint>>)")).alias("held"))
+        words = at.select(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"), lambda i: F.coalesce(F.try_element_at("held", i), F.array_repeat(F.lit(0).cast("long"), LANES))).alias("words"))
+        inside = " and ".join(f"words[cast(pmod(xxhash64(k), {blocks}L) as int)][{j}] & ({_mask(j)}) = ({_mask(j)})" for j in range(LANES))
+        return x.join(F.broadcast(words)).select("row", "url", F.expr(f"filter(keys, k -> {inside})").alias("possible"))
+    urls = x.where("size(keys) > 0").select("url", "keys").distinct().select("url", F.explode("keys").alias("key"))
+    inside = F.lit(True)
+    for k in range(LANES):
+        inside = inside & (F.col(f"word{k}").bitwiseAND(F.col(f"mask{k}")) == F.col(f"mask{k}"))
+    passed = _hashed(urls, blocks).join(filled, "block").where(inside).groupBy("url").agg(F.collect_set("key").alias("possible"))
+    return x.select("row", "url").join(passed, "url", "left").withColumn("possible", F.coalesce("possible", none))
+
+
+def _mask(lane: int) -> str:
+    """The bits that the key `k` sets in a lane of its block, as SQL."""
+    bit = lambda by: f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(k, 1), {by}) & 63 as int))"
+    return f"{bit(12 * lane)} | {bit(12 * lane + 6)}"
+
+
+def sql(rules: tuple[tuple[str, str, str], ...], listed: tuple[str, ...]) -> str:
+    """The same over `pages` as SQL, every page against every entry."""
+    rows = ", ".join([f"('{h}', '{p}', '{v}', true)" for h, p, v in rules] + [f"('{h}', '', 'block', false)" for h in listed])
+    up = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH e AS (SELECT * FROM (VALUES {rows}) v(h, p, verdict, is_rule)),
+u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{up}', '{up.lower()}'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS n FROM pages),
+m AS (SELECT n, arg_max({{'entry': h || p, 'verdict': e.verdict, 'is_rule': is_rule}}, (is_rule::INT, length(h || p), h || p, e.verdict)) AS b FROM u JOIN e ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+SELECT page_id, host, path, CASE WHEN b.is_rule THEN b.entry END AS rule, coalesce(b.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (n)"""
