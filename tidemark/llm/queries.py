@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, fingerprint, katz, minhash, mixing, quality, repeats, search, url_filter
+from . import bpe, extract, fingerprint, katz, minhash, mixing, oracles, quality, repeats, search, url_filter
 from .common import read
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -50,11 +50,11 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = quality.fold() == 1
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", side.alias("held_out"), (~side).alias("train"))
-    return katz.score_texts(docs)
+    return katz.score_texts(docs).withColumns({c: F.round(c, 7) for c in ("base_score", "score")})  # sums in any order agree so far
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("copies")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,16 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return search.top_k(docs, docs.where(search.is_query()).select(F.col("doc_id").alias("query_id"), "text"))
+    return search.top_k(docs, docs.where(search.is_query()).select(F.col("doc_id").alias("query_id"), "text")).withColumn("score", F.round("score", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_html_text, op3_near_duplicates, op4_quality, op5_bpe, op6_repeats, op7_katz, op8_source_mixing, op9_fingerprints, op10_search)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": url_filter.sql(RULES, LISTED),
+    "op3_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op6_repeats": oracles.REPEATS,
+    "op7_katz": oracles.KATZ,
+    "op8_source_mixing": mixing.SQL,
+    "op9_fingerprints": fingerprint.SQL,
+    "op10_search": oracles.SEARCH,
+}
