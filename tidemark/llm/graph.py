@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, small, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,18 +17,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round a node takes the smallest label among its neighbours, and then its label's label, so that long paths
     shrink by halves. Rounds end when no label changes; each is a table in the shared folder. Minima combine map-side.
+    Labels are broadcast while they are small; beyond that the join of a hub's edges is split as a skewed one at run time.
     """
     both = stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "links")
     labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    n = labels.count()
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("m"))
+        near = both.join(small(labels, n, 16), both.v == labels.node).groupBy("u").agg(F.min("label").alias("m"))
         step = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
         after = stored(step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")), "labels")
-        changed = after.where("label <> old").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels
+        forget(labels)
+        if after.where("label <> old").isEmpty():
+            forget(both)
+            return after.select("node", "label")
+        labels = after.drop("old")
+        labels.stored_at = after.stored_at
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

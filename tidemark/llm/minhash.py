@@ -4,17 +4,22 @@ A text's set holds its distinct 5-word shingles. Texts with equal sets are one n
 ROWS of them at a time make a band key, and nodes that share a band key are candidates. Of every minimum the low BITS are
 kept and packed; the share of equal low bits, corrected for chance hits, estimates the similarity of a candidate pair.
 
-Links are confirmed on full sets, in passes that emit no group's pairs wholesale:
-1. each node against the most central nodes of its buckets (those with the most company over all buckets), the best
-   NEAREST estimates. Components follow;
-2. buckets that still hold several components, compared block by block across components: for each node the best NEAREST
-   estimates, again and again while that joins components;
-3. components between which an estimate is not MARGIN below the limit form families; a family's nodes come together with
-   their full sets, in blocks, and every such pair across components is decided there; only links leave a block.
-Large buckets and families are cut into blocks that go to different tasks.
+Links are confirmed on full sets, in passes that contract groups, so that no pass emits a group's pairs wholesale:
+1. over the first LEADING bands, each node against the leader of its buckets (the node with the most company), the best
+   NEAREST estimates; components follow;
+2. over all bands, but only in buckets that hold several components: each node outside the bucket's largest component
+   against the most central node of that one. What the first pass has joined takes no part;
+3. buckets that still hold several components, compared block by block across components: for each node the best NEAREST
+   estimates, ROUNDS times at most (what is left by then is left to step 4, which leaves nothing);
+4. components between which an estimate is not MARGIN below the limit form families (told in each block by a tree, not by
+   all pairs); a family's nodes come together with their full sets, in blocks, and every such pair across components is
+   decided there; only links leave a block.
+Buckets are told apart by a map-side aggregate over their keys; large buckets and families are cut into blocks that go to
+different tasks. A bucket or family of n nodes in many components takes up to n * n estimates, as any of them may be a link.
 A pair at the limit shares no band with probability (1 - 0.75**ROWS)**BANDS, about 3e-7, and is estimated more than MARGIN
 below it with probability 1e-12 (fewer than 162 of 280 equal low bits, each equal with probability 0.766): in all about
 3e-7. Minima are mixed before their low bits are taken, so that unequal ones agree by chance in any sets, small ones too.
+A bucket's components are told apart by 43 bits of a label and their size, which costs a pair in 1e13 at most.
 
 Cases: null, empty or blank texts have no set, are linked with nothing and are their own component; a text of fewer
 than five words has its word sequence as its one shingle; equal rows are one node; a null doc_id counts in its group
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import lean, small, stored
 from .graph import bounds, components, groups
 from .words import U, grams, chunks, mix, words
 
@@ -42,6 +47,9 @@ NUMERATOR, DENOMINATOR = 75, 100
 MARGIN = 0.2
 BLOCK = 1024
 NEAREST = 2
+LEADING = 8
+ROUNDS = 3
+_LOW43 = (1 << 43) - 1
 
 _seeds = np.random.Generator(np.random.PCG64(31))
 _A = _seeds.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -105,6 +113,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), node (null without words), n_shingles, sig, bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
@@ -126,6 +135,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """pairs(u, v) with est, for those whose estimate is not far below the limit."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -144,6 +154,7 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     n = ids.count()
     keys = small(ids.select("id").distinct(), n, 24)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, h, begin in shingle_sets(batch.column("text")):
@@ -168,6 +179,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs(u, v) with NUMERATOR / DENOMINATOR of their union in common, by full sets."""
     side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -211,13 +223,14 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, how: str) -
     """What links members(key, node) of different labels may have, by estimates that are not far below the limit.
 
     how: `best` gives u, v of each node outside the largest component of a key with its best partners; `labels` gives u, v,
-    each pair of labels with such an estimate once a block; `links` gives u, v of the links themselves, confirmed on the
-    full sets, which nodes then has as `set`.
+    a tree over each set of labels that such estimates connect in a block; `links` gives u, v of the links themselves,
+    confirmed on the full sets, which nodes then has as `set`.
     """
     columns = ["node", "sig", "set"] if how == "links" else ["node", "sig"]
     part = _blocks(members, labels).join(nodes.select(*columns), "node")
     low = NUMERATOR / DENOMINATOR - MARGIN
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches, ["block"]):
             node, label = (whole.column(c).to_numpy() for c in ("node", "label"))
@@ -230,19 +243,27 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, how: str) -
                 inside = np.arange(a, z)
                 others = inside[~main[a:z]]
                 against = inside[main[a:z]] if main[a:z].any() else others
+                own, number = np.unique(label[a:z], return_inverse=True)  # labels of the block, and the tree each is in
+                tree = np.arange(len(own))
                 for x in others:
                     y = against[label[against] != label[x]]
+                    if how == "labels":  # what is connected already needs no estimate
+                        y = y[tree[number[y - a]] != tree[number[x - a]]]
                     est = similarity(sig[x], sig[y])
                     near = np.flatnonzero(est >= low)
                     if how == "best" and len(near):
                         near = near[[est[near].argmax()]]
-                    elif how == "labels":
-                        near = near[np.unique(label[y[near]], return_index=True)[1]]
+                    elif how == "labels" and len(near):
+                        joined = np.unique(tree[number[y[near] - a]])
+                        us.append(own[joined])
+                        vs.append(np.full(len(joined), own[tree[number[x - a]]]))
+                        es.append(np.ones(len(joined)))
+                        tree[np.isin(tree, joined)] = tree[number[x - a]]
+                        continue
                     elif how == "links":
                         near = near[[linked(sets[x], sets[k]) for k in y[near]]] if len(near) else near
-                    of = label if how == "labels" else node
-                    us.append(of[y[near]])
-                    vs.append(np.full(len(near), of[x]))
+                    us.append(node[y[near]])
+                    vs.append(np.full(len(near), node[x]))
                     es.append(est[near])
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, es)], ["u", "v", "est"])
@@ -251,31 +272,71 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, how: str) -
     return _nearest(found.distinct()) if how == "best" else found.select("u", "v").distinct()
 
 
+def _keyed(coded: DataFrame, bands: int) -> DataFrame:
+    """key, node, code of the first `bands` band keys of coded(node, code, bands)."""
+    return coded.select("node", "code", F.explode(F.slice("bands", 1, bands)).alias("key"))
+
+
+def _mixed(coded: DataFrame, bands: int) -> DataFrame:
+    """The keys whose nodes differ in code, with the largest code, z."""
+    sums = _keyed(coded, bands).groupBy("key").agg(F.min("code").alias("a"), F.max("code").alias("z"))
+    return stored(sums.where("a <> z").select("key", "z"), "keys")
+
+
+def _led(coded: DataFrame, bands: int) -> DataFrame:
+    """Pairs (u, v): each node v of a mixed key that has not its largest code, and the head u of that code."""
+    keys = _mixed(coded, bands)
+    n = keys.count()
+    heads = coded.select("code", "head").distinct().join(small(keys.select(F.col("z").alias("code")).distinct(), n, 16), "code").groupBy("code").agg(F.max("head").alias("u"))
+    lead = keys.join(small(heads, n, 16), keys.z == heads.code).select("key", "z", "u")
+    return _keyed(coded, bands).join(small(lead, n, 32), "key").where("code <> z and u <> node").select("u", F.col("node").alias("v")).distinct()
+
+
+def _coded(nodes: DataFrame, size: DataFrame, of: str) -> DataFrame:
+    """node, bands, code, head, from size(node, <of>, head, size): a code holds a size, capped at 20 bits, and 43 bits of <of>."""
+    top = F.least(F.coalesce("size", F.lit(1)), F.lit((1 << 20) - 1)).cast("long")
+    code = F.shiftleft(top, 43).bitwiseOR(F.coalesce(of, "node").bitwiseAND(F.lit(_LOW43)))
+    return nodes.join(size, "node", "left").select("node", "bands", code.alias("code"), F.coalesce("head", "node").alias("head"))
+
+
+def _by_component(nodes: DataFrame, labels: DataFrame, company: DataFrame) -> DataFrame:
+    """_coded by components: their sizes, and their most central nodes as heads."""
+    heads = labels.join(company, "node", "left").groupBy("label").agg(F.max_by("node", F.struct(F.coalesce("size", F.lit(0)), "node")).alias("head"), F.count("*").alias("size"))
+    return stored(_coded(nodes, labels.join(heads, "label"), "label"), "coded")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; also th (hash of the text) and label (of the component)."""
     rows = stored(_rows(docs), "minhash")
-    nodes = stored(rows.where("node is not null").select("node", "sig").dropDuplicates(["node"]), "nodes")
-    keyed = rows.where("node is not null").select("node", F.explode("bands").alias("key")).distinct()
-    in_bucket = Window.partitionBy("key")
-    members = stored(keyed.select("key", "node", F.count("*").over(in_bucket).alias("n")).where("n > 1"), "members")
-
-    central = members.groupBy("node").agg(F.sum("n").alias("company"))
-    lead = members.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("u"))
-    pairs = members.join(lead, "key").where("node <> u").select("u", F.col("node").alias("v")).distinct()
-    tried = stored(_nearest(_estimated(pairs, nodes)), "pairs")
-    links = stored(_confirmed(tried, _sets(docs, rows, tried)), "links")
-    labels = components(links)
-    while True:
+    nodes = stored(rows.where("node is not null").select("node", "sig", "bands").dropDuplicates(["node"]), "nodes")
+    first = nodes.select("node", F.explode(F.slice("bands", 1, LEADING)).alias("key"))
+    shared = stored(first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    company = stored(first.join(small(shared, shared.count(), 16), "key").groupBy("node").agg(F.sum("n").alias("size")), "company")
+    own = company.select("node", F.col("node").alias("head"), "size")
+    tried = links = labels = None
+    for bands in (LEADING, BANDS):
+        coded = stored(_coded(nodes, own, "head"), "coded") if labels is None else _by_component(nodes, labels, company)
+        pairs = _led(coded, bands)
+        pairs = pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = stored(_nearest(_estimated(pairs, nodes)), "pairs")
+        found = stored(_confirmed(pairs, _sets(docs, rows, pairs)), "links")
+        tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
+        labels = components(links)
+
+    coded = _by_component(nodes, labels, company)
+    keys = _mixed(coded, BANDS)
+    members = stored(_keyed(coded, BANDS).join(small(keys.select("key"), keys.count(), 8), "key", "left_semi").select("key", "node"), "members")
+    for _ in range(ROUNDS):
         pairs = stored(_across(members, labels, nodes, "best").join(tried, ["u", "v"], "left_anti"), "pairs")
         found = stored(_confirmed(pairs, _sets(docs, rows, pairs)), "links")
-        if not found.limit(1).count():
+        if found.isEmpty():
             break
         tried, links = tried.union(pairs), links.union(found)
         labels = components(links)
 
     # components that may still be linked meet with their full sets, each node once
     near = stored(_across(members, labels, nodes, "labels"), "pairs")
-    if near.limit(1).count():
+    if not near.isEmpty():
         family = components(near).select(F.col("node").alias("label"), F.col("label").alias("key"))
         every = nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         rest = stored(every.join(family, "label").select("key", "node"), "members")
