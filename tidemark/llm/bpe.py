@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 END = "\n"  # stands for the end-of-word suffix; no vocabulary character is a blank
 CACHE_WORDS = 100_000
 CACHE_PAIRS = 250_000
@@ -187,6 +189,7 @@ def encode(docs: DataFrame, vocab: str, outputs: tuple[str, ...] = ("n_tokens",
     kept = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, KINDS[c]) for c in outputs])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(_path(vocab))
         for whole in batches:
@@ -205,6 +208,7 @@ def decode(rows: DataFrame, vocab: str, ids: str = "ids", out: str = "decoded")
     schema = T.StructType([f for f in rows.schema if f.name != out] + [T.StructField(out, T.StringType())])
     kept = [c for c in rows.columns if c != out]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(_path(vocab))
         for batch in batches:

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 from .words import chunks, raw
 
 
@@ -31,6 +31,7 @@ def bundled(docs: DataFrame, size: int) -> DataFrame:
     given = docs.select("text", F.struct(*rest).alias("rest"))
     kind = given.schema["rest"].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")

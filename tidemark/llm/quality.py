@@ -13,6 +13,7 @@ held out; repeated rows count and are scored each time; an empty table gives an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,19 +23,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small, stored
+from .common import WORD, lean, small, stored
 
 BITS = 16
 RUNS = 8
 SAMPLE = 10_000
 THRESHOLD = 0.3
+ROWS = 500  # at a time in a worker
+RUN_FEATURES = 16  # numbers of their own, before those of n-grams
 LABEL_ROW_BYTES = 16
+WORDS = re.compile(WORD)
 
 
 def features(text: str) -> np.ndarray:
     """The numbers of the indicators that a text sets, ascending."""
     b = np.frombuffer(text.encode("utf-8"), np.uint8).astype(np.uint32)
-    on = np.zeros(1 << BITS, bool)
+    on = np.zeros((1 << BITS) + RUN_FEATURES, bool)
     h = b
     for n in (1, 2, 3):
         if n > 1:
@@ -42,8 +46,8 @@ def features(text: str) -> np.ndarray:
                 break
             h = h[:-1] * np.uint32(0x01000193) + b[n - 1 :] * np.uint32(2654435761)
         x = (h ^ (h >> np.uint32(15))) * np.uint32(2246822519) + np.uint32(n * 77777)
-        on[x >> np.uint32(32 - BITS)] = True
-    words = text.split()
+        on[RUN_FEATURES + (x >> np.uint32(32 - BITS))] = True
+    words = WORDS.findall(text)
     run = best = 1
     for a, c in zip(words, words[1:], strict=False):
         if a == c:
@@ -119,8 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     rate = 1.0 if n <= sample else sample / n
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30))
     rows = docs.select("doc_id", "text").join(small(known, n, LABEL_ROW_BYTES), "doc_id").select("text", "y", pick.alias("pick"))
-    size = 1 << BITS
+    size = (1 << BITS) + RUN_FEATURES
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, size), np.int64)
         for batch in batches:
@@ -129,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 found = features(text or "")
                 sums[y][found] += 1
                 if pick:
-                    kept.append(found.astype("<u2").tobytes())
+                    kept.append(found.astype("<u4").tobytes())
                     of.append(y)
             if kept:
                 none = pa.nulls(len(kept), pa.int64())
@@ -139,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     seen = stored(rows.mapInArrow(count, "feature int, neg long, pos long, found binary, y int"), "quality")
     counts = np.ones((2, size))
-    for r in seen.where("feature >= 0").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toLocalIterator():  # at most 2**BITS rows
+    for r in seen.where("feature >= 0").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toLocalIterator():  # at most 2**BITS + RUN_FEATURES rows
         counts[0][r.feature] += r.neg
         counts[1][r.feature] += r.pos
     picked = sorted((bytes(r.found), r.y) for r in seen.where("feature < 0").select("found", "y").collect())  # bounded by sample
@@ -147,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(size), 0.0, 1.0, float(np.log(share / (1 - share))))
-    x = [np.frombuffer(r[0], "<u2").astype(np.int64) for r in picked]
+    x = [np.frombuffer(r[0], "<u4").astype(np.int64) for r in picked]
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     signs = 2.0 * y - 1
     order = np.random.default_rng(1).permutation(len(x))
@@ -167,16 +172,22 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep:
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            s = np.array([m.score(features(t or "")) for t in batch.column("_text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(f"_k{i}") for i in range(len(kept))), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                s = np.array([m.score(features(t or "")) for t in batch.column(read).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(batch.column(f"_k{i}") for i in range(len(kept))), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)), F.col(text).alias("_text")).mapInArrow(run, schema)
+    given = [F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)]
+    read = f"_k{kept.index(text)}" if text in kept else "_text"  # a text that is kept is sent once
+    return docs.select(*given, *([] if text in kept else [F.col(text).alias("_text")])).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not rejected, with their columns."""
-    found = classify(docs.select(F.struct(*docs.columns).alias("row"), "text"), fit(docs, labels), threshold, keep=["row"])
-    return found.where("predicted = 1").select("row.*")
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # the table may have columns named score or predicted
+    found = classify(docs.toDF(*names), fit(docs, labels), threshold, text=names[docs.columns.index("text")])
+    return found.where("predicted = 1").drop("score", "predicted").toDF(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .anchors import SPAN, anchors
 from .bundles import beside, bundled, unpack
-from .common import stored
+from .common import lean, stored
 from .graph import bounds, groups
 from .words import U, mix
 
@@ -40,6 +40,7 @@ SORTED_BYTES = 1 << 20
 def _anchors(bundles: DataFrame) -> DataFrame:
     """anchor, context, bundle, spots: of each different context in a bundle, the places and lengths of its runs."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bundle, z, ends in zip(*(batch.column(c) for c in ("bundle", "z", "ends")), strict=True):
@@ -65,6 +66,7 @@ def _judged(found: DataFrame) -> DataFrame:
     others. Rows come sorted, and each needs its neighbours only, however many share an anchor.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the last row of the batch before, not judged yet; and the row before it
         before = None
@@ -118,6 +120,7 @@ def _contexts(bundles: DataFrame, judged: DataFrame) -> DataFrame:
     """anchor, bundle, spot, bytes of each different context that is an edge."""
     edges = judged.where("edge").select("bundle", "spots", "anchor")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches, ["bundle"]):
             cut = bounds(whole, ["bundle"])
@@ -199,6 +202,7 @@ def _common(x: bytes, y: bytes) -> int:
 def _sorted_spans(contexts: DataFrame) -> DataFrame:
     """bundle, spots (start << 32 | bytes of each span), from suffix arrays over the contexts of each anchor."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches, ["anchor"]):
             cut = bounds(whole, ["anchor"])
@@ -226,6 +230,7 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
 def _counted_spans(contexts: DataFrame) -> DataFrame:
     """As _sorted_spans, from counts of all their strings' hashes; no group is gathered."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 64, (2, 256), dtype=U)
         base = np.array([[0xD6E8FEB86659FD93], [0xA0761D6478BD642F]], U)
@@ -264,6 +269,7 @@ def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("kept", "n_bytes
     kinds = {"kept": ("string", pa.string()), "kept_sha256": ("string", pa.string()), "n_bytes": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "n_spans": ("long", pa.int64())}
     kind = docs.select(F.struct(*rest).alias("rest")).schema["rest"].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["bundle"]):
             cut = bounds(group, ["bundle"])
