@@ -14,50 +14,50 @@ CLOSES = {
     "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"},
 }
 SCOPE = frozenset("table ul ol dl select div article section aside main nav header footer form body html blockquote figure".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote that nothing closes belongs to its tag, which ends at the next `>`.
+_INSIDE = r"""(?>[^>"']+|"[^"<]*"|"[^"]*"(?=\s|/?>)|'[^'<]*'|'[^']*'(?=\s|/?>)|["'])*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Tree:
-    """parent, tag, attrs of each node (0 is the page); text: (node, string) in page order; None for a break of line."""
+    """parent, tag, attrs of each node (0 is the page); text: (node, string) in page order; None for a break of line.
 
-    __slots__ = ("attrs", "parent", "tag", "text")
+    Open elements are counted by name, for the page and inside the innermost element of SCOPE, so that a tag that closes
+    nothing costs one look: reading takes time in proportion to the page.
+    """
+
+    __slots__ = ("_frames", "_open", "_stack", "attrs", "parent", "tag", "text")
 
     def __init__(self, page: str):
         self.parent, self.tag, self.attrs = [-1], ["#page"], [""]
         self.text: list[tuple[int, str | None]] = []
-        stack = [0]
+        self._stack, self._open, self._frames = [0], {}, [{}]
         at, end = 0, len(page)
         while at < end:
             m = TOKEN.search(page, at)
             if m is None:
-                self._add(stack[-1], page[at:])
+                self._add(self._stack[-1], page[at:])
                 break
             if m.start() > at:
-                self._add(stack[-1], page[at : m.start()])
+                self._add(self._stack[-1], page[at : m.start()])
             at = m.end()
             name = m[2]
             if name is None:
                 continue
             name = name.lower()
             if m[1]:
-                if name == "p" and not any(self.tag[x] == "p" for x in stack):
-                    continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
-                    if name in INLINE and self.tag[stack[k]] in SCOPE:
-                        break
+                if (self._frames[-1] if name in INLINE else self._open).get(name):
+                    self._pop({name})
                 continue
             if name not in INLINE and name not in VOID or name == "hr":
-                self._close(stack, {"p"})
+                self._close({"p"})
             if name in CLOSES:
-                self._close(stack, CLOSES[name])
+                self._close(CLOSES[name])
             if name == "br":
-                self.text.append((stack[-1], None))
+                self.text.append((self._stack[-1], None))
                 continue
-            self.parent.append(stack[-1])
+            self.parent.append(self._stack[-1])
             self.tag.append(name)
             self.attrs.append(m[3])
             if name in VOID or m[3].endswith("/") and name not in RAW and name not in SCOPE and name not in INLINE and name != "p":
@@ -69,20 +69,33 @@ class Tree:
                     self._add(len(self.tag) - 1, body)
                 at = close.end() if close else end
                 continue
-            stack.append(len(self.tag) - 1)
+            self._stack.append(len(self.tag) - 1)
+            self._open[name] = self._open.get(name, 0) + 1
+            if name in SCOPE:
+                self._frames.append({})
+            else:
+                self._frames[-1][name] = self._frames[-1].get(name, 0) + 1
+        del self._stack, self._open, self._frames
 
     def _add(self, node: int, s: str) -> None:
         self.text.append((node, html.unescape(s) if "&" in s else s))
 
-    def _close(self, stack: list[int], names: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in names:
-                del stack[k:]
-                return
-            if tag in SCOPE:
+    def _pop(self, names: set[str]) -> None:
+        """Close open elements up to the first of these names, which is known to be open."""
+        while True:
+            name = self.tag[self._stack.pop()]
+            self._open[name] -= 1
+            if name in SCOPE:
+                self._frames.pop()
+            else:
+                self._frames[-1][name] -= 1
+            if name in names:
                 return
 
+    def _close(self, names: set[str]) -> None:
+        if any(self._frames[-1].get(n) for n in names):
+            self._pop(names)
+
 
 def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw else {}
