@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, small, stored
+from .common import forget, lean, small, stored
 from .graph import bounds, components, groups
 from .words import U, grams, chunks, mix, words
 
@@ -48,7 +48,7 @@ MARGIN = 0.2
 BLOCK = 1024
 NEAREST = 2
 LEADING = 8
-ROUNDS = 3
+ROUNDS = 1
 _LOW43 = (1 << 43) - 1
 
 _seeds = np.random.Generator(np.random.PCG64(31))
@@ -191,6 +191,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long")
 
 
+def _decided(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    sets = _sets(docs, rows, pairs)
+    found = stored(_confirmed(pairs, sets), "links")
+    forget(sets)
+    return found
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     """u, v of the NEAREST best estimates of each v."""
     order = Window.partitionBy("v").orderBy(F.desc("est"), "u")
@@ -307,8 +314,10 @@ def _by_component(nodes: DataFrame, labels: DataFrame, company: DataFrame) -> Da
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; also th (hash of the text) and label (of the component)."""
-    rows = stored(_rows(docs), "minhash")
-    nodes = stored(rows.where("node is not null").select("node", "sig", "bands").dropDuplicates(["node"]), "nodes")
+    full = stored(_rows(docs), "minhash")
+    nodes = stored(full.where("node is not null").select("node", "sig", "bands").dropDuplicates(["node"]), "nodes")
+    rows = stored(full.drop("sig", "bands"), "rows")
+    forget(full)
     first = nodes.select("node", F.explode(F.slice("bands", 1, LEADING)).alias("key"))
     shared = stored(first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     company = stored(first.join(small(shared, shared.count(), 16), "key").groupBy("node").agg(F.sum("n").alias("size")), "company")
@@ -319,16 +328,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = _led(coded, bands)
         pairs = pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
         pairs = stored(_nearest(_estimated(pairs, nodes)), "pairs")
-        found = stored(_confirmed(pairs, _sets(docs, rows, pairs)), "links")
+        forget(coded)
+        found = _decided(docs, rows, pairs)
         tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
         labels = components(links)
 
     coded = _by_component(nodes, labels, company)
     keys = _mixed(coded, BANDS)
     members = stored(_keyed(coded, BANDS).join(small(keys.select("key"), keys.count(), 8), "key", "left_semi").select("key", "node"), "members")
+    forget(coded, keys)
     for _ in range(ROUNDS):
         pairs = stored(_across(members, labels, nodes, "best").join(tried, ["u", "v"], "left_anti"), "pairs")
-        found = stored(_confirmed(pairs, _sets(docs, rows, pairs)), "links")
+        found = _decided(docs, rows, pairs)
         if found.isEmpty():
             break
         tried, links = tried.union(pairs), links.union(found)
@@ -340,8 +351,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         family = components(near).select(F.col("node").alias("label"), F.col("label").alias("key"))
         every = nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         rest = stored(every.join(family, "label").select("key", "node"), "members")
-        full = nodes.join(_sets(docs, rows, rest.select(F.col("node").alias("u"), F.col("node").alias("v"))), "node")
-        labels = components(stored(links.union(_across(rest, labels, full, "links")), "links"))
+        whole = nodes.join(_sets(docs, rows, rest.select(F.col("node").alias("u"), F.col("node").alias("v"))), "node")
+        labels = components(stored(links.union(_across(rest, labels, whole, "links")), "links"))
 
     of = rows.join(labels, "node", "left").select("doc_id", "th", "n_shingles", F.coalesce("label", "node").alias("label"))
     ids = of.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
