@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .bundles import beside, bundled, pack, unpack
 from .common import lean, stored
 from .graph import bounds, groups
-from .words import U, Words
+from .words import U, hashes
 
 BUNDLE_BYTES = 6 << 20
 CUT = 5
@@ -65,13 +65,13 @@ class Tokens:
 
     @staticmethod
     def read(body: np.ndarray, ends: np.ndarray) -> Tokens:
-        w = Words(body, ends)
-        size = np.diff(w.first) + 1
+        words, size = hashes(body, ends)
+        size = size + 1
         close = np.cumsum(size) - 1
         h = np.empty(int(size.sum()), U)
         is_end = np.zeros(len(h), bool)
         is_end[close] = True
-        h[is_end], h[~is_end] = END, w.hash
+        h[is_end], h[~is_end] = END, words
         t = Tokens(h, np.repeat(np.arange(len(size)), size), size)
         t.unique, t.index = np.unique(h, return_inverse=True)
         return t

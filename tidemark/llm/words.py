@@ -94,6 +94,19 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def hashes(body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of many texts, and each text's number of words; read some megabytes at a time."""
+    found, sizes = [], []
+    at = 0
+    while at < len(ends) - 1:
+        to = min(max(int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1, at + 1), len(ends) - 1)
+        w = Words(body[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+        found.append(w.hash)
+        sizes.append(np.diff(w.first))
+        at = to
+    return (np.concatenate(found), np.concatenate(sizes)) if found else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
 def words(column: pa.Array, lower: bool = True) -> Words:
     return Words(*raw(column), lower)
 
