@@ -7,6 +7,7 @@ return the columns of documents. Between stages the rows are written as Parquet
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, minhash, mixing, quality, repeats
 from tidemark.llm.common import read, stored
@@ -39,9 +40,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars with n_tokens and token ids."""
+    """doc_id, lang, source, n_chars with n_tokens, token ids and the hash of the text that the ids decode to."""
     ship(spark)
-    return bpe.encode(docs, VOCABULARY, outputs=("n_tokens", "ids"), keep=[c for c in docs.columns if c != "text"])
+    made = bpe.encode(docs, VOCABULARY, outputs=("n_tokens", "ids", "decoded"), keep=[c for c in docs.columns if c != "text"])
+    return made.withColumn("decoded_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256)).drop("decoded")
 
 
 STAGES = [
@@ -52,7 +54,7 @@ STAGES = [
     ("tokenize", tokenize),
 ]
 
-#: A trained classifier, MinHash groups and a tokenizer are beyond SQL; tests compare the stages with brute force.
+#: A trained classifier, MinHash groups and a tokenizer are beyond SQL; tests compare each stage's rows with brute force.
 ORACLE_SQL = None
 
 
