@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,57 @@ def test_tails_rates_and_histories(spark):
     runs = spark.createDataFrame([(1, 10.0, 5.0), (2, 20.0, 4.0)], "run int, paths_per_second double, memory_mb double")
     h = records.append_run(runs.where("run = 1"), runs)
     assert h.count() == 2 and [x.throughput_change for x in records.regressions(h).orderBy("run").collect()] == [None, 100.0]
+
+
+def moments_of(cov, mean):
+    names = [f"t{i}" for i in range(len(mean))]
+    return [("p", a, b, float(cov[i, j]), float(mean[i])) for i, a in enumerate(names) for j, b in enumerate(names)]
+
+
+def simplex(n, steps):
+    """All weights in multiples of 1 / steps that sum to 1."""
+    if n == 1:
+        yield (steps,)
+        return
+    for k in range(steps + 1):
+        for rest in simplex(n - 1, steps - k):
+            yield (k, *rest)
+
+
+@pytest.fixture(scope="module")
+def market(spark):
+    r = np.random.default_rng(3)
+    a = r.normal(size=(40, 4)) * [0.1, 0.2, 0.15, 0.3] + r.normal(size=(40, 1)) * 0.1
+    cov, mean = np.cov(a.T), np.array([0.05, 0.12, 0.07, 0.2])
+    grid = np.array(list(simplex(4, 40))) / 40
+    return cov, mean, grid, spark.createDataFrame(moments_of(cov, mean), "portfolio string, a string, b string, cov double, mean double")
+
+
+def test_optimised_weights_against_a_grid(market):
+    cov, mean, grid, mom = market
+    var = np.einsum("ij,jk,ik->i", grid, cov, grid)
+    sharpe = (grid @ mean - 0.02) / np.sqrt(var)
+    by = lambda kind: np.array([x.w for x in portfolio.optimized(mom, kind).orderBy("ticker").collect()])
+    w = by("min_variance")
+    assert w.sum() == pytest.approx(1) and w.min() >= 0 and w @ cov @ w <= var.min() + 1e-9
+    w = by("max_sharpe")
+    assert w.sum() == pytest.approx(1) and (w @ mean - 0.02) / np.sqrt(w @ cov @ w) >= sharpe.max() - 1e-6
+    w = by("risk_parity")
+    assert w * (cov @ w) / (w @ cov @ w) == pytest.approx(np.full(4, 0.25))
+    for x in portfolio.frontier(mom, 6).collect():
+        enough = grid @ mean >= x.target
+        assert x.ret >= x.target - 1e-4 and x.sigma**2 <= var[enough].min() + 1e-5
+
+
+def test_linkage_by_definition(market):
+    cov, _, _, mom = market
+    dev = np.sqrt(np.diag(cov))
+    d = 1 - cov / np.outer(dev, dev)
+    groups, number, want = {i: (i,) for i in range(4)}, 4, []
+    while len(groups) > 1:
+        h, a, b = min((np.mean([d[i, j] for i in groups[a] for j in groups[b]]), a, b) for a in groups for b in groups if a < b)
+        want.append((a, b, h))
+        groups[number] = groups.pop(a) + groups.pop(b)
+        number += 1
+    got = [(x.a, x.b, x.height) for x in portfolio.linkage(mom).orderBy("step").collect()]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])

@@ -80,6 +80,16 @@ def b7_risk_parity(spark: Spark, d: str) -> DataFrame:
     return rnd(pf.optimized(pf.moments(_clipped(spark, d)), "risk_parity"), "w")
 
 
+@query("b7_risk_shares", "SELECT left(p_brand, 7) AS portfolio, p_brand AS ticker, round(1.0 / count(*) OVER (PARTITION BY left(p_brand, 7)), 4) AS share FROM (SELECT DISTINCT p_brand FROM part)", base=False)
+def b7_risk_shares(spark: Spark, d: str) -> DataFrame:
+    """Each asset's share of the variance under risk parity weights: what the weights are for is that these are equal."""
+    mom = pf.moments(_clipped(spark, d))
+    w = pf.optimized(mom, "risk_parity")
+    held = mom.join(w.select("portfolio", F.col("ticker").alias("b"), F.col("w").alias("wb")), ["portfolio", "b"]).groupBy("portfolio", F.col("a").alias("ticker")).agg(F.sum(F.col("cov") * F.col("wb")).alias("s"))
+    part = held.join(w, ["portfolio", "ticker"]).withColumn("c", F.col("w") * F.col("s"))
+    return rnd(part.select("portfolio", "ticker", (F.col("c") / F.sum("c").over(pf.book())).alias("share")), "share", digits=4)
+
+
 @query("b8_frontier")
 def b8_frontier(spark: Spark, d: str) -> DataFrame:
     return rnd(pf.frontier(pf.moments(_clipped(spark, d)), 10), "target", "ret", "sigma", digits=4)
