@@ -193,3 +193,12 @@ def test_linkage_by_definition(market):
         number += 1
     got = [(x.a, x.b, x.height) for x in portfolio.linkage(mom).orderBy("step").collect()]
     assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+def test_partitions_written_are_replaced_alone(spark, tmp_path):
+    from tidemark.sources import tables
+
+    rows = spark.createDataFrame([("A", 1), ("B", 2)], "ticker string, n int")
+    tables.write_partitioned(rows, f"{tmp_path}/t")
+    tables.write_partitioned(rows.where("ticker = 'A'").withColumn("n", F.lit(9)), f"{tmp_path}/t")
+    assert {x.ticker: x.n for x in spark.read.parquet(f"{tmp_path}/t").collect()} == {"A": 9, "B": 2}

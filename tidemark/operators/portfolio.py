@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.optimize import equal_risk, least_variance, matrix, most_sharpe
+from tidemark.operators.risk import day_pairs
 
 
 def book() -> WindowSpec:
@@ -61,9 +62,7 @@ def core_satellite(members: DataFrame, core: float = 0.7) -> DataFrame:
 
 def moments(rets: DataFrame) -> DataFrame:
     """portfolio, a, b, cov, mean (of a), both yearly: the long covariance matrix of each portfolio."""
-    x = rets.select("portfolio", "date", F.col("ticker").alias("a"), F.col("ret").alias("x"))
-    y = rets.select("portfolio", "date", F.col("ticker").alias("b"), F.col("ret").alias("y"))
-    return x.join(y, ["portfolio", "date"]).groupBy("portfolio", "a", "b").agg((F.covar_samp("x", "y") * 252).alias("cov"), (F.avg("x") * 252).alias("mean"))
+    return day_pairs(rets, ["portfolio", "date"], "ret", lambda a, b: F.lit(True)).groupBy("portfolio", "a", "b").agg((F.covar_samp("x", "y") * 252).alias("cov"), (F.avg("x") * 252).alias("mean"))
 
 
 def optimized(mom: DataFrame, kind: str, rf: float = 0.02, low: float = 0.0, high: float = 1.0) -> DataFrame:

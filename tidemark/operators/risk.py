@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def complete_cases(rets: DataFrame) -> DataFrame:
     """Rows of the days on which every ticker has a return."""
     n = rets.agg(F.count_distinct("ticker").alias("k"))
@@ -35,10 +34,20 @@ def aligned_tails(rets: DataFrame, align: str = "date") -> DataFrame:
 
 
 def pairs(rets: DataFrame, column: str = "ret", same: bool = True) -> DataFrame:
-    """date, a, b, x, y of all pairs of tickers (a <= b, or a < b) with a return on the same day."""
-    left = rets.select("date", F.col("ticker").alias("a"), F.col(column).alias("x"))
-    right = rets.select("date", F.col("ticker").alias("b"), F.col(column).alias("y"))
-    return left.join(right, "date").where("a <= b" if same else "a < b")
+    """date, a, b, x, y of all pairs of tickers (a <= b, or a < b) with a return on the same day.
+
+    A day's rows meet in one list, as long as there are tickers, and the pairs are read off it where it stands: one shuffle
+    of the rows, and what is counted or summed over pairs combines map-side.
+    """
+    return day_pairs(rets, ["date"], column, (lambda a, b: a <= b) if same else (lambda a, b: a < b))
+
+
+def day_pairs(rets: DataFrame, keys: list[str], column: str, keep) -> DataFrame:
+    """keys, a, b, x, y of the pairs of rows (ticker, column) of each key for which keep(a, b) holds."""
+    days = rets.groupBy(*keys).agg(F.collect_list(F.struct(F.col("ticker").alias("t"), F.col(column).alias("v"))).alias("d"))
+    left = days.select(*keys, "d", F.explode("d").alias("l"))
+    both = left.select(*keys, "l", F.explode(F.filter("d", lambda r: keep(F.col("l.t"), r.t))).alias("r"))
+    return both.select(*keys, F.col("l.t").alias("a"), F.col("r.t").alias("b"), F.col("l.v").alias("x"), F.col("r.v").alias("y"))
 
 
 def covariance(rets: DataFrame) -> DataFrame:

@@ -47,11 +47,11 @@ def s7_observations(spark: Spark, d: str) -> DataFrame:
     return formats.observations(body, percent=True)
 
 
-@query("s9_splits", """WITH s AS (SELECT p_brand AS ticker, CASE WHEN p_size % 2 = 0 THEN p_size / 2.0 ELSE 2.0 / (p_size + 1) END AS ratio FROM part WHERE p_size BETWEEN 3 AND 20)
+@query("s9_splits", """WITH s AS (SELECT p_brand AS ticker, CASE WHEN p_size % 2 = 0 THEN p_size / 2.0 ELSE 2.0 / (p_size + 1) END AS ratio FROM part)
 SELECT ticker, CASE WHEN ratio < 1 THEN 'reverse_split' ELSE 'split' END AS action, count(*) AS n, round(sum(CASE WHEN ratio < 1 THEN 1 / ratio ELSE 1 END), 4) AS ratio_from, round(sum(CASE WHEN ratio < 1 THEN 1 ELSE ratio END), 4) AS ratio_to FROM s GROUP BY 1, 2""", base=False)
 def s9_splits(spark: Spark, d: str) -> DataFrame:
     size = F.col("p_size")
-    events = b.table(spark, d, "part").where("p_size between 3 and 20").select(F.col("p_brand").alias("ticker"), F.lit("2000-01-03").cast("date").alias("date"), F.when(size % 2 == 0, size / 2).otherwise(2 / (size + 1)).alias("ratio"))
+    events = b.table(spark, d, "part").select(F.col("p_brand").alias("ticker"), F.lit("2000-01-03").cast("date").alias("date"), F.when(size % 2 == 0, size / 2).otherwise(2 / (size + 1)).alias("ratio"))
     return rnd(formats.splits(events).groupBy("ticker", "action").agg(F.count("*").alias("n"), F.sum("ratio_from").alias("ratio_from"), F.sum("ratio_to").alias("ratio_to")), "ratio_from", "ratio_to", digits=4)
 
 

@@ -36,12 +36,12 @@ def a12_spearman(spark: Spark, d: str) -> DataFrame:
     return rnd(risk.rank_correlation(b.returns(spark, d)), "spearman")
 
 
-@query("a12_kendall", """WITH m AS (SELECT ticker, date_trunc('month', date) AS date, arg_max(close, date) AS ret FROM bars WHERE ticker IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY 1, 2),
+@query("a12_kendall", """WITH m AS (SELECT ticker, date_trunc('month', date) AS date, arg_max(close, date) AS ret FROM bars GROUP BY 1, 2),
 p AS (SELECT x.ticker AS a, y.ticker AS b, x.date, x.ret AS x, y.ret AS y FROM m x JOIN m y ON x.date = y.date AND x.ticker < y.ticker)
 SELECT p.a, p.b, round(avg(sign(p.x - q.x) * sign(p.y - q.y)), 6) AS kendall FROM p JOIN p q ON p.a = q.a AND p.b = q.b AND p.date < q.date GROUP BY 1, 2""")
 def a12_kendall(spark: Spark, d: str) -> DataFrame:
     m = b.bars(spark, d).groupBy("ticker", F.date_trunc("month", "date").alias("date")).agg(F.max_by("close", "date").alias("ret"))
-    return rnd(risk.kendall(m.where("ticker IN ('Brand#11', 'Brand#12', 'Brand#13')")).select("a", "b", "kendall"), "kendall")
+    return rnd(risk.kendall(m).select("a", "b", "kendall"), "kendall")
 
 
 @query("a12_kendall_all_pairs")
@@ -110,32 +110,29 @@ def b17_correlation_network(spark: Spark, d: str) -> DataFrame:
     return rnd(risk.edges(risk.covariance(b.returns(spark, d)), 0.05), "corr")
 
 
-ROLL = PAIRS + """, r AS (SELECT a, b, date, CASE WHEN count(*) OVER w = 60 THEN corr(x, y) OVER w END AS corr FROM p WHERE a = 'Brand#11' AND b <> a WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS 59 PRECEDING))"""
+ROLL = PAIRS + """, r AS (SELECT a, b, date, CASE WHEN count(*) OVER w = 60 THEN corr(x, y) OVER w END AS corr FROM p WHERE b <> a WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS 59 PRECEDING))"""
 
 
-def _with_first(spark: Spark, d: str) -> DataFrame:
-    return risk.pairs(b.returns(spark, d), same=False).where("a = 'Brand#11'")
+def _all_pairs(spark: Spark, d: str) -> DataFrame:
+    return risk.pairs(b.returns(spark, d), same=False)
 
 
-@query("w4_rolling_correlation", ROLL + " SELECT a, b, date, round(corr, 5) AS corr FROM r")
+@query("w4_rolling_correlation", ROLL + " SELECT a, b, date, round(corr, 5) + 0 AS corr FROM r")  # + 0: no negative zeros
 def w4_rolling_correlation(spark: Spark, d: str) -> DataFrame:
-    return rnd(risk.rolling_correlation(_with_first(spark, d)).select("a", "b", "date", "corr"), "corr", digits=5)
+    return rnd(risk.rolling_correlation(_all_pairs(spark, d)).select("a", "b", "date", "corr"), "corr", digits=5)
 
 
 @query("a22_correlation_stability", ROLL + " SELECT a, b, round(avg(corr), 5) AS mean, round(stddev_samp(corr), 5) AS std, round(min(corr), 5) AS low, round(max(corr), 5) AS high, round(max(corr) - min(corr), 5) AS spread FROM r WHERE corr IS NOT NULL GROUP BY 1, 2")
 def a22_correlation_stability(spark: Spark, d: str) -> DataFrame:
-    return rnd(risk.stability(_with_first(spark, d)), "mean", "std", "low", "high", "spread", digits=5)
+    return rnd(risk.stability(_all_pairs(spark, d)), "mean", "std", "low", "high", "spread", digits=5)
 
 
-ROLL_ALL = PAIRS + """, r AS (SELECT a, b, date, CASE WHEN count(*) OVER w = 60 THEN corr(x, y) OVER w END AS corr FROM p WHERE b <> a WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS 59 PRECEDING))"""
-
-
-@query("w4_rolling_correlation_all_pairs", ROLL_ALL + " SELECT a, b, date, round(corr, 5) + 0 AS corr FROM r")  # + 0: no negative zeros
+@query("w4_rolling_correlation_all_pairs", ROLL + " SELECT a, b, date, round(corr, 5) + 0 AS corr FROM r")
 def w4_rolling_correlation_all_pairs(spark: Spark, d: str) -> DataFrame:
     return rnd(risk.rolling_correlation(risk.pairs(b.returns(spark, d), same=False)).select("a", "b", "date", "corr"), "corr", digits=5)
 
 
-@query("a22_correlation_stability_all_pairs", ROLL_ALL + " SELECT a, b, round(avg(corr), 5) AS mean, round(stddev_samp(corr), 5) AS std, round(min(corr), 5) AS low, round(max(corr), 5) AS high, round(max(corr) - min(corr), 5) AS spread FROM r WHERE corr IS NOT NULL GROUP BY 1, 2")
+@query("a22_correlation_stability_all_pairs", ROLL + " SELECT a, b, round(avg(corr), 5) AS mean, round(stddev_samp(corr), 5) AS std, round(min(corr), 5) AS low, round(max(corr), 5) AS high, round(max(corr) - min(corr), 5) AS spread FROM r WHERE corr IS NOT NULL GROUP BY 1, 2")
 def a22_correlation_stability_all_pairs(spark: Spark, d: str) -> DataFrame:
     return rnd(risk.stability(risk.pairs(b.returns(spark, d), same=False)), "mean", "std", "low", "high", "spread", digits=5)
 
