@@ -17,7 +17,7 @@ def numbered(series: DataFrame) -> DataFrame:
 def block_bootstrap(series: DataFrame, paths: int, days: int, block: int, seed: int = 42) -> DataFrame:
     """path, day (from 1), ret: blocks of neighbouring days, their starts drawn by hash; the series wraps around."""
     spark = series.sparkSession
-    rows = numbered(series).persist()
+    rows = numbered(series)
     n = rows.count()
     blocks = -(-days // block)
     starts = spark.range(paths).withColumnRenamed("id", "path").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

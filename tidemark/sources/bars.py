@@ -6,6 +6,7 @@ full key, so ties cannot change them.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -43,13 +44,41 @@ def resample_daily(ticks: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(df: DataFrame, name: str, sf_dir: str) -> DataFrame:
+    """df, computed once in a session for a folder, laid out by ticker and date, in memory and on the executors' disks.
+
+    Bars are far fewer than trades, and nearly every query reads them; lost blocks are computed again from the trades.
+    """
+    key = df.sparkSession.sparkContext.applicationId, name, sf_dir
+    if key not in _kept:
+        for old in [k for k in _kept if k[0] != key[0]]:
+            del _kept[old]  # of a session that has ended
+        _kept[key] = df.repartition("ticker").sortWithinPartitions("ticker", "date").persist(StorageLevel.MEMORY_AND_DISK)
+    return _kept[key]
+
+
+def release() -> None:
+    """Give up the bars that are kept, as when the trades have changed."""
+    while _kept:
+        _kept.popitem()[1].unpersist()
+
+
+def fresh_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars from the trades, for queries whose conditions reach the scan of the trades."""
     return resample_daily(trades(spark, sf_dir))
 
 
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(fresh_bars(spark, sf_dir), "bars", sf_dir)
+
+
 def source_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars as three sources see them: source (priority 1..3) is a split of the trades."""
-    return resample_daily(trades(spark, sf_dir), "src").withColumnRenamed("src", "source_priority").withColumn("source", F.concat(F.lit("s"), F.col("source_priority")))
+    panel = resample_daily(trades(spark, sf_dir), "src").withColumnRenamed("src", "source_priority").withColumn("source", F.concat(F.lit("s"), F.col("source_priority")))
+    return kept(panel, "panel", sf_dir)
 
 
 def simple_returns(prices: DataFrame, close: str = "close") -> DataFrame:
