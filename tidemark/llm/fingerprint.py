@@ -24,6 +24,7 @@ POS_BITS = 32
 POS_MASK = (1 << POS_BITS) - 1
 RANGES = 64
 RANGE_BYTES = 16 << 20
+MOST_RANGES = 8192  # beyond 128 GB of text, ranges grow
 
 
 def _next(a: str, by: int) -> str:
@@ -89,7 +90,7 @@ def with_following(df: DataFrame, cols: list[str]) -> DataFrame:
     """
     ids = df.select("doc_id")
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ranges = max(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // RANGE_BYTES), MOST_RANGES))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("q")).first().q or []
     place = F.coalesce(_range_of(sorted(set(cuts))), F.lit(-1))
     tops = {r._b: r.top for r in ids.select(place.alias("_b"), "doc_id").groupBy("_b").agg(F.max("doc_id").alias("top")).collect()}

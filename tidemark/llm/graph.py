@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(small(labels, n, 16), both.v == labels.node).groupBy("u").agg(F.min("label").alias("m"))
         step = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        after = stored(step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")), "labels")
+        after = stored(step.join(small(up, n, 16), "label", "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")), "labels")
         forget(labels)
         if after.where("label <> old").isEmpty():
             forget(both)

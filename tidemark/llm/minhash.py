@@ -355,8 +355,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(stored(links.union(_across(rest, labels, whole, "links")), "links"))
 
     of = rows.join(labels, "node", "left").select("doc_id", "th", "n_shingles", F.coalesce("label", "node").alias("label"))
-    ids = of.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = of.join(ids, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    ids = stored(of.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "ids")
+    out = of.join(small(ids, ids.count(), 24), "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "th", "label")
 
 

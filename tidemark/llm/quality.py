@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(size), 0.0, 1.0, float(np.log(share / (1 - share))))
-    x = [np.frombuffer(r[0], "<u4").astype(np.int64) for r in picked]
+    x = [np.frombuffer(r[0], "<u4") for r in picked]
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     signs = 2.0 * y - 1
     order = np.random.default_rng(1).permutation(len(x))
