@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: No side of a join is broadcast beyond this many bytes (rows times a stated row width).
 BROADCAST_BYTES = 32 << 20
+MMAP_THRESHOLD = -3  # the C library's number of this option
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,16 +57,19 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the Python worker gives back memory it no longer needs: later stages reuse the worker."""
+    """run, with arrays that give back their memory when they go, and what is left given back at the end: later stages reuse
+    the Python worker."""
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = ctypes.CDLL(None)
+        if hasattr(library, "mallopt"):  # not in every C library
+            library.mallopt(MMAP_THRESHOLD, 1 << 20)
         try:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
-            if trim is not None:
-                trim(0)
+            if hasattr(library, "malloc_trim"):
+                library.malloc_trim(0)
 
     return through
 
