@@ -297,6 +297,24 @@ def test_pipeline_stages_by_brute_force(spark, odd, sf):
         assert f(spark, nulls, sf).count() <= 2, name
 
 
+TAKEN = ["kept", "rest", "bundle", "z", "ends", "spots", "whole", "row", "copies", "n_bytes", "label", "th", "score", "predicted", "no", "src", "size", "h", "found", "n_tokens", "decoded"]
+
+
+@pytest.mark.parametrize("name", ["quality_filter", "near_dedup", "repeat_dedup", "source_mixing", "tokenize"])
+def test_stages_with_taken_names(spark, odd, sf, name):
+    """Columns named like what a stage makes inside: they are carried (by tokenize, but for those named like its outputs)."""
+    import corpus_pipeline as p
+
+    df = odd.withColumns({c: F.lit("own") for c in TAKEN})
+    out = dict(p.STAGES)[name](spark, df, sf)
+    made = {"n_tokens", "decoded"} if name == "tokenize" else set()
+    assert set(df.columns) - made - {"text"} <= set(out.columns)
+    few = out.where(" and ".join(f"{c} = 'own'" for c in TAKEN if c not in made))
+    assert few.count() == out.count() > 0
+    if name != "tokenize":
+        assert out.columns == df.columns
+
+
 def test_repeats_keep_ids_and_columns(odd):
     out = repeats.without_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count()

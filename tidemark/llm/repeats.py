@@ -262,10 +262,9 @@ def _removed(docs: DataFrame) -> DataFrame:
     return beside(bundles, whole.unionByName(spans.select("bundle", "spots", F.lit(False).alias("whole"))), ["spots", "whole"])
 
 
-def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("kept", "n_bytes", "n_removed", "n_spans")) -> DataFrame:
-    """docs without `text`, with the outputs: kept (the remaining text), kept_sha256, n_bytes, n_removed, n_spans."""
-    rest = [c for c in docs.columns if c != "text" and c not in outputs]
-    docs = docs.select("text", *rest)
+def _rows(docs: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
+    """`rest`, a struct of the columns of docs but `text`, and the outputs; names in one can't clash with those in the other."""
+    rest = [c for c in docs.columns if c != "text"]
     kinds = {"kept": ("string", pa.string()), "kept_sha256": ("string", pa.string()), "n_bytes": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "n_spans": ("long", pa.int64())}
     kind = docs.select(F.struct(*rest).alias("rest")).schema["rest"].dataType.simpleString()
 
@@ -299,13 +298,21 @@ def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("kept", "n_bytes
                         made[c].append(b - a if c == "n_bytes" else n if c == "n_removed" else int(edge[a:b].sum()) if c == "n_spans" else sha256(left).hexdigest() if c == "kept_sha256" else left.decode("utf-8", "ignore"))
                 yield pa.RecordBatch.from_arrays([group.column("rest")[i].values, *(pa.array(made[c], kinds[c][1]) for c in outputs)], ["rest", *outputs])
 
-    return _removed(docs).mapInArrow(run, f"rest {kind}, " + ", ".join(f"{c} {kinds[c][0]}" for c in outputs)).select("rest.*", *outputs)
+    return _removed(docs).mapInArrow(run, f"rest {kind}, " + ", ".join(f"{c} {kinds[c][0]}" for c in outputs))
+
+
+def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("kept", "n_bytes", "n_removed", "n_spans")) -> DataFrame:
+    """docs without `text`, with the outputs: kept (the remaining text), kept_sha256, n_bytes, n_removed, n_spans.
+
+    Former columns with the names of outputs are replaced.
+    """
+    rest = [c for c in docs.columns if c != "text" and c not in outputs]
+    return _rows(docs.select("text", *rest), outputs).select("rest.*", *outputs)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with their columns; text without what repeats, and n_chars (where there is one) of what remains."""
-    order = docs.columns
-    left = remove_repeats(docs, ("kept",)).withColumnRenamed("kept", "text")
-    if "n_chars" in order:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*order)
+    """docs with all their columns, whatever their names; text without what repeats, and n_chars (where there is one) of what remains."""
+    now = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        now["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return _rows(docs, ("kept",)).select(*(now.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
