@@ -53,9 +53,10 @@ def test_matches_sql_on_odd_rows(spark, odd, tmp_path, name):
     rows = odd.select("doc_id", F.when(F.length("text") > 5000, F.left("text", F.lit(5000))).otherwise(F.col("text")).alias("text"), "lang", "source", "n_chars")
     rows = rows.withColumn("doc_id", F.col("doc_id") * 50)
     rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("quality"), F.lit(1).alias("toxic")).coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
     df = queries.QUERIES[name](spark, str(tmp_path))
     got, order = df.collect(), sorted(df.columns)
-    want, columns = sql({"documents": f"{tmp_path}/documents.parquet/*.parquet"}, queries.ORACLES[name])
+    want, columns = sql({t: f"{tmp_path}/{t}.parquet/*.parquet" for t in ("documents", "labels")}, queries.ORACLES[name])
     assert table(got, df.columns, order) == table(want, columns, order)
 
 

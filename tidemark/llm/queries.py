@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, fingerprint, katz, minhash, mixing, oracles, quality, repeats, search, url_filter
+from . import audit, bpe, cuckoo, divergence, extract, fingerprint, katz, minhash, mixing, oracles, quality, repeats, search, url_filter
 from .common import read
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -66,7 +66,19 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(docs, docs.where(search.is_query()).select(F.col("doc_id").alias("query_id"), "text")).withColumn("score", F.round("score", 6))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_html_text, op3_near_duplicates, op4_quality, op5_bpe, op6_repeats, op7_katz, op8_source_mixing, op9_fingerprints, op10_search)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_html_text, op3_near_duplicates, op4_quality, op5_bpe, op6_repeats, op7_katz, op8_source_mixing, op9_fingerprints, op10_search, op11_filter_audit, op12_source_divergence, op13_exact_dedup)}
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.sql(RULES, LISTED),
     "op3_near_duplicates": oracles.NEAR_DUPLICATES,
@@ -75,4 +87,7 @@ ORACLES: dict[str, str] = {
     "op8_source_mixing": mixing.SQL,
     "op9_fingerprints": fingerprint.SQL,
     "op10_search": oracles.SEARCH,
+    "op11_filter_audit": audit.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_exact_dedup": cuckoo.SQL,
 }
