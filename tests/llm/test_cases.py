@@ -103,6 +103,26 @@ def test_url_filter_with_any_columns(spark, monkeypatch, how):
     assert none.where("verdict = 'allow' and rule is null").count() == len(urls)
 
 
+def test_url_filter_with_a_long_list(spark):
+    """400,000 entries in 500 shapes (label counts by path lengths), in time that follows their number."""
+    import time
+
+    hosts = lambda i: ("", "x.", "x.y.", "x.y.z.", "a.b.c.d.")[i % 5] + f"h{i}.org"
+    n = 400_000
+    pre = F.element_at(F.array(*map(F.lit, ("", "x.", "x.y.", "x.y.z.", "a.b.c.d."))), (F.col("id") % 5 + 1).cast("int"))
+    listed = spark.range(n).select(F.concat(pre, F.lit("h"), F.col("id").cast("string"), F.lit(".org")).alias("host"), F.concat(F.lit("/"), F.repeat(F.lit("a"), (F.col("id") % 100).cast("int"))).alias("path"))
+    rules = spark.createDataFrame([("org", "/aaaa", "allow")], "host string, path string, verdict string")
+    r = random.Random(12)
+    picked = [(r.randrange(2 * n), r.randrange(101), r.random() < 0.5) for _ in range(3000)]
+    urls = [(k, f"http://{'sub.' if sub else ''}{hosts(i)}/{'a' * more}") for k, (i, more, sub) in enumerate(picked)]
+    start = time.time()
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules, listed).collect()}
+    assert time.time() - start < 60
+    for k, (i, more, _) in enumerate(picked):
+        block = i < n and more >= i % 100
+        assert got[k] == (("org/aaaa", "allow") if more >= 4 else (None, "block" if block else "allow")), urls[k]
+
+
 def test_repeated_rows_are_split_at_the_threshold(spark):
     r = random.Random(3)
     rows = [(7, "one same text of six words", "a")] * 3000 + [(i, " ".join(["w"] * r.randrange(1, 30)), "b" if i % 3 else "a") for i in range(100, 400)] + [(None, None, None), (8, "null source", None)]
