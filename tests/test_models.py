@@ -6,8 +6,12 @@ import math
 import numpy as np
 import pytest
 
+from tidemark.functions import optimize
+from tidemark.functions import volatility as vol
+from tidemark.operators import portfolio, samples, volatility, withdrawal
 from tidemark.operators import regression as reg
-from tidemark.operators import samples, withdrawal
+from tidemark.operators import returns as ret
+from tidemark.session import ship
 
 DAY0 = dt.date(2001, 1, 1)
 day = lambda i: DAY0 + dt.timedelta(days=i)
@@ -201,3 +205,104 @@ def test_balances_with_flows_equal_a_fold(spark):
             peak = max(peak, value)
             low = max(low, (peak - value) / peak * 100)
         assert worst[k].drawdown == pytest.approx(low, rel=1e-6)
+
+
+def simulated(n, mean, omega, alpha, beta, seed):
+    r = np.random.default_rng(seed)
+    v, y = omega / (1 - alpha - beta), []
+    for z in r.normal(size=n):
+        y.append(mean + math.sqrt(v) * z)
+        v = omega + alpha * (y[-1] - mean) ** 2 + beta * v
+    return np.array(y)
+
+
+def likelihood_of(y, mean, omega, alpha, beta):
+    e = (y - mean) ** 2
+    w = 0.94 ** np.arange(min(75, len(y)))
+    v, total = omega + (alpha + beta) * (e[: len(w)] @ w / w.sum()), 0.0
+    for t, x in enumerate(e):
+        if t:
+            v = omega + alpha * e[t - 1] + beta * v
+        total -= 0.5 * (math.log(2 * math.pi) + math.log(v) + x / v)
+    return total, v
+
+
+def test_garch_fits_are_the_likeliest(spark):
+    ship(spark)
+    series = {"clear": simulated(3000, 0.05, 0.1, 0.12, 0.8, 1), "small": 1e-3 * simulated(800, 0.0, 0.2, 0.3, 0.4, 2), "noise": np.random.default_rng(3).normal(size=400), "flat": np.ones(80), "few": np.ones(20)}
+    df = spark.createDataFrame([(k, day(i), float(x)) for k, y in series.items() for i, x in enumerate(y)], "ticker string, date date, ret double")
+    got = {r.ticker: r for r in volatility.fits(df).collect()}
+    assert set(got) == {"clear", "small", "noise", "flat"} and got["flat"].method == "ewma" and got["flat"].alpha is None
+    for k in ("clear", "small", "noise"):
+        r, y = got[k], series[k]
+        assert r.method == "garch"
+        like, last = likelihood_of(y, r.mean, r.omega, r.alpha, r.beta)
+        assert r.log_likelihood == pytest.approx(like, abs=1e-5) and r.last_volatility == pytest.approx(math.sqrt(last))
+        m, s = y.mean(), y.var()
+        grid = np.array([(m + dm * math.sqrt(s), s * level * (1 - a - b), a, b) for a in np.linspace(0, 0.4, 9) for b in np.linspace(0, 0.98, 15) if a + b < 0.999 for level in (0.7, 1.0, 1.4) for dm in (-0.03, 0, 0.03)])
+        assert r.log_likelihood >= vol.log_likelihood(y, grid).max() - 1e-6
+        near = np.array([[r.mean, r.omega, r.alpha, r.beta]]) * (1 + 1e-3 * np.random.default_rng(0).normal(size=(200, 4)))
+        assert r.log_likelihood >= vol.log_likelihood(y, near).max() - 1e-6
+    assert got["clear"].alpha == pytest.approx(0.12, abs=0.05) and got["clear"].beta == pytest.approx(0.8, abs=0.08)
+    assert got["clear"].arch_p < got["noise"].arch_p and got["clear"].left_arch_p > got["clear"].arch_p
+    params = volatility.fits(df).where("method = 'garch'").select("ticker", "mean", "omega", "alpha", "beta")
+    for x in volatility.likelihood(df, params).collect():
+        assert x.log_likelihood == pytest.approx(got[x.ticker].log_likelihood, rel=1e-9) and math.sqrt(x.last_variance) == pytest.approx(got[x.ticker].last_volatility)
+    f = {(x.ticker, x.day): x.volatility for x in volatility.forecast(volatility.fits(df), 400).collect()}
+    r = got["clear"]
+    e = (series["clear"][-1] - r.mean) ** 2
+    v = r.omega + r.alpha * e + r.beta * r.last_volatility**2
+    for k in range(1, 401):
+        assert f["clear", k] == pytest.approx(math.sqrt(v))
+        v = r.omega + (r.alpha + r.beta) * v
+    assert f["flat", 400] == got["flat"].last_volatility
+
+
+def test_tests_of_residuals():
+    r = np.random.default_rng(6)
+    p = [vol.serial_p(r.normal(size=300)) for _ in range(300)]
+    assert 0.4 < np.mean(p) < 0.6 and 0.02 < np.mean(np.array(p) < 0.05) < 0.1
+    assert vol.serial_p(np.ones(10)) is None and vol.arch_p(np.ones(10)) is None
+    for df in (1, 2, 5, 10):
+        for x in (0.1, 1.0, 7.0, 30.0):
+            grid = np.linspace(0, x, 400_001)[1:] - x / 800_000
+            density = grid ** (df / 2 - 1) * np.exp(-grid / 2) / (2 ** (df / 2) * math.gamma(df / 2))
+            want = math.erfc(math.sqrt(x / 2)) if df == 1 else 1 - density.sum() * x / 400_000
+            assert vol.upper_gamma(df / 2, x / 2) == pytest.approx(want, abs=1e-6)
+    x = r.normal(size=200)
+    w = 0.94 ** np.arange(200)[::-1]
+    m = w @ x / w.sum()
+    assert vol.ewma_variances(x)[-1] == pytest.approx(w @ (x - m) ** 2 / w.sum() * w.sum() ** 2 / (w.sum() ** 2 - (w * w).sum()))
+
+
+def test_repaired_matrices(spark):
+    ship(spark)
+    bad = np.array([[1.0, 0.9, -0.9], [0.9, 1.0, 0.9], [-0.9, 0.9, 1.0]])
+    names = "abc"
+    rows = [(book, p, q, float(m[i, j]), 0.1 * i) for book, m in (("bad", bad), ("good", np.eye(3)), ("zero", np.zeros((3, 3)))) for i, p in enumerate(names) for j, q in enumerate(names)]
+    df = spark.createDataFrame(rows, "portfolio string, a string, b string, cov double, mean double")
+    for method in ("eigenvalue", "ridge", "shrinkage"):
+        got = {}
+        for x in portfolio.repaired_moments(df, method, 0.3).collect():
+            got.setdefault(x.portfolio, {})[x.a, x.b] = x
+        assert {x.repair for x in got["good"].values()} == {"none"} and all(x.cov == float(x.a == x.b) for x in got["good"].values())
+        m = np.array([[got["bad"][p, q].cov for q in names] for p in names])
+        x = got["bad"]["a", "a"]
+        assert np.linalg.eigvalsh(m)[0] > 0 and x.least_before == pytest.approx(-0.8) and x.least_after == pytest.approx(np.linalg.eigvalsh(m)[0])
+        values, vectors = np.linalg.eigh(bad)
+        want = {"eigenvalue": vectors @ np.diag(np.maximum(values, 1e-8)) @ vectors.T, "ridge": np.eye(3), "shrinkage": np.eye(3)}[method]  # too weak: the diagonal
+        assert m == pytest.approx(want) and x.repair == ("eigenvalue" if method == "eigenvalue" else "diagonal")
+    assert optimize.repaired(bad, "ridge", 1.0)[1] == "ridge" and optimize.repaired(bad, "ridge", 1.0)[0] == pytest.approx(bad + np.eye(3))
+    w = portfolio.optimized(portfolio.repaired_moments(df), "min_variance").where("portfolio = 'bad'").collect()
+    assert sum(x.w for x in w) == pytest.approx(1)
+
+
+def test_extremes_are_left_out_or_held(spark):
+    few = [0.0, 1.0] * 20 + [50.0]
+    df = spark.createDataFrame([("few", day(i), x) for i, x in enumerate(few)] + [("one", day(0), 3.0)], "ticker string, date date, ret double")
+    assert {x.ticker: x["count"] for x in ret.without_extremes(df, 5.0).groupBy("ticker").count().collect()} == {"few": 40, "one": 1}
+    half = ret.without_extremes(df.where("ticker = 'few'"), 0.01)  # nearly all are beyond: held, not removed
+    m, s = np.mean(few), np.std(few)
+    assert [x.ret for x in half.orderBy("date").collect()] == pytest.approx(np.clip(few, m - 0.01 * s, m + 0.01 * s).tolist())
+    got = [x.ret for x in ret.winsorized(df.where("ticker = 'few'"), 0.1).orderBy("date").collect()]
+    assert got == pytest.approx(np.clip(few, *np.percentile(few, [10, 90])).tolist())

@@ -75,3 +75,36 @@ def equal_risk(cov: np.ndarray, rounds: int = 500) -> np.ndarray:
         if np.abs(x - before).max() < 1e-13:
             break
     return x / x.sum()
+
+
+LEAST_EIGENVALUE, MOST_CONDITION, STRENGTH = 1e-8, 1e12, 1e-6
+
+
+def condition(cov: np.ndarray) -> tuple[float, float]:
+    """The least eigenvalue, and the largest over it."""
+    values = np.linalg.eigvalsh(cov)
+    return float(values[0]), float(values[-1] / max(values[0], 1e-15))
+
+
+def repaired(cov: np.ndarray, method: str = "eigenvalue", strength: float = STRENGTH, least: float = LEAST_EIGENVALUE) -> tuple[np.ndarray, str]:
+    """A positive definite matrix near cov, and what was done: nothing, the method, or the diagonal if the method fails.
+
+    Methods: eigenvalue (a floor under the eigenvalues), ridge (`strength` on the diagonal), shrinkage (toward the mean variance).
+    """
+    low, ratio = condition(cov)
+    if low > least and ratio < MOST_CONDITION:
+        return cov, "none"
+    n = len(cov)
+    if method == "eigenvalue":
+        values, vectors = np.linalg.eigh(cov)
+        out = vectors * np.maximum(values, least) @ vectors.T
+    elif method == "ridge":
+        out = cov + strength * np.eye(n)
+    elif method == "shrinkage":
+        out = (1 - strength) * cov + strength * np.trace(cov) / n * np.eye(n)
+    else:
+        raise ValueError(f"unknown method: {method}")
+    out = (out + out.T) / 2
+    if condition(out)[0] <= 0:
+        return np.diag(np.maximum(np.diag(cov), least)), "diagonal"
+    return out, method

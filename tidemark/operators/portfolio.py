@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.optimize import equal_risk, least_variance, matrix, most_sharpe
+from tidemark.functions.optimize import STRENGTH, condition, equal_risk, least_variance, matrix, most_sharpe, repaired
 from tidemark.operators.risk import day_pairs
 
 
@@ -65,6 +65,28 @@ def moments(rets: DataFrame) -> DataFrame:
     return day_pairs(rets, ["portfolio", "date"], "ret", lambda a, b: F.lit(True)).groupBy("portfolio", "a", "b").agg((F.covar_samp("x", "y") * 252).alias("cov"), (F.avg("x") * 252).alias("mean"))
 
 
+def repaired_moments(mom: DataFrame, method: str = "eigenvalue", strength: float = STRENGTH) -> DataFrame:
+    """mom with cov made positive definite, and what was done: repair, least and ratio (of eigenvalues) before and after.
+
+    Covariances over the days that each pair shares need not be positive definite together. The result goes into `optimized`.
+    """
+
+    def mend(rows: pd.DataFrame) -> pd.DataFrame:
+        names, cov, mean = matrix(rows)
+        out, done = repaired(cov, method, strength)
+        (low, ratio), (low2, ratio2) = condition(cov), condition(out)
+        k = len(names)
+        return pd.DataFrame({"portfolio": rows["portfolio"].iloc[0], "a": np.repeat(names, k), "b": np.tile(names, k), "cov": out.ravel(), "mean": np.repeat(mean, k), "repair": done, "least_before": low, "least_after": low2, "ratio_before": ratio, "ratio_after": ratio2})
+
+    return mom.groupBy("portfolio").applyInPandas(mend, "portfolio string, a string, b string, cov double, mean double, repair string, least_before double, least_after double, ratio_before double, ratio_after double")
+
+
+def shrunk(mom: DataFrame, strength: float) -> DataFrame:
+    """mom with covariances moved by `strength` toward the book's mean variance, in DataFrame operations."""
+    level = F.avg(F.when(F.col("a") == F.col("b"), F.col("cov"))).over(book())
+    return mom.withColumn("cov", (1 - strength) * F.col("cov") + F.when(F.col("a") == F.col("b"), strength * level).otherwise(0.0))
+
+
 def optimized(mom: DataFrame, kind: str, rf: float = 0.02, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """portfolio, ticker, w by kind: min_variance, max_sharpe or risk_parity."""
 

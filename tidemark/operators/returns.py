@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
+from tidemark.operators.quantiles import quantile
 from tidemark.sources.bars import by_date
 
 
@@ -138,3 +139,21 @@ def block_returns(rets: DataFrame, days: int = 21) -> DataFrame:
     n = F.count("*").over(whole())
     b = rets.withColumns({"rn": rn, "n": n}).withColumn("block", F.floor(F.col("rn") / days))
     return b.where(F.col("block") * days < F.col("n") - days).groupBy("ticker", "block").agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"))
+
+
+def winsorized(rets: DataFrame, share: float = 0.05) -> DataFrame:
+    """rets with each ticker's values held between its quantiles `share` and 1 - `share`."""
+    low, high = (quantile(rets, "ticker", "ret", q, name) for q, name in ((share, "_low"), (1 - share, "_high")))
+    x = rets.join(low, "ticker").join(high, "ticker")
+    return x.withColumn("ret", F.greatest("_low", F.least("_high", F.col("ret")))).drop("_low", "_high")
+
+
+def without_extremes(rets: DataFrame, most: float = 5.0) -> DataFrame:
+    """rets without the rows beyond `most` deviations (of the population) of their ticker; if these are over half of its rows, they
+    are held at the bounds and stay."""
+    by = Window.partitionBy("ticker")
+    x = rets.withColumns({"_m": F.avg("ret").over(by), "_d": F.stddev_pop("ret").over(by) * most, "_n": F.count("*").over(by)})
+    x = x.withColumn("_far", F.coalesce(F.abs(F.col("ret") - F.col("_m")) > F.col("_d"), F.lit(False)))
+    x = x.withColumn("_clip", F.count_if("_far").over(by) * 2 > F.col("_n"))
+    held = F.greatest(F.col("_m") - F.col("_d"), F.least(F.col("_m") + F.col("_d"), F.col("ret")))
+    return x.where("not _far or _clip").withColumn("ret", F.when(F.col("_clip"), held).otherwise(F.col("ret"))).drop("_m", "_d", "_n", "_far", "_clip")

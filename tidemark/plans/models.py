@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
+from tidemark.operators import portfolio as pf
 from tidemark.operators import regression as reg
-from tidemark.operators import samples, withdrawal
+from tidemark.operators import returns as ret
+from tidemark.operators import samples, volatility, withdrawal
+from tidemark.plans.allocation import BOOKS, booked
 from tidemark.plans.market import rnd
 from tidemark.sources import bars as b
 
@@ -213,3 +216,51 @@ def m6_balances(spark: Spark, d: str) -> DataFrame:
 @query("m6_flow_drawdown", FLOWS + ", p AS (SELECT *, 100 * (1 - value / max(value) OVER (PARTITION BY ticker ORDER BY n)) AS d FROM k) SELECT ticker, round(max(d), 6) AS drawdown, arg_min(date, row(-d, date)) AS date FROM p GROUP BY 1")
 def m6_flow_drawdown(spark: Spark, d: str) -> DataFrame:
     return rnd(withdrawal.worst_drawdown(withdrawal.balances(b.bars(spark, d), paid_in(spark, d))), "drawdown")
+
+
+@query("m9_garch_fit")
+def m9_garch_fit(spark: Spark, d: str) -> DataFrame:
+    """Clipped daily returns. A search for the likeliest parameters is beyond SQL; tested against grids and by its likelihood."""
+    x = reg.clipped(b.returns(spark, d)).withColumnRenamed("y", "ret")
+    return rnd(volatility.fits(x), "mean", "alpha", "beta", "log_likelihood", "arch_p", "serial_p", digits=4).select("ticker", "n", "method", "mean", "alpha", "beta", "log_likelihood", "arch_p", "serial_p")
+
+
+ALPHA, BETA = 0.08, 0.85
+GARCH = f"""WITH RECURSIVE p AS (SELECT ticker, avg(ret) AS mean, {1 - ALPHA - BETA} * var_pop(ret) AS omega FROM returns GROUP BY 1),
+e AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n, pow(ret - mean, 2) AS e, omega FROM returns JOIN p USING (ticker)),
+f AS (SELECT ticker, sum(e * pow(0.94, n - 1)) / sum(pow(0.94, n - 1)) AS first FROM e WHERE n <= 75 GROUP BY 1),
+v AS (SELECT ticker, n, e, omega + {ALPHA + BETA} * first AS v FROM e JOIN f USING (ticker) WHERE n = 1 UNION ALL SELECT e.ticker, e.n, e.e, omega + {ALPHA} * v.e + {BETA} * v.v FROM v JOIN e ON e.ticker = v.ticker AND e.n = v.n + 1)
+SELECT ticker, count(*) AS n, round(-0.5 * sum(ln(2 * pi()) + ln(v) + e / v), 4) AS log_likelihood, round(arg_max(v, n), 6) AS last_variance FROM v GROUP BY 1"""
+
+
+@query("m9_garch_likelihood", GARCH)
+def m9_garch_likelihood(spark: Spark, d: str) -> DataFrame:
+    """All tickers under parameters given beforehand, with the variance of each series as its long-run level."""
+    x = b.returns(spark, d)
+    params = x.groupBy("ticker").agg(F.avg("ret").alias("mean"), ((1 - ALPHA - BETA) * F.var_pop("ret")).alias("omega")).withColumns({"alpha": F.lit(ALPHA), "beta": F.lit(BETA)})
+    return rnd(rnd(volatility.likelihood(x, params), "log_likelihood", digits=4), "last_variance")
+
+
+MOM = f"WITH {BOOKS}, c AS (SELECT x.portfolio, x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) * 252 AS cov FROM pr x JOIN pr y ON x.portfolio = y.portfolio AND x.date = y.date GROUP BY 1, 2, 3)"
+
+
+@query("m14_shrunk_moments", MOM + ", l AS (SELECT portfolio, avg(cov) AS level FROM c WHERE a = b GROUP BY 1) SELECT portfolio, a, b, round(0.8 * cov + CASE WHEN a = b THEN 0.2 * level ELSE 0 END, 5) AS cov FROM c JOIN l USING (portfolio)")
+def m14_shrunk_moments(spark: Spark, d: str) -> DataFrame:
+    return rnd(pf.shrunk(pf.moments(booked(spark, d)), 0.2).select("portfolio", "a", "b", "cov"), "cov", digits=5)
+
+
+@query("m14_repaired_moments")
+def m14_repaired_moments(spark: Spark, d: str) -> DataFrame:
+    """All tickers as one book, by the days that each pair shares: what its matrix needs to be positive definite. Eigenvalues are beyond SQL."""
+    mom = pf.moments(b.returns(spark, d).select(F.lit("all").alias("portfolio"), "ticker", "date", "ret"))
+    return rnd(pf.repaired_moments(mom).select("portfolio", "a", "b", "cov", "repair", "least_before", "least_after"), "cov", "least_before", "least_after", digits=4)
+
+
+@query("m14_winsorized", "WITH q AS (SELECT ticker, quantile_cont(ret, 0.05) AS lo, quantile_cont(ret, 0.95) AS hi FROM returns GROUP BY 1) SELECT ticker, date, round(greatest(lo, least(hi, ret)), 6) AS ret FROM returns JOIN q USING (ticker)")
+def m14_winsorized(spark: Spark, d: str) -> DataFrame:
+    return rnd(ret.winsorized(b.returns(spark, d)).select("ticker", "date", "ret"), "ret")
+
+
+@query("m14_without_extremes", "WITH s AS (SELECT *, avg(ret) OVER (PARTITION BY ticker) AS m, stddev_pop(ret) OVER (PARTITION BY ticker) AS s FROM returns) SELECT ticker, date, round(ret, 6) AS ret FROM s WHERE abs(ret - m) <= 3 * s")
+def m14_without_extremes(spark: Spark, d: str) -> DataFrame:
+    return rnd(ret.without_extremes(b.returns(spark, d), 3.0).select("ticker", "date", "ret"), "ret")
