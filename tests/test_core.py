@@ -202,3 +202,48 @@ def test_partitions_written_are_replaced_alone(spark, tmp_path):
     tables.write_partitioned(rows, f"{tmp_path}/t")
     tables.write_partitioned(rows.where("ticker = 'A'").withColumn("n", F.lit(9)), f"{tmp_path}/t")
     assert {x.ticker: x.n for x in spark.read.parquet(f"{tmp_path}/t").collect()} == {"A": 9, "B": 2}
+
+
+def test_rebalancing_covers_targets_that_are_not_held(spark):
+    held = portfolio.marked(spark.createDataFrame([("p", "A", 10.0, 5.0, 100.0), ("p", "B", 4.0, 50.0, 100.0), ("p", "X", 2.0, 30.0, 100.0)], "portfolio string, ticker string, shares double, avg_cost double, cash double"), spark.createDataFrame([("A", 20.0), ("B", 50.0), ("C", 8.0)], "ticker string, close double"))
+    targets = spark.createDataFrame([("p", "A", 0.1), ("p", "C", 0.5), ("p", "B", 0.3575), ("p", "X", 0.2)], "portfolio string, ticker string, w double")
+    prices = spark.createDataFrame([("A", 20.0), ("B", 50.0), ("C", 8.0)], "ticker string, close double")
+    got = {x.ticker: x.shares for x in portfolio.rebalancing_trades(held, targets, prices).collect()}
+    total = 200 + 200 + 60 + 100  # X has no price: at cost, and not traded
+    assert got == pytest.approx({"A": (0.1 * total - 200) / 20, "C": 0.5 * total / 8, "B": 0.0 if abs(0.3575 * total - 200) <= 1 else (0.3575 * total - 200) / 50})
+    away = spark.createDataFrame([("p", "A", -1.0)], "portfolio string, ticker string, w double")
+    assert portfolio.rebalancing_trades(held, away, prices).first().shares == -10.0
+
+
+def test_backtest_trades_and_report_equal_a_fold(spark):
+    r = random.Random(14)
+    prices = [(t, day(i), round(10 + 20 * r.random(), 2)) for t, begin in (("A", 0), ("B", 0), ("C", 45)) for i in range(begin, 130) if i in (0, 45) or r.random() < 0.5]
+    weights = [("x", "A", 0.5), ("x", "B", 0.3), ("x", "C", 0.1)]
+    days = sorted({d for _, d, _ in prices})
+    marks = [days[0], days[30], days[31], days[80]]
+    df = spark.createDataFrame(prices, "ticker string, date date, close double")
+    w, m = spark.createDataFrame(weights, "portfolio string, ticker string, w double"), spark.createDataFrame([(x,) for x in marks], "date date")
+    values = portfolio.backtest(df, w, m, 1000.0)
+    last, held, cash, want, curve = {}, {}, 1000.0, {}, {}
+    for d in days:
+        last.update({t: x for t, dd, x in prices if dd == d})
+        value = curve[d] = cash + sum(n * last[t] for t, n in held.items())
+        if d in marks:
+            for _, t, share in weights:
+                if t in last:
+                    amount = share * value - held.get(t, 0.0) * last[t]
+                    if abs(amount) > 1:
+                        want[d, t] = amount
+                    held[t] = share * value / last[t]
+            cash = value - sum(n * last[t] for t, n in held.items())
+    trades = portfolio.backtest_trades(df, w, m, values)
+    assert {(x.date, x.ticker): x.amount for x in trades.collect()} == pytest.approx(want)
+    out = portfolio.backtest_report(values, 1000.0, trades, df.where("ticker = 'A'")).first()
+    v = np.array([curve[d] for d in days])
+    rets = v[1:] / v[:-1] - 1
+    a = [x for t, _, x in sorted(prices) if t == "A"]
+    annual = ((v[-1] / 1000) ** (252 / len(v)) - 1) * 100
+    vola, fall = rets.std(ddof=1) * 252**0.5 * 100, (v / np.maximum.accumulate(v) - 1).min() * 100
+    assert out.total_trades == len(want) and out.final_value == pytest.approx(v[-1]) and out.max_drawdown == pytest.approx(fall)
+    assert [out.annualized_return, out.volatility, out.sharpe_ratio, out.calmar_ratio] == pytest.approx([annual, vola, (annual - 2) / vola, annual / -fall])
+    assert out.excess_return == pytest.approx((v[-1] / 1000 - a[-1] / a[0]) * 100)

@@ -127,12 +127,19 @@ def linkage(mom: DataFrame) -> DataFrame:
         names, cov, _ = matrix(rows)
         dev = np.sqrt(np.maximum(np.diag(cov), 1e-300))
         d = 1 - cov / np.outer(dev, dev)
-        live = {i: [i] for i in range(len(names))}
+        # a merged cluster's distances are the weighted means of its parts', so each step is a pass over the matrix
+        number, size = np.arange(len(names)), np.ones(len(names), int)
+        np.fill_diagonal(d, np.inf)
         out = []
-        while len(live) > 1:
-            a, b = min(((x, y) for x in live for y in live if x < y), key=lambda p: (d[np.ix_(live[p[0]], live[p[1]])].mean(), p))
-            out.append((rows["portfolio"].iloc[0], len(out), a, b, d[np.ix_(live[a], live[b])].mean(), len(live[a]) + len(live[b])))
-            live[len(names) + len(out) - 1] = live.pop(a) + live.pop(b)
+        for step in range(len(names) - 1):
+            ends = np.argwhere(d == d.min())
+            i, j = min(((p, q) for p, q in ends.tolist() if number[p] < number[q]), key=lambda e: (number[e[0]], number[e[1]]))
+            out.append((rows["portfolio"].iloc[0], step, int(number[i]), int(number[j]), float(d[i, j]), int(size[i] + size[j])))
+            both = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            d[i], d[:, i] = both, both
+            d[i, i] = np.inf
+            d[j], d[:, j] = np.inf, np.inf
+            number[i], size[i] = len(names) + step, size[i] + size[j]
         return pd.DataFrame(out, columns=["portfolio", "step", "a", "b", "height", "size"])
 
     return mom.groupBy("portfolio").applyInPandas(solve, "portfolio string, step int, a int, b int, height double, size int")
@@ -262,9 +269,55 @@ def marked(held: DataFrame, last: DataFrame) -> DataFrame:
     return x.withColumn("weight", F.try_divide(F.col("market_value"), F.sum("market_value").over(book()) + F.col("cash")))
 
 
-def rebalancing_trades(held: DataFrame, targets: DataFrame, least: float = 1.0) -> DataFrame:
-    """Shares to trade toward target weights; under `least` of value nothing, and sales are limited to what is held."""
-    total = F.sum("market_value").over(book()) + F.col("cash")
-    x = held.join(targets, ["portfolio", "ticker"]).withColumn("want", F.col("w") * total - F.col("market_value"))
-    traded = F.when(F.abs("want") < least, 0.0).when(F.col("want") < 0, -F.least(F.col("shares"), -F.col("want") / F.col("close"))).otherwise(F.col("want") / F.col("close"))
+def rebalancing_trades(held: DataFrame, targets: DataFrame, prices: DataFrame, least: float = 1.0) -> DataFrame:
+    """portfolio, ticker, shares to trade toward each target weight (w) of a book's whole value.
+
+    That value is all its positions, those without a price at cost, and its cash. A target that is not held is bought; one without
+    a price is left out; a position without a target stays as it is. Up to `least` of value nothing is traded, and a sale is no
+    larger than what is held. held: from `marked`, with cash; prices: (ticker, close).
+    """
+    total = held.groupBy("portfolio").agg((F.sum("market_value") + F.first("cash")).alias("total"))
+    own = held.select("portfolio", "ticker", F.col("shares").alias("_has"), F.col("market_value").alias("_value"))
+    x = targets.join(total, "portfolio").join(prices.select("ticker", "close"), "ticker").join(own, ["portfolio", "ticker"], "left").na.fill(0.0, ["_has", "_value"])
+    x = x.withColumn("want", F.col("w") * F.col("total") - F.col("_value"))
+    traded = F.when(F.abs("want") <= least, 0.0).when(F.col("want") < 0, -F.least(F.col("_has"), -F.col("want") / F.col("close"))).otherwise(F.col("want") / F.col("close"))
     return x.select("portfolio", "ticker", traded.alias("shares"))
+
+
+def backtest_trades(prices: DataFrame, weights: DataFrame, rebalance: DataFrame, values: DataFrame, least: float = 1.0, start: str | None = None) -> DataFrame:
+    """portfolio, date, ticker, amount: what each rebalance of `backtest` (whose result is `values`) buys or, below 0, sells.
+
+    What is held of a ticker at a rebalance is its share of the value at the one before, grown by the ticker's moves since; it is
+    brought to its share of the value now, if that is more than `least` away. A ticker takes part from its first price on.
+    """
+    days = prices.select("date").distinct()
+    seg = segments(days if start is None else days.where(F.col("date") >= F.lit(start).cast("date")), rebalance)
+    grown = price_moves(prices, seg).groupBy("ticker", F.col("segment").alias("_prev")).agg((1 + F.sum("move")).alias("_grown"))
+    marks = seg.where("date = segment").select("date", F.col("before").alias("_prev"))
+    at = values.join(marks, "date")
+    then = values.select("portfolio", F.col("date").alias("_prev"), F.col("value").alias("_value"))
+    first = prices.where("close is not null").groupBy("ticker").agg(F.min("date").alias("_first"))
+    x = weights.join(first, "ticker").join(at, "portfolio").where("_first <= date").join(then, ["portfolio", "_prev"], "left").join(grown, ["ticker", "_prev"], "left")
+    held = F.when(F.col("_value").isNotNull() & (F.col("_first") <= F.col("_prev")), F.col("w") * F.col("_value") * F.coalesce("_grown", F.lit(1.0))).otherwise(0.0)
+    x = x.withColumn("amount", F.col("w") * F.col("value") - held)
+    return x.where(F.abs("amount") > least).select("portfolio", "date", "ticker", "amount")
+
+
+def backtest_report(values: DataFrame, initial: float, trades: DataFrame, benchmark: DataFrame, rf: float = 0.02) -> DataFrame:
+    """A row a book: total, annual, benchmark and excess return, volatility and worst drawdown in percent, Sharpe and Calmar ratios
+    (0 where they are undefined), final value and number of trades. benchmark: (date, close), over each book's days.
+
+    A year is 252 days of values. A book that has lost more than all has no annual return, and so no ratios.
+    """
+    by = Window.partitionBy("portfolio").orderBy("date")
+    x = values.join(benchmark.select("date", F.col("close").alias("_mark")), "date", "left")
+    x = x.withColumns({"_ret": F.try_divide("value", F.lag("value").over(by)) - 1, "_peak": F.max("value").over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    mark = lambda f: f("_mark", F.when(F.col("_mark").isNotNull(), F.col("date")))
+    g = x.groupBy("portfolio").agg(
+        F.count("*").alias("days"), F.max_by("value", "date").alias("final_value"), (F.stddev_samp("_ret") * F.sqrt(F.lit(252.0)) * 100).alias("volatility"),
+        (F.min((F.col("value") - F.col("_peak")) / F.col("_peak")) * 100).alias("max_drawdown"), (F.try_divide(mark(F.max_by), mark(F.min_by)) * 100 - 100).alias("benchmark_return"))
+    g = g.withColumn("total_return", (F.col("final_value") / initial - 1) * 100)
+    g = g.withColumn("annualized_return", F.when(F.col("final_value") >= 0, (F.pow(F.col("final_value") / initial, 252 / F.col("days")) - 1) * 100))
+    ratio = lambda top, below: F.when(below == 0, 0.0).otherwise(top / below)
+    g = g.withColumns({"sharpe_ratio": ratio(F.col("annualized_return") - rf * 100, F.col("volatility")), "calmar_ratio": ratio(F.col("annualized_return"), F.abs("max_drawdown")), "excess_return": F.col("total_return") - F.col("benchmark_return")})
+    return g.join(trades.groupBy("portfolio").agg(F.count("*").alias("total_trades")), "portfolio", "left").na.fill(0, ["total_trades"])

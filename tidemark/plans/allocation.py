@@ -178,12 +178,41 @@ def t6_weights_report(spark: Spark, d: str) -> DataFrame:
     return rnd(held(spark, d).where("weight > 0.001").groupBy("portfolio").agg(F.count("*").alias("n"), F.max("weight").alias("largest")), "largest", digits=8)
 
 
-@query("b10_rebalancing_trades", f"""WITH {HELD}, m AS (SELECT portfolio, ticker, shares, close, shares * close AS mv FROM h JOIN px USING (ticker)), t AS (SELECT *, 0.04 * (sum(mv) OVER (PARTITION BY portfolio) + 10000) - mv AS want FROM m)
-SELECT portfolio, ticker, round(CASE WHEN abs(want) < 1 THEN 0 WHEN want < 0 THEN -least(shares, -want / close) ELSE want / close END, 5) AS shares FROM t""", base=False)
+@query("b10_rebalancing_trades", f"""WITH {HELD}, v AS (SELECT portfolio, sum(shares * coalesce(close, avg_cost)) + 10000 AS total FROM h LEFT JOIN px USING (ticker) GROUP BY 1),
+t AS (SELECT v.portfolio, px.ticker, px.close, total, CASE WHEN px.ticker LIKE '%5' THEN 0.08 ELSE 0.03 END AS w FROM v, px),
+m AS (SELECT t.*, coalesce(h.shares, 0) AS has, w * total - coalesce(h.shares, 0) * t.close AS want FROM t LEFT JOIN h ON h.portfolio = t.portfolio AND h.ticker = t.ticker)
+SELECT portfolio, ticker, round(CASE WHEN abs(want) <= 1 THEN 0 WHEN want < 0 THEN -least(has, -want / close) ELSE want / close END, 5) AS shares FROM m""", base=False)
 def b10_rebalancing_trades(spark: Spark, d: str) -> DataFrame:
-    h = held(spark, d).where("close is not null")
-    targets = h.select("portfolio", "ticker", F.lit(0.04).alias("w"))
-    return rnd(pf.rebalancing_trades(h, targets), "shares", digits=5)
+    """All books toward the same weights, held or not; Brand#11 has no price: it counts at cost, and is not traded."""
+    h = held(spark, d)
+    px = b.table(spark, d, "part").where("p_brand <> 'Brand#11'").groupBy(F.col("p_brand").alias("ticker")).agg(F.avg("p_retailprice").alias("close"))
+    wanted = b.table(spark, d, "part").groupBy().agg(F.collect_set("p_brand").alias("t"))  # the tickers, one row
+    targets = h.select("portfolio").distinct().join(wanted).select("portfolio", F.explode("t").alias("ticker"))
+    targets = targets.withColumn("w", F.when(F.col("ticker").endswith("5"), 0.08).otherwise(0.03))
+    return rnd(pf.rebalancing_trades(h, targets, px), "shares", digits=5)
+
+
+REPORT = BACKTEST[: BACKTEST.index("SELECT portfolio, date, CASE WHEN v0 * g")].replace("0.19 AS w FROM part)", "p_brand AS t FROM part), bk2 AS (SELECT ticker, portfolio, 1.0::DOUBLE / count(*) OVER (PARTITION BY portfolio) AS w FROM bk)").replace("JOIN bk USING", "JOIN bk2 USING").replace("wh AS (SELECT b0.portfolio, b0.s, 1 + sum(0.19 * (al2.close / p0 - 1)) AS whole FROM b0", "wh AS (SELECT b0.portfolio, b0.s, 1 + sum(bk2.w * (al2.close / p0 - 1)) AS whole FROM b0 JOIN bk2 USING (portfolio, ticker)") + """, val AS (SELECT portfolio, date, v0 * g AS value FROM gr JOIN v USING (portfolio, s)),
+st AS (SELECT b0.portfolio, ticker, b0.s, p0, v0, e FROM b0 JOIN v USING (portfolio, s) JOIN sp USING (s)),
+td AS (SELECT n.portfolio, count(*) AS total_trades FROM st n JOIN bk2 USING (portfolio, ticker) LEFT JOIN st o ON o.portfolio = n.portfolio AND o.ticker = n.ticker AND o.e = n.s WHERE abs(w * n.v0 - coalesce(w * o.v0 / o.p0 * n.p0, 0)) > 1 GROUP BY 1),
+rt AS (SELECT *, value / lag(value) OVER w - 1 AS ret, max(value) OVER (w ROWS UNBOUNDED PRECEDING) AS peak FROM val WINDOW w AS (PARTITION BY portfolio ORDER BY date)),
+mk AS (SELECT date, close FROM bars WHERE ticker = 'Brand#11'),
+ag AS (SELECT portfolio, count(*) AS days, arg_max(value, rt.date) AS final_value, stddev_samp(ret) * sqrt(252) * 100 AS volatility, min((value - peak) / peak) * 100 AS max_drawdown, (arg_max(close, rt.date) FILTER (close IS NOT NULL) / arg_min(close, rt.date) FILTER (close IS NOT NULL) - 1) * 100 AS benchmark_return FROM rt LEFT JOIN mk ON mk.date = rt.date GROUP BY 1),
+an AS (SELECT *, (final_value / 100000 - 1) * 100 AS total_return, (pow(final_value / 100000, 252.0 / days) - 1) * 100 AS annualized_return FROM ag)
+SELECT portfolio, days, total_trades, round(final_value, 2) AS final_value, round(total_return, 4) AS total_return, round(annualized_return, 4) AS annualized_return, round(volatility, 4) AS volatility, round(max_drawdown, 4) AS max_drawdown, round(benchmark_return, 4) AS benchmark_return,
+round(total_return - benchmark_return, 4) AS excess_return, round((annualized_return - 2) / volatility, 5) AS sharpe_ratio, round(annualized_return / abs(max_drawdown), 5) AS calmar_ratio FROM an JOIN td USING (portfolio)"""
+
+
+@query("a41_backtest_report", REPORT)
+def a41_backtest_report(spark: Spark, d: str) -> DataFrame:
+    """The whole bundle of the families' backtest, in equal weights, against the benchmark."""
+    prices = b.bars(spark, d).where("date >= '1995-03-01'")
+    w = pf.equal_weights(members(spark, d)).select("portfolio", "ticker", "w")
+    days = ind.first_of_period(prices.select("date").distinct().where("date >= '1995-07-01'"), "quarter")
+    values = pf.backtest(prices, w, days, start="1995-07-01")
+    trades_ = pf.backtest_trades(prices, w, days, values, start="1995-07-01")
+    out = pf.backtest_report(values, 100_000.0, trades_, prices.where("ticker = 'Brand#11'"))
+    return rnd(rnd(rnd(out, "final_value", digits=2), "total_return", "annualized_return", "volatility", "max_drawdown", "benchmark_return", "excess_return", digits=4), "sharpe_ratio", "calmar_ratio", digits=5)
 
 
 @query("p10_validation", """SELECT p_brand AS ticker, regexp_matches(p_brand, '^[A-Z]{1,8}$') AS plain, regexp_matches(upper(replace(p_brand, '#', '-')), '^[A-Z0-9.-]+$') AND length(p_brand) <= 10 AS extended, count(*) AS n FROM part GROUP BY 1""", base=False)
