@@ -29,4 +29,4 @@ def query(name: str, oracle: str | None = None, base: bool = True):
     return add
 
 
-from tidemark.plans import allocation, calendar, income, ingest, market, models, paths, portfolio_risk, records  # noqa: E402, F401
+from tidemark.plans import allocation, calendar, income, ingest, market, models, paths, portfolio_risk, records, upkeep  # noqa: E402, F401
