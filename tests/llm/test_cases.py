@@ -240,9 +240,37 @@ PAGES = [
     (f'<body><div class="x><h1>Broken</h1><p>{P1}</p><p>{P2}</p></div></body>', f"Broken {P1} {P2}"),
     (f'<body><div id="cookie-banner"><p>We use cookies on this site.</p></div><div id="content"><p>{P1}</p><form><label>Mail</label><button>Send</button></form><p>{P2}</p></div></body>', f"{P1} {P2}"),
     ("<body><nav><ul><li><a href='/'>Home</a></li><li><a href='/a'>A</a></li></ul></nav><footer>2020</footer></body>", ""),
+    (f"{P1}\n{P2}", f"{P1} {P2}"),
+    (f"{P1} <b>{P2}</b> &amp; more", f"{P1} {P2} & more"),
+    (f"<h1>Titre</h1>{P1}<p>{P2}</p>", f"Titre {P1} {P2}"),
+    (f"<nav><a href='/'>Home</a> <a href='/b'>About</a></nav>{P1} {P2}<footer>2020</footer>", f"{P1} {P2}"),
 ]
 
 
+def assignments(parent):
+    """All assignments of outside (0), article (1) and dropped (2) to the nodes of a tree that decoding allows."""
+    found = [[0]]
+    for i in range(1, len(parent)):
+        found = [[*x, s] for x in found for s in ((0, 1), (1, 2), (2,))[x[parent[i]]]]
+    return found
+
+
+def test_decoding_of_small_trees_by_brute_force():
+    r = random.Random(3)
+    for _ in range(200):
+        n = r.randrange(1, 9)
+        parent = [-1] + [r.randrange(i) for i in range(1, n)]
+        odds = np.array([r.uniform(-4, 4) for _ in range(n)])
+
+        def worth(x):
+            begins = sum(1 for i in range(1, n) if x[i] == 1 and x[parent[i]] == 0)
+            return sum(o if s == 1 else -o for o, s in zip(odds, x, strict=True)) - begins
+
+        best = max(assignments(parent), key=worth)
+        got = extract.decode(parent, odds)
+        assert got.tolist() == [s == 1 for s in best], (parent, odds)
+
+
 def test_extraction_of_pages_written_by_hand(spark):
     df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(PAGES)], "page_id long, html string")
     got = {x.page_id: x.text for x in extract.extract(df).collect()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 
+PARAGRAPH = {"p", "#text"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr ins del big acronym nobr".split())
@@ -23,6 +24,8 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 class Tree:
     """parent, tag, attrs of each node (0 is the page); text: (node, string) in page order; None for a break of line.
 
+    Text that stands in no element opens one, `#text`, that ends as a paragraph does.
+
     Open elements are counted by name, for the page and inside the innermost element of SCOPE, so that a tag that closes
     nothing costs one look: reading takes time in proportion to the page.
     """
@@ -51,7 +54,7 @@ class Tree:
                     self._pop({name})
                 continue
             if name not in INLINE and name not in VOID or name == "hr":
-                self._close({"p"})
+                self._close(PARAGRAPH)
             if name in CLOSES:
                 self._close(CLOSES[name])
             if name == "br":
@@ -78,6 +81,14 @@ class Tree:
         del self._stack, self._open, self._frames
 
     def _add(self, node: int, s: str) -> None:
+        if not node and not s.isspace():
+            node = len(self.tag)
+            self.parent.append(0)
+            self.tag.append("#text")
+            self.attrs.append("")
+            self._stack.append(node)
+            self._open["#text"] = self._open.get("#text", 0) + 1
+            self._frames[-1]["#text"] = self._frames[-1].get("#text", 0) + 1
         self.text.append((node, html.unescape(s) if "&" in s else s))
 
     def _pop(self, names: set[str]) -> None:

@@ -11,7 +11,7 @@ dropped. The best assignment of the whole tree is found from the leaves up, so n
 
 The tables hold no labels for pages. The model is trained here on pages that `layouts` composes by chance with known labels
 (a fixed number, LAYOUTS), in families that differ in what holds the article: `article`, `main`, a named block, a block with a
-name that says nothing, a table cell, or the body itself. The names in NAMES are words of the training pages, as any are.
+name that says nothing, a table cell, the body itself, or nothing at all (text that stands in no element). The names in NAMES are words of the training pages, as any are.
 Labelled pages may be given instead. `measured` tells how well families that a model has not seen are read.
 
 Cases: null html is empty and gives an empty text; so do pages without an article; unclosed, crossed and cut-off tags and
@@ -38,8 +38,8 @@ from .boosting import Boosted
 from .common import lean
 from .dom import INLINE, Tree, attributes
 
-LAYOUTS = 600
-FAMILIES = ("article", "main", "named", "coded", "table", "bare")
+LAYOUTS = 800
+FAMILIES = ("article", "main", "named", "coded", "table", "bare", "loose")
 BUCKETS = 1 << 14
 EXTRA = 24
 
@@ -345,6 +345,29 @@ def layouts(n: int = LAYOUTS, seed: int = 5, families: tuple[str, ...] = FAMILIE
 
             tag("body", body)
 
+        def loose() -> None:
+            """No page around it: text that stands in no element, among blocks."""
+            for kind in r.sample(["menu", "header", "ad", "form"], r.choice([0, 0, 0, 1, 2])):
+                noise(kind)
+            for _ in range(r.choice([1, 1, 2, 3, 4])):
+                labels.append(True)  # the paragraph that such text opens
+                parts.append(words(*r.choice([(1, 4), (2, 120), (20, 120), (60, 120)])))
+                if r.random() < 0.4:
+                    tag(r.choice(["b", "a", "em"]), words(1, 5), "", True)
+                    parts.append(words(0, 20))
+                if r.random() < 0.4:
+                    tag("p", words(3, 60), "", True)
+                if r.random() < 0.6:
+                    tag("h2", words(1, 6), "", True)
+                else:
+                    tag("hr", "", "", False, False)
+            for kind in r.sample(["footer", "comment", "menu", "form", "ad"], r.choice([0, 0, 0, 1, 2])):
+                noise(kind)
+
+        if family == "loose":
+            loose()
+            out.append(("".join(parts), labels))
+            continue
         tag("html", page)
         out.append(("<!DOCTYPE html>" + "".join(parts), labels))
     return out
