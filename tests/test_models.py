@@ -6,9 +6,9 @@ import math
 import numpy as np
 import pytest
 
-from tidemark.functions import optimize
+from tidemark.functions import optimize, splines
 from tidemark.functions import volatility as vol
-from tidemark.operators import portfolio, samples, volatility, withdrawal
+from tidemark.operators import indicators, portfolio, records, regimes, samples, volatility, withdrawal
 from tidemark.operators import regression as reg
 from tidemark.operators import returns as ret
 from tidemark.session import ship
@@ -306,3 +306,107 @@ def test_extremes_are_left_out_or_held(spark):
     assert [x.ret for x in half.orderBy("date").collect()] == pytest.approx(np.clip(few, m - 0.01 * s, m + 0.01 * s).tolist())
     got = [x.ret for x in ret.winsorized(df.where("ticker = 'few'"), 0.1).orderBy("date").collect()]
     assert got == pytest.approx(np.clip(few, *np.percentile(few, [10, 90])).tolist())
+
+
+def em(x, rounds):
+    """Mixtures of three normals from the terciles on; the likelihood before each step."""
+    lo, hi = np.percentile(x, [33, 67])
+    of = np.where(x < lo, 0, np.where(x < hi, 1, 2))
+    floor = x.var() * 1e-6
+    m, v, w = (np.array([f(x[of == k]) for k in range(3)]) for f in (np.mean, np.var, lambda y: len(y) / len(x)))
+    v, like = np.maximum(v, floor), []
+    for _ in range(rounds):
+        d = w / np.sqrt(2 * np.pi * v) * np.exp(-((x[:, None] - m) ** 2) / (2 * v))
+        like.append(np.log(d.sum(1)).sum())
+        r = d / d.sum(1, keepdims=True)
+        n = r.sum(0)
+        m = (r * x[:, None]).sum(0) / n
+        v, w = np.maximum((r * x[:, None] ** 2).sum(0) / n - m * m, floor), n / len(x)
+    return m, v, w, like
+
+
+def test_mixtures_by_brute_force(spark):
+    r = np.random.default_rng(21)
+    data = {"three": np.concatenate([r.normal(-0.3, 0.05, 60), r.normal(0.0, 0.02, 100), r.normal(0.2, 0.1, 80)]), "one": r.normal(0, 0.1, 90), "tied": np.repeat([0.1, 0.2, 0.3], 10)}
+    df = spark.createDataFrame([(k, i, float(x)) for k, v in data.items() for i, x in enumerate(v)], "ticker string, block long, x double")
+    got = {x.ticker: x for x in regimes.mixture(df, 6).collect()}
+    for k, x in data.items():
+        m, v, w, like = em(x, 6)
+        order = np.argsort(m)
+        assert [p.mean for p in got[k].parts] == pytest.approx(m[order].tolist()) and [p.variance for p in got[k].parts] == pytest.approx(v[order].tolist(), rel=1e-5, abs=1e-9) and [p.weight for p in got[k].parts] == pytest.approx(w[order].tolist())
+        assert got[k].log_likelihood == pytest.approx(like[-1]) and all(a <= b + 1e-9 for a, b in zip(like, like[1:], strict=False))
+    marks = {(x.ticker, x.block): x.regime for x in regimes.regimes(df, regimes.mixture(df, 6)).collect()}
+    assert np.mean([marks["three", i] == (0 if i < 60 else 1 if i < 160 else 2) for i in range(240)]) > 0.85
+
+
+def test_blocks_are_whole(spark):
+    rets = [("a", day(i), 0.01) for i in range(24 * 5 + 3)] + [("short", day(i), 0.01) for i in range(50)]
+    x = regimes.block_returns(spark.createDataFrame(rets, "ticker string, date date, ret double"), 5).collect()
+    assert {b.ticker for b in x} == {"a"} and len(x) == 24 and x[0].x == pytest.approx(1.01**5 - 1)
+
+
+def spline_by_definition(x, y, at):
+    """All coefficients of the pieces from one dense system: values, and derivatives that do not jump (the third one neither, at
+    the second and last but one point)."""
+    n = len(x) - 1
+    A, b, row = np.zeros((4 * n, 4 * n)), np.zeros(4 * n), 0
+    for i in range(n):
+        for px, py in ((x[i], y[i]), (x[i + 1], y[i + 1])):
+            A[row, 4 * i : 4 * i + 4] = [(px - x[i]) ** k for k in range(4)]
+            b[row] = py
+            row += 1
+    for i in range(n - 1):
+        h = x[i + 1] - x[i]
+        for c, nxt in (([0, 1, 2 * h, 3 * h * h], [0, 1, 0, 0]), ([0, 0, 2, 6 * h], [0, 0, 2, 0])):
+            A[row, 4 * i : 4 * i + 4] = c
+            A[row, 4 * i + 4 : 4 * i + 8] = [-v for v in nxt]
+            row += 1
+    for i in (0, n - 2):
+        A[row, 4 * i + 3], A[row, 4 * i + 7] = 1, -1
+        row += 1
+    c = np.linalg.solve(A, b).reshape(n, 4)
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 1)
+    return np.array([sum(c[j, e] * (t - x[j]) ** e for e in range(4)) for j, t in zip(k, at, strict=True)])
+
+
+def test_cubic_fill(spark):
+    r = np.random.default_rng(4)
+    for n in (4, 5, 9, 30):
+        x = np.sort(r.choice(60, n, replace=False))
+        y, at = r.normal(size=n), np.arange(x[0], x[-1] + 1)
+        assert splines.cubic(x, y, at) == pytest.approx(spline_by_definition(x, y, at), abs=1e-6)
+    values = {"a": [None, 1.0, None, 4.0, 2.0, None, None, None, None, None, None, None, None, None, None, None, None, 3.0, 5.0, None], "few": [1.0, None, 3.0], "none": [None, None], "full": [1.0, 2.0]}
+    df = spark.createDataFrame([(k, day(i), v) for k, vs in values.items() for i, v in enumerate(vs)], "ticker string, date date, close double")
+    got = {(x.ticker, x.date): x.cubic for x in indicators.fill_cubic(df, "close").collect()}
+    known = [i for i, v in enumerate(values["a"]) if v is not None]
+    want = spline_by_definition(np.array(known), np.array([values["a"][i] for i in known]), np.arange(1, 19))
+    for i in range(20):
+        if i in (0, 19) or 9 < i < 12:  # outside what is known, and too far from it
+            assert got["a", day(i)] is None, i
+        else:
+            assert got["a", day(i)] == pytest.approx(want[i - 1]), i
+    assert got["few", day(1)] == 2.0 and got["none", day(0)] is None and got["full", day(1)] == 2.0
+
+
+def test_optimality_tells_good_weights_from_others(spark):
+    ship(spark)
+    r = np.random.default_rng(2)
+    a = r.normal(size=(60, 4)) * [0.1, 0.2, 0.3, 0.15] + r.normal(size=(60, 1)) * 0.1
+    cov, mean = np.cov(a.T), np.array([0.05, 0.2, 0.1, 0.15])
+    mom = spark.createDataFrame([("p", str(i), str(j), float(cov[i, j]), float(mean[i])) for i in range(4) for j in range(4)], "portfolio string, a string, b string, cov double, mean double")
+    equal = spark.createDataFrame([("p", str(i), 0.25) for i in range(4)], "portfolio string, ticker string, w double")
+    for kind, rf in (("min_variance", None), ("max_sharpe", 0.02)):
+        assert portfolio.optimality(mom, portfolio.optimized(mom, kind), rf).first().excess < 1e-3
+        assert portfolio.optimality(mom, equal, rf).first().excess > 0.05
+
+
+def test_history_spans(spark):
+    old = [("old", dt.date(1990, 1, 1) + dt.timedelta(days=i), 1.0) for i in range(0, 365 * 12)]
+    new = [("new", dt.date(2001, 1, 1) + dt.timedelta(days=i), 1.0) for i in range(0, 360)]
+    px = spark.createDataFrame(old + new, "ticker string, date date, close double")
+    members = spark.createDataFrame([("a", "old"), ("b", "old"), ("b", "new"), ("c", "none")], "portfolio string, ticker string")
+    spans = records.history_span(px, members, "2001-12-26", 3, 5, 10)
+    got = {x.portfolio: (x.years, x.tickers, x.sufficient, x.with_rows, x.late) for x in spans.collect()}
+    assert got == {"a": (5, 1, 1, 1, 0), "b": (10, 2, 1, 2, 1), "c": (10, 1, 0, 0, 0)}
+    rows = records.history_rows(px, members, spans, "2001-12-26")
+    assert {(x.portfolio, x.ticker): x["count"] for x in rows.groupBy("portfolio", "ticker").count().collect()} == {("a", "old"): 5 * 365 + 1, ("b", "old"): 10 * 365 + 1, ("b", "new"): 360}

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.splines import cubic
 from tidemark.sources.bars import by_date
 
 
@@ -74,6 +77,31 @@ def fill_gaps(panel: DataFrame, column: str, limit: int = 5) -> DataFrame:
     return p.withColumns({"ffill": F.when(F.col("rn") - F.col("a.rn") <= limit, F.col("a.v")), "linear": F.coalesce(F.col(column), F.when(near, line))}).drop("a", "z", "rn")
 
 
+def fill_cubic(panel: DataFrame, column: str, limit: int = 5) -> DataFrame:
+    """ticker, date, `column` and cubic: nulls filled by the cubic spline through the known rows, by their numbers in the series.
+
+    Up to `limit` rows from the known row before or after, and between known rows only; straight lines where a ticker knows under four
+    rows. The spline's equations go from one end of a series to the other: a ticker's rows, which the calendar bounds, are
+    solved in one task.
+    """
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date").reset_index(drop=True)
+        y = rows[column].to_numpy(float)
+        n = np.arange(len(y))
+        known = np.flatnonzero(~np.isnan(y))
+        made = y.copy()
+        if len(known):
+            before = n - np.maximum.accumulate(np.where(np.isnan(y), -10**9, n))
+            after = np.minimum.accumulate(np.where(np.isnan(y), 10**9, n)[::-1])[::-1] - n
+            want = np.isnan(y) & ((before <= limit) | (after <= limit))
+            made[want] = cubic(known, y[known], n[want])
+        return pd.DataFrame({"ticker": rows["ticker"], "date": rows["date"], column: rows[column], "cubic": pd.Series(made).astype(object).where(~np.isnan(made), None)})
+
+    kind = panel.schema["date"].dataType.simpleString()
+    return panel.select("ticker", "date", F.col(column).cast("double").alias(column)).groupBy("ticker").applyInPandas(fill, f"ticker string, date {kind}, {column} double, cubic double")
+
+
 def autocorrelation(rets: DataFrame, lags: int = 50) -> DataFrame:
     """ticker, lag, rho for lags 1..lags: every row meets its own later rows by position; one equi-join on shifted numbers."""
     n = rets.withColumn("rn", F.row_number().over(by_date())).select("ticker", "rn", "ret")

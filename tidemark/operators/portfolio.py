@@ -98,6 +98,21 @@ def optimized(mom: DataFrame, kind: str, rf: float = 0.02, low: float = 0.0, hig
     return mom.groupBy("portfolio").applyInPandas(solve, SOLVED)
 
 
+def optimality(mom: DataFrame, weights: DataFrame, rf: float | None = None) -> DataFrame:
+    """portfolio, assets, total (of weights), lowest (weight), excess: how far weights are from the best ones, by the conditions of the optimum.
+
+    With s = C w and v = w's: least variance needs s >= v for every asset (rf None). With e = mean - rf, the best ratio of excess
+    return to deviation needs s >= v e / (w'e). excess is the largest shortfall as a share of v: 0 at the optimum.
+    """
+    w = weights.select("portfolio", F.col("ticker").alias("a"), F.col("w").alias("wa"))
+    held = weights.select("portfolio", F.col("ticker").alias("b"), F.col("w").alias("wb"))
+    s = mom.join(held, ["portfolio", "b"]).groupBy("portfolio", "a").agg(F.sum(F.col("cov") * F.col("wb")).alias("s"), F.first("mean").alias("mean")).join(w, ["portfolio", "a"])
+    e = F.col("mean") - rf if rf is not None else F.lit(1.0)
+    s = s.withColumns({"e": e, "v": F.sum(F.col("wa") * F.col("s")).over(book())}).withColumn("we", F.sum(F.col("wa") * F.col("e")).over(book()))
+    short = F.col("v") * F.col("e") / F.col("we") - F.col("s")
+    return s.groupBy("portfolio").agg(F.count("*").alias("assets"), F.sum("wa").alias("total"), F.min("wa").alias("lowest"), F.max(short / F.col("v")).alias("excess"))
+
+
 def frontier(mom: DataFrame, points: int = 20) -> DataFrame:
     """portfolio, target, ret, sigma: least deviation for `points` returns between that of least variance and the largest mean."""
 

@@ -64,6 +64,27 @@ def history_rule(prices: DataFrame, end: str, years: int = 15, limited_under: in
     return prices.groupBy("ticker").agg(n.alias("records"), first.alias("first_date"), last.alias("last_date"), span(first, last).alias("years"), enough.alias("sufficient"), (first > F.date_add(asked, 365)).alias("starts_late"), (span(first, last) < limited_under).alias("limited"))
 
 
+def history_span(prices: DataFrame, members: DataFrame, end: str, least: int = 15, optimal: int = 25, longest: int = 50) -> DataFrame:
+    """portfolio, years, start_date, and of its tickers: how many will do for `least` years, begin over a year late, and have rows.
+
+    A book whose tickers all do is read for `optimal` years, any other for `longest`.
+    """
+    rule = history_rule(prices, end, least).select("ticker", "sufficient", "first_date")
+    z = F.lit(end).cast("date")
+    x = members.select("portfolio", "ticker").distinct().join(rule, "ticker", "left")
+    years = F.when(F.bool_and(F.coalesce("sufficient", F.lit(False))), optimal).otherwise(longest)
+    g = x.groupBy("portfolio").agg(years.alias("years"), F.count("*").alias("tickers"), F.count_if("sufficient").alias("sufficient"), F.count("first_date").alias("with_rows"))
+    g = g.withColumn("start_date", F.date_sub(z, F.col("years") * 365))
+    late = x.join(g.select("portfolio", "start_date"), "portfolio").groupBy("portfolio").agg(F.count_if(F.col("first_date") > F.date_add("start_date", 365)).alias("late"))
+    return g.join(late, "portfolio")
+
+
+def history_rows(prices: DataFrame, members: DataFrame, spans: DataFrame, end: str) -> DataFrame:
+    """portfolio, ticker, date, close of each book's span up to `end`."""
+    x = prices.select("ticker", "date", "close").join(members.select("portfolio", "ticker").distinct(), "ticker").join(spans.select("portfolio", "start_date"), "portfolio")
+    return x.where((F.col("date") >= F.col("start_date")) & (F.col("date") <= F.lit(end).cast("date"))).select("portfolio", "ticker", "date", "close")
+
+
 def real_values(rows: DataFrame, value: str, inflation: float, periods: int = 252) -> DataFrame:
     """`real`: the value in money of its series' first day, at a yearly inflation."""
     t = F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1

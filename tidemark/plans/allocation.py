@@ -70,6 +70,27 @@ def b5_min_variance(spark: Spark, d: str) -> DataFrame:
     return rnd(pf.optimized(pf.moments(_clipped(spark, d)), "min_variance"), "w")
 
 
+OPTIMAL = "SELECT left(p_brand, 7) AS portfolio, count(DISTINCT p_brand) AS assets, true AS sums_to_one, true AS in_bounds, true AS optimal FROM part GROUP BY 1"
+
+
+def _optimal(spark: Spark, d: str, kind: str, rf: float | None) -> DataFrame:
+    mom = pf.moments(_clipped(spark, d))
+    x = pf.optimality(mom, pf.optimized(mom, kind), rf)
+    return x.select("portfolio", "assets", (F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"), (F.col("lowest") >= 0).alias("in_bounds"), (F.col("excess") < 1e-3).alias("optimal"))
+
+
+@query("b5_optimality", OPTIMAL, base=False)
+def b5_optimality(spark: Spark, d: str) -> DataFrame:
+    """That no asset would lower the variance of the weights of b5: what makes them the ones asked for."""
+    return _optimal(spark, d, "min_variance", None)
+
+
+@query("b6_optimality", OPTIMAL, base=False)
+def b6_optimality(spark: Spark, d: str) -> DataFrame:
+    """That no asset would raise the ratio of excess return to deviation of the weights of b6."""
+    return _optimal(spark, d, "max_sharpe", 0.02)
+
+
 @query("b6_max_sharpe")
 def b6_max_sharpe(spark: Spark, d: str) -> DataFrame:
     return rnd(pf.optimized(pf.moments(_clipped(spark, d)), "max_sharpe"), "w", digits=4)

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query
 from tidemark.operators import portfolio as pf
 from tidemark.operators import regression as reg
+from tidemark.operators import indicators as ind
+from tidemark.operators import regimes as reg_
 from tidemark.operators import returns as ret
 from tidemark.operators import samples, volatility, withdrawal
+from tidemark.plans.portfolio_risk import SMOOTH, smooth_returns
 from tidemark.plans.allocation import BOOKS, booked
 from tidemark.plans.market import rnd
 from tidemark.sources import bars as b
@@ -264,3 +267,58 @@ def m14_winsorized(spark: Spark, d: str) -> DataFrame:
 @query("m14_without_extremes", "WITH s AS (SELECT *, avg(ret) OVER (PARTITION BY ticker) AS m, stddev_pop(ret) OVER (PARTITION BY ticker) AS s FROM returns) SELECT ticker, date, round(ret, 6) AS ret FROM s WHERE abs(ret - m) <= 3 * s")
 def m14_without_extremes(spark: Spark, d: str) -> DataFrame:
     return rnd(ret.without_extremes(b.returns(spark, d), 3.0).select("ticker", "date", "ret"), "ret")
+
+
+BLOCKS = SMOOTH + """, n AS (SELECT ticker, (row_number() OVER (PARTITION BY ticker ORDER BY date) - 1) // 5 AS block, ret FROM r),
+k AS (SELECT ticker, block, exp(sum(ln(1 + ret))) - 1 AS x FROM n GROUP BY 1, 2 HAVING count(*) = 5), w AS (SELECT * FROM k WHERE ticker IN (SELECT ticker FROM k GROUP BY 1 HAVING count(*) >= 24)),
+c AS (SELECT ticker, quantile_cont(x, 0.33) AS lo, quantile_cont(x, 0.67) AS hi, var_pop(x) * 1e-6 AS floor FROM w GROUP BY 1),
+u AS (SELECT ticker, block, x, floor, CASE WHEN x < lo THEN 0 WHEN x < hi THEN 1 ELSE 2 END AS regime FROM w JOIN c USING (ticker)),
+d AS (SELECT ticker, regime, any_value(floor) AS floor, avg(x) AS mean, var_pop(x) AS variance, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY ticker) AS weight FROM u GROUP BY 1, 2)"""
+
+
+def week_blocks(spark: Spark, d: str) -> DataFrame:
+    """Returns of five days of the order totals by priority, a series for each."""
+    return reg_.block_returns(smooth_returns(spark, d), 5)
+
+
+@query("m7_terciles", BLOCKS + " SELECT ticker, regime, round(mean, 8) AS mean, round(variance, 8) AS variance, round(weight, 8) AS weight FROM d", base=False)
+def m7_terciles(spark: Spark, d: str) -> DataFrame:
+    return rnd(reg_.described(reg_.terciles(week_blocks(spark, d))), "mean", "variance", "weight", digits=8)
+
+
+@query("m7_mixture_step", BLOCKS + """, p AS (SELECT w.ticker, block, x, regime, floor, weight / sqrt(2 * pi() * greatest(variance, floor)) * exp(-pow(x - mean, 2) / (2 * greatest(variance, floor))) AS v FROM w JOIN d USING (ticker)),
+s AS (SELECT *, v / sum(v) OVER (PARTITION BY ticker, block) AS r, sum(v) OVER (PARTITION BY ticker, block) AS total FROM p),
+l AS (SELECT ticker, sum(ln(total)) AS log_likelihood, count(*) AS n FROM (SELECT DISTINCT ticker, block, total FROM s) GROUP BY 1)
+SELECT ticker, regime AS part, round(any_value(log_likelihood), 5) AS log_likelihood, round(sum(r * x) / sum(r), 7) AS mean, round(greatest(sum(r * x * x) / sum(r) - pow(sum(r * x) / sum(r), 2), any_value(floor)), 7) AS variance, round(sum(r) / any_value(n), 7) AS weight FROM s JOIN l USING (ticker) GROUP BY 1, 2""", base=False)
+def m7_mixture_step(spark: Spark, d: str) -> DataFrame:
+    """One step of the mixture from the terciles."""
+    x = week_blocks(spark, d)
+    out = reg_.step(x, reg_.start(x)).select("ticker", "log_likelihood", F.posexplode("parts").alias("part", "p")).select("ticker", "part", "log_likelihood", "p.*")
+    return rnd(rnd(out, "log_likelihood", digits=5), "mean", "variance", "weight", digits=7)
+
+
+@query("m7_regimes")
+def m7_regimes(spark: Spark, d: str) -> DataFrame:
+    """The likeliest component of each block after twenty steps; tested by brute force."""
+    x = week_blocks(spark, d)
+    out = reg_.regimes(x, reg_.mixture(x))
+    return rnd(out.groupBy("ticker", "regime").agg(F.count("*").alias("n"), F.avg("x").alias("mean")), "mean", digits=4)
+
+
+HOLES = "WITH RECURSIVE h AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn, CASE WHEN day(date) % 3 = 0 OR day(date) BETWEEN 10 AND 22 THEN NULL ELSE close END AS y FROM bars)"
+
+
+@query("w10_cubic", HOLES + """, q AS (SELECT ticker, rn AS x, y, row_number() OVER (PARTITION BY ticker ORDER BY rn) AS i, count(*) OVER (PARTITION BY ticker) AS n, lead(rn) OVER w - rn AS h, (lead(y) OVER w - y) / (lead(rn) OVER w - rn) AS s FROM h WHERE y IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY rn)),
+e AS (SELECT *, lag(h) OVER w AS g, lag(s) OVER w AS sg, lag(h, 2) OVER w AS gg FROM q WINDOW w AS (PARTITION BY ticker ORDER BY i)),
+t AS (SELECT ticker, i, n, CASE WHEN i = n - 1 THEN g - h * h / g ELSE g END AS a, 2 * (g + h) + CASE WHEN i = 2 THEN g * (1 + g / h) ELSE 0 END + CASE WHEN i = n - 1 THEN h * (1 + h / g) ELSE 0 END AS b, CASE WHEN i = 2 THEN h - g * g / h ELSE h END AS c, 6 * (s - sg) AS d FROM e WHERE i > 1 AND i < n),
+f AS (SELECT ticker, i, n, c / b AS cp, d / b AS dp FROM t WHERE i = 2 UNION ALL SELECT t.ticker, t.i, t.n, t.c / (t.b - t.a * f.cp), (t.d - t.a * f.dp) / (t.b - t.a * f.cp) FROM f JOIN t ON t.ticker = f.ticker AND t.i = f.i + 1),
+m AS (SELECT ticker, i, dp AS m FROM f WHERE i = n - 1 UNION ALL SELECT f.ticker, f.i, f.dp - f.cp * m.m FROM m JOIN f ON f.ticker = m.ticker AND f.i = m.i - 1),
+z AS (SELECT q.ticker, q.i, q.x, q.y, q.h, q.n, CASE WHEN q.i = 1 THEN a.m + q.h / a1.h * (a.m - a2.m) WHEN q.i = q.n THEN b.m + b1.h / b2.h * (b.m - b2m.m) ELSE o.m END AS m FROM q
+ LEFT JOIN m o ON o.ticker = q.ticker AND o.i = q.i LEFT JOIN m a ON a.ticker = q.ticker AND a.i = 2 LEFT JOIN m a2 ON a2.ticker = q.ticker AND a2.i = 3 LEFT JOIN q a1 ON a1.ticker = q.ticker AND a1.i = 2
+ LEFT JOIN m b ON b.ticker = q.ticker AND b.i = q.n - 1 LEFT JOIN m b2m ON b2m.ticker = q.ticker AND b2m.i = q.n - 2 LEFT JOIN q b1 ON b1.ticker = q.ticker AND b1.i = q.n - 1 LEFT JOIN q b2 ON b2.ticker = q.ticker AND b2.i = q.n - 2),
+g AS (SELECT z.*, lead(y) OVER w AS y2, lead(m) OVER w AS m2 FROM z WINDOW w AS (PARTITION BY ticker ORDER BY i))
+SELECT h.ticker, h.date, round(1e-8 + coalesce(h.y, CASE WHEN h.rn - g.x <= 5 OR g.x + g.h - h.rn <= 5 THEN (g.m * pow(g.x + g.h - h.rn, 3) + m2 * pow(h.rn - g.x, 3)) / (6 * g.h) + (g.y / g.h - g.m * g.h / 6) * (g.x + g.h - h.rn) + (y2 / g.h - m2 * g.h / 6) * (h.rn - g.x) END), 5) AS cubic
+FROM h LEFT JOIN g ON g.ticker = h.ticker AND h.rn > g.x AND h.rn < g.x + g.h""")
+def w10_cubic(spark: Spark, d: str) -> DataFrame:
+    hole = F.when((F.day("date") % 3 == 0) | F.day("date").between(10, 22), None).otherwise(F.col("close"))
+    return rnd(ind.fill_cubic(b.bars(spark, d).withColumn("close", hole), "close").select("ticker", "date", (F.col("cubic") + 1e-8).alias("cubic")), "cubic", digits=5)  # many values are halves of the last digit

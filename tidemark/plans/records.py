@@ -112,6 +112,24 @@ def m1_history_rule(spark: Spark, d: str) -> DataFrame:
     return rnd(rec.history_rule(b.bars(spark, d), "2001-12-31", 5), "years", digits=4)
 
 
+SPANS = """WITH e AS (SELECT ticker, min(date) AS f, (max(date) - min(date)) / 365.25 >= 3 AND (max(date) - greatest(min(date), DATE '2001-10-31' - 1095)) / 365.25 >= 2.4 AND max(date) >= DATE '2001-10-31' - 7 AND count(*) >= 3 * 252 * 0.8 AS ok FROM bars GROUP BY 1),
+b AS (SELECT DISTINCT left(p_brand, 7) AS portfolio, p_brand AS ticker FROM part), g AS (SELECT portfolio, CASE WHEN bool_and(coalesce(ok, false)) THEN 5 ELSE 10 END AS years, count(*) AS tickers, count(*) FILTER (ok) AS sufficient, count(f) AS with_rows FROM b LEFT JOIN e USING (ticker) GROUP BY 1),
+s AS (SELECT *, DATE '2001-10-31' - years * 365 AS start_date FROM g)"""
+
+
+@query("m1_history_span", SPANS + " SELECT s.portfolio, years, tickers, sufficient, with_rows, start_date, (SELECT count(*) FROM b JOIN e USING (ticker) WHERE b.portfolio = s.portfolio AND f > s.start_date + 365) AS late FROM s")
+def m1_history_span(spark: Spark, d: str) -> DataFrame:
+    """Five years for the families whose tickers all have three good ones, ten for the others."""
+    return rec.history_span(b.bars(spark, d), members(spark, d), "2001-10-31", 3, 5, 10)
+
+
+@query("m1_history_rows", SPANS + " SELECT portfolio, ticker, count(*) AS n, min(date) AS first_date FROM bars JOIN b USING (ticker) JOIN s USING (portfolio) WHERE date >= start_date AND date <= DATE '2001-10-31' GROUP BY 1, 2")
+def m1_history_rows(spark: Spark, d: str) -> DataFrame:
+    px, m = b.bars(spark, d), members(spark, d)
+    rows = rec.history_rows(px, m, rec.history_span(px, m, "2001-10-31", 3, 5, 10), "2001-10-31")
+    return rows.groupBy("portfolio", "ticker").agg(F.count("*").alias("n"), F.min("date").alias("first_date"))
+
+
 @query("m21_return_matrix", """WITH m AS (SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS date, arg_max(close, date) AS close FROM bars GROUP BY 1, 2), r AS (SELECT * FROM (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM m) WHERE ret IS NOT NULL),
 k AS (SELECT ticker FROM r GROUP BY 1 HAVING count(*) >= 20), f AS (SELECT r.* FROM r SEMI JOIN k USING (ticker)), c AS (SELECT date FROM f GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM k)) SELECT ticker, date, round(ret, 8) AS ret FROM f SEMI JOIN c USING (date)""")
 def m21_return_matrix(spark: Spark, d: str) -> DataFrame:
