@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.functions import ranges
+from tidemark.operators import breaker
 from tidemark.plans.allocation import HELD, held
 from tidemark.plans.calendar import MISSING
 from tidemark.plans.market import rnd
@@ -125,3 +126,20 @@ def p10_weight_sums(spark: Spark, d: str) -> DataFrame:
     w = part.join(all_, "portfolio").withColumn("w", F.round(100 * F.col("v") / F.col("all"), 2))
     s = w.groupBy("portfolio").agg(F.round(F.sum("w"), 4).alias("total"), F.bool_and(F.col("w").between(0, 100)).alias("in_bounds"))
     return s.select("portfolio", "total", (F.abs(F.col("total") - 100) <= 0.01).alias("percent_fits"), (F.abs(F.col("total") / 100 - 1) <= 0.001).alias("share_fits"), "in_bounds")
+
+
+BREAKER = """WITH RECURSIVE o AS (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS sec, coalesce(value >= 40, false) AS bad, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT event_type, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0 AS run, NULL::DOUBLE AS until, '' AS outcome FROM (SELECT DISTINCT event_type FROM o)
+UNION ALL SELECT o.event_type, o.n, o.event_id,
+ CASE WHEN until IS NOT NULL AND sec < until THEN run WHEN NOT bad THEN 0 WHEN until IS NOT NULL OR run + 1 >= 5 THEN 0 ELSE run + 1 END,
+ CASE WHEN until IS NOT NULL AND sec < until THEN until WHEN bad AND (until IS NOT NULL OR run + 1 >= 5) THEN sec + 3600 END,
+ CASE WHEN until IS NOT NULL AND sec < until THEN 'rejected' WHEN bad THEN 'failed' ELSE 'ok' END FROM f JOIN o ON o.event_type = f.event_type AND o.n = f.n + 1)
+SELECT event_id, event_type, outcome FROM f WHERE n > 0"""
+
+
+@query("x6_circuit_breaker", BREAKER, base=False)
+def x6_circuit_breaker(spark: Spark, d: str) -> DataFrame:
+    """Every call by what the breaker of its kind did with it: five failures (values from 40 on) in a row, an hour's pause, one trial."""
+    ship(spark)
+    e = b.table(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    return breaker.calls(e, "event_type", "ts", F.col("value") >= 40, ["event_id"], 5, 3600.0).select("event_id", "event_type", "outcome")
