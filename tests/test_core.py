@@ -247,3 +247,16 @@ def test_backtest_trades_and_report_equal_a_fold(spark):
     assert out.total_trades == len(want) and out.final_value == pytest.approx(v[-1]) and out.max_drawdown == pytest.approx(fall)
     assert [out.annualized_return, out.volatility, out.sharpe_ratio, out.calmar_ratio] == pytest.approx([annual, vola, (annual - 2) / vola, annual / -fall])
     assert out.excess_return == pytest.approx((v[-1] / 1000 - a[-1] / a[0]) * 100)
+
+
+def test_kept_bars_follow_the_files(spark, sf, tmp_path):
+    from tidemark.sources import bars
+
+    for name in ("lineitem", "part"):
+        spark.read.parquet(f"{sf}/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    first = bars.bars(spark, str(tmp_path))
+    n = first.agg(F.sum("volume")).first()[0]
+    assert bars.bars(spark, str(tmp_path)) is first
+    spark.read.parquet(f"{sf}/lineitem.parquet").limit(100).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    again = bars.bars(spark, str(tmp_path))
+    assert again is not first and again.agg(F.sum("volume")).first()[0] > n and not first.is_cached

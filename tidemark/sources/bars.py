@@ -44,26 +44,43 @@ def resample_daily(ticks: DataFrame, *more: str) -> DataFrame:
     )
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], tuple[list[tuple], DataFrame]] = {}
+BASE = ("lineitem", "part")  # the tables that what is kept comes from
+
+
+def file_state(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """Name, length and time of the files of the tables that bars come from."""
+    out = []
+    for name in BASE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(path)
+        files = fs.listStatus(path) if status.isDirectory() else [status]
+        out += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return out
 
 
 def kept(df: DataFrame, name: str, sf_dir: str) -> DataFrame:
-    """df, computed once in a session for a folder, laid out by ticker and date, in memory and on the executors' disks.
+    """df, computed once in a session for a folder and the state of its files, laid out by ticker and date, in memory and on the
+    executors' disks. Other files, lengths or times of the tables below give up what was kept.
 
     Bars are far fewer than trades, and nearly every query reads them; lost blocks are computed again from the trades.
     """
-    key = df.sparkSession.sparkContext.applicationId, name, sf_dir
+    spark = df.sparkSession
+    key, state = (spark.sparkContext.applicationId, name, sf_dir), file_state(spark, sf_dir)
+    for old in [k for k in _kept if k[0] != key[0]]:
+        del _kept[old]  # of a session that has ended
+    if key in _kept and _kept[key][0] != state:
+        _kept.pop(key)[1].unpersist()
     if key not in _kept:
-        for old in [k for k in _kept if k[0] != key[0]]:
-            del _kept[old]  # of a session that has ended
-        _kept[key] = df.repartition("ticker").sortWithinPartitions("ticker", "date").persist(StorageLevel.MEMORY_AND_DISK)
-    return _kept[key]
+        _kept[key] = state, df.repartition("ticker").sortWithinPartitions("ticker", "date").persist(StorageLevel.MEMORY_AND_DISK)
+    return _kept[key][1]
 
 
 def release() -> None:
     """Give up the bars that are kept, as when the trades have changed."""
     while _kept:
-        _kept.popitem()[1].unpersist()
+        _kept.popitem()[1][1].unpersist()
 
 
 def fresh_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
