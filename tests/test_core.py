@@ -260,3 +260,32 @@ def test_kept_bars_follow_the_files(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/lineitem.parquet").limit(100).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
     again = bars.bars(spark, str(tmp_path))
     assert again is not first and again.agg(F.sum("volume")).first()[0] > n and not first.is_cached
+
+
+def test_optimizers_as_strategies(spark):
+    from tidemark.functions import optimize
+    from tidemark.session import ship
+
+    ship(spark)
+    r = random.Random(31)
+    prices = [(t, day(i), 10 + 5 * r.random()) for t, begin in (("A", 0), ("B", 0), ("C", 70)) for i in range(begin, 160)]
+    members = [("x", "A"), ("x", "B"), ("y", "B"), ("y", "C")]
+    marks = [day(50), day(120)]
+    got = portfolio.optimizer_weights(spark.createDataFrame(prices, "ticker string, date date, close double"), spark.createDataFrame(members, "portfolio string, ticker string"), spark.createDataFrame([(m,) for m in marks], "date date"), ("min_variance", "risk_parity"), 30)
+    got = {(x.strategy, x.portfolio, x.segment, x.ticker): x.w for x in got.collect()}
+    assert len(got) == 2 * 2 * 4
+    by = {}
+    for t, d, x in sorted(prices):
+        by.setdefault(t, []).append((d, x))
+    for book in ("x", "y"):
+        own = [t for p, t in members if p == book]
+        for m in marks:
+            rets = {t: [(d, max(-0.5, min(2.0, z / a - 1))) for (_, a), (d, z) in zip(by[t], by[t][1:], strict=False) if d <= m][-30:] for t in own}
+            if any(len(v) < 30 for v in rets.values()):
+                want = {k: [0.5, 0.5] for k in ("min_variance", "risk_parity")}
+                assert (book, m) == ("y", day(50))
+            else:
+                cov = np.cov(np.array([[v for _, v in rets[t]] for t in own])) * 252
+                want = {"min_variance": optimize.least_variance(cov), "risk_parity": optimize.equal_risk(cov)}
+            for kind, w in want.items():
+                assert [got[kind, book, m, t] for t in own] == pytest.approx(list(w), abs=1e-6)

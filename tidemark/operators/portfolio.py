@@ -255,6 +255,46 @@ def rule_weights(prices: DataFrame, members: DataFrame, rebalance: DataFrame, da
     return y.select("portfolio", "ticker", "segment", each.alias("r")).select("r.strategy", "portfolio", "ticker", "segment", "r.w")
 
 
+def trailing(rets: DataFrame, dates: DataFrame, days: int) -> DataFrame:
+    """ticker, segment, date, ret of the last `days` returns up to each date of `dates` (the segment), of tickers with as many.
+
+    A row is repeated once for each of the (few) dates that it counts for; ranks are told by ticker, and met by ticker and rank.
+    """
+    by = Window.partitionBy("ticker").orderBy("date")
+    x = rets.select("ticker", "date", "ret").withColumn("_n", F.row_number().over(by))
+    ask = x.select("ticker").distinct().join(dates.select(F.col("date").alias("segment")).distinct())
+    marks = x.select("ticker", "date", "_n", F.lit(None).cast("date").alias("segment")).unionByName(ask.select("ticker", F.col("segment").alias("date"), F.lit(None).cast("int").alias("_n"), "segment"))
+    upto = Window.partitionBy("ticker").orderBy("date").rangeBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumn("_c", F.max("_n").over(upto)).where(F.col("segment").isNotNull() & (F.col("_c") >= days))
+    wanted = marks.select("ticker", "segment", F.explode(F.sequence(F.col("_c") - days + 1, F.col("_c"))).alias("_n"))
+    return x.join(wanted, ["ticker", "_n"]).drop("_n")
+
+
+def optimizer_weights(prices: DataFrame, members: DataFrame, rebalance: DataFrame, kinds: tuple[str, ...] = ("min_variance", "max_sharpe", "risk_parity"), days: int = 60, clip: tuple[float, float] = (-0.5, 2.0)) -> DataFrame:
+    """strategy, portfolio, ticker, segment, w of optimisers run on each rebalance date over the last `days` returns before it.
+
+    A book of which a member has fewer returns by then is weighted equally. Each book and date is a small matrix in a task of its own,
+    made positive definite first, as its pairs are seen on different days.
+    """
+    by = Window.partitionBy("ticker").orderBy("date")
+    rets = prices.select("ticker", "date", (F.col("close") / F.lag("close").over(by) - 1).alias("ret")).where("ret is not null")
+    rets = rets.withColumn("ret", F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), F.col("ret"))))
+    seen = trailing(rets, rebalance, days)
+    all_ = members.select("portfolio", "ticker").join(rebalance.select(F.col("date").alias("segment")).distinct())
+    known = all_.join(seen.select("ticker", "segment").distinct().withColumn("_has", F.lit(1)), ["ticker", "segment"], "left")
+    known = known.withColumns({"k": F.count("*").over(Window.partitionBy("portfolio", "segment")), "full": F.count("_has").over(Window.partitionBy("portfolio", "segment"))})
+    one = F.concat_ws("\n", "portfolio", F.col("segment").cast("string"))
+    rows = seen.join(known.where("k = full").select("portfolio", "ticker", "segment"), ["ticker", "segment"]).select(one.alias("portfolio"), "ticker", "date", "ret")
+    mom = repaired_moments(moments(rows)).select("portfolio", "a", "b", "cov", "mean")
+    equal = known.where("k > full").select("portfolio", "ticker", "segment", (F.lit(1.0) / F.col("k")).alias("w"))
+    out = None
+    for kind in kinds:
+        solved = optimized(mom, kind).select(F.split_part("portfolio", F.lit("\n"), F.lit(1)).alias("portfolio"), "ticker", F.split_part("portfolio", F.lit("\n"), F.lit(-1)).cast("date").alias("segment"), "w")
+        mine = solved.unionByName(equal).select(F.lit(kind).alias("strategy"), "portfolio", "ticker", "segment", "w")
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
 def positions(trades: DataFrame, order: tuple[str, ...] = ("at", "line")) -> DataFrame:
     """Shares, average cost, realised profit and unfilled shares after folding each position's trades: average cost method.
 

@@ -280,3 +280,27 @@ def b12_strategies(spark: Spark, d: str) -> DataFrame:
 def b14_strategy_results(spark: Spark, d: str) -> DataFrame:
     out = strategies(spark, d).groupBy("strategy", "portfolio").agg(F.count("*").alias("days"), (F.max_by("value", "date") / 100_000 - 1).alias("total_return"))
     return rnd(out, "total_return")
+
+
+def optimizers(spark: Spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prices, yearly dates, and what the optimisers give for each family on them."""
+    prices = b.bars(spark, d).where("date >= '1995-03-01'")
+    dates = ind.first_of_period(prices.select("date").distinct().where("date >= '1996-01-01'"), "year")
+    return prices, dates, pf.optimizer_weights(prices, members(spark, d), dates)
+
+
+@query("b14_optimizer_weights", """WITH s AS (SELECT min(date) AS segment FROM bars WHERE date >= DATE '1996-01-01' GROUP BY year(date)), m AS (SELECT DISTINCT p_brand AS ticker, left(p_brand, 7) AS portfolio FROM part)
+SELECT strategy, portfolio, segment, count(*) AS assets, true AS sums_to_one, true AS in_bounds FROM m, s, (VALUES ('min_variance'), ('max_sharpe'), ('risk_parity')) v(strategy) GROUP BY 1, 2, 3""")
+def b14_optimizer_weights(spark: Spark, d: str) -> DataFrame:
+    """What SQL can say of them: every book has weights on every date. Tested against the optimisers by hand."""
+    w = optimizers(spark, d)[2]
+    return w.groupBy("strategy", "portfolio", "segment").agg(F.count("*").alias("assets"), (F.abs(F.sum("w") - 1) < 1e-6).alias("sums_to_one"), F.bool_and(F.col("w").between(-1e-9, 1 + 1e-9)).alias("in_bounds"))
+
+
+@query("b14_optimizer_results")
+def b14_optimizer_results(spark: Spark, d: str) -> DataFrame:
+    """Backtests of the optimisers, a strategy each, rebalanced yearly."""
+    prices, dates, w = optimizers(spark, d)
+    values = pf.backtest(prices, w, dates, by=("strategy", "portfolio"), start="1996-01-01")
+    out = values.groupBy("strategy", "portfolio").agg(F.count("*").alias("days"), (F.max_by("value", "date") / 100_000 - 1).alias("total_return"))
+    return rnd(out, "total_return", digits=2)
