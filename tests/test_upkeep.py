@@ -96,3 +96,29 @@ def test_missing_ranges_of_random_dates(spark, seed):
         else:
             want.append([d])
     assert got == [(w[0], w[-1], len(w)) for w in want]
+
+
+def test_cached_frames_run_out(spark, tmp_path):
+    from tidemark.sources.upkeep import TtlCache
+
+    t = dt.datetime(2024, 5, 1)
+    cache = TtlCache(spark, f"{tmp_path}/cache", dt.timedelta(minutes=10))
+    assert cache.get("a", t) is None and cache.info(t).count() == 0
+    cache.put("a", spark.range(5), t)
+    cache.put("b", spark.range(2), t + dt.timedelta(minutes=8))
+    assert cache.get("a", t + dt.timedelta(minutes=10)).count() == 5 and cache.get("a", t + dt.timedelta(minutes=11)) is None
+    cache.put("a", spark.range(7), t + dt.timedelta(minutes=12))
+    later = t + dt.timedelta(minutes=20)
+    assert {x.name: (x.rows, x.age, x.valid) for x in cache.info(later).collect()} == {"a": (7, 480.0, True), "b": (2, 720.0, False)}
+    cache.clear(later)
+    assert cache.get("a", later).count() == 7 and len(list((tmp_path / "cache").iterdir())) == 1
+    cache.invalidate("a")
+    assert cache.get("a", later) is None and not list((tmp_path / "cache").iterdir())
+
+
+def test_exports_quote_what_they_must(spark):
+    from tidemark.sources import tables
+
+    df = spark.createDataFrame([("a,b", 1, None), ('say "x"', 2, "plain")], "k string, n int, t string")
+    assert sorted(x.line for x in tables.to_csv_lines(df).collect()) == sorted(['"a,b",1,', '"say ""x""",2,plain'])
+    assert {x.k: x.record for x in tables.to_records(df, "k").collect()} == {"a,b": {"n": "1", "t": None}, 'say "x"': {"n": "2", "t": "plain"}}

@@ -56,3 +56,15 @@ def beta(a: str | Column, b: str | Column) -> Column:
 
 def rounded(*names: str, digits: int = 6) -> dict[str, Column]:
     return {n: F.round(F.col(n), digits) for n in names}
+
+
+def significant(name: str, digits: int = 9) -> Column:
+    """A value rounded to so many digits, whatever its size."""
+    x = F.col(name)
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, x).otherwise(F.round(x / unit, digits - 1) * unit).alias(name)
+
+
+def significant_sql(x: str, digits: int = 9) -> str:
+    unit = f"pow(10, floor(log10(abs({x}))))"
+    return f"CASE WHEN {x} = 0 THEN {x} ELSE round({x} / {unit}, {digits - 1}) * {unit} END"

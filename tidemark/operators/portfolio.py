@@ -358,6 +358,27 @@ def backtest_trades(prices: DataFrame, weights: DataFrame, rebalance: DataFrame,
     return x.where(F.abs("amount") > least).select("portfolio", "date", "ticker", "amount")
 
 
+def closes_at(prices: DataFrame, dates: DataFrame) -> DataFrame:
+    """ticker, date, close of each ticker on each of (few) dates: its last close up to then; no row before its first."""
+    ask = prices.select("ticker").distinct().join(dates.select("date").distinct()).select("ticker", "date", F.lit(None).cast("double").alias("close"), F.lit(True).alias("_ask"))
+    x = prices.select("ticker", "date", F.col("close").cast("double").alias("close"), F.lit(False).alias("_ask")).unionByName(ask)
+    upto = Window.partitionBy("ticker").orderBy("date").rangeBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("close", F.last("close", True).over(upto)).where("_ask and close is not null").drop("_ask")
+
+
+def transactions(trades: DataFrame, prices: DataFrame, rebalance: DataFrame, commission: float = 0.0, slippage: float = 0.0) -> DataFrame:
+    """portfolio, date, ticker, action, shares, price (with slippage), commission and cash (what the book pays, below 0, or gets).
+
+    trades: from `backtest_trades`, on the dates of `rebalance`. The backtest's values don't bear these costs; summed up by book they say what they would come to.
+    """
+    x = trades.join(closes_at(prices, rebalance), ["ticker", "date"])
+    buy = F.col("amount") > 0
+    price = F.col("close") * F.when(buy, 1 + slippage).otherwise(1 - slippage)
+    x = x.withColumns({"action": F.when(buy, "BUY").otherwise("SELL"), "shares": F.abs("amount") / F.col("close"), "price": price, "commission": F.lit(commission)})
+    cash = F.when(buy, -F.col("shares") * F.col("price")).otherwise(F.col("shares") * F.col("price")) - F.col("commission")
+    return x.select("portfolio", "date", "ticker", "action", "shares", "price", "commission", cash.alias("cash"))
+
+
 def backtest_report(values: DataFrame, initial: float, trades: DataFrame, benchmark: DataFrame, rf: float = 0.02) -> DataFrame:
     """A row a book: total, annual, benchmark and excess return, volatility and worst drawdown in percent, Sharpe and Calmar ratios
     (0 where they are undefined), final value and number of trades. benchmark: (date, close), over each book's days.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
+from tidemark.functions.stats import significant, significant_sql
 from tidemark.operators import indicators as ind
 from tidemark.operators import portfolio as pf
 from tidemark.plans.market import rnd
@@ -220,8 +221,8 @@ rt AS (SELECT *, value / lag(value) OVER w - 1 AS ret, max(value) OVER (w ROWS U
 mk AS (SELECT date, close FROM bars WHERE ticker = 'Brand#11'),
 ag AS (SELECT portfolio, count(*) AS days, arg_max(value, rt.date) AS final_value, stddev_samp(ret) * sqrt(252) * 100 AS volatility, min((value - peak) / peak) * 100 AS max_drawdown, (arg_max(close, rt.date) FILTER (close IS NOT NULL) / arg_min(close, rt.date) FILTER (close IS NOT NULL) - 1) * 100 AS benchmark_return FROM rt LEFT JOIN mk ON mk.date = rt.date GROUP BY 1),
 an AS (SELECT *, (final_value / 100000 - 1) * 100 AS total_return, (pow(final_value / 100000, 252.0 / days) - 1) * 100 AS annualized_return FROM ag)
-SELECT portfolio, days, total_trades, round(final_value, 2) AS final_value, round(total_return, 4) AS total_return, round(annualized_return, 4) AS annualized_return, round(volatility, 4) AS volatility, round(max_drawdown, 4) AS max_drawdown, round(benchmark_return, 4) AS benchmark_return,
-round(total_return - benchmark_return, 4) AS excess_return, round((annualized_return - 2) / volatility, 5) AS sharpe_ratio, round(annualized_return / abs(max_drawdown), 5) AS calmar_ratio FROM an JOIN td USING (portfolio)"""
+SELECT portfolio, days, total_trades, {0} AS final_value, {1} AS total_return, round(annualized_return, 4) AS annualized_return, round(volatility, 4) AS volatility, round(max_drawdown, 4) AS max_drawdown, round(benchmark_return, 4) AS benchmark_return,
+{2} AS excess_return, round((annualized_return - 2) / volatility, 5) AS sharpe_ratio, round(annualized_return / abs(max_drawdown), 5) AS calmar_ratio FROM an JOIN td USING (portfolio)""".format(*map(significant_sql, ("final_value", "total_return", "(total_return - benchmark_return)")))
 
 
 @query("a41_backtest_report", REPORT)
@@ -233,7 +234,24 @@ def a41_backtest_report(spark: Spark, d: str) -> DataFrame:
     values = pf.backtest(prices, w, days, start="1995-07-01")
     trades_ = pf.backtest_trades(prices, w, days, values, start="1995-07-01")
     out = pf.backtest_report(values, 100_000.0, trades_, prices.where("ticker = 'Brand#11'"))
-    return rnd(rnd(rnd(out, "final_value", digits=2), "total_return", "annualized_return", "volatility", "max_drawdown", "benchmark_return", "excess_return", digits=4), "sharpe_ratio", "calmar_ratio", digits=5)
+    out = out.withColumns({c: significant(c) for c in ("final_value", "total_return", "excess_return")})
+    return rnd(rnd(out, "annualized_return", "volatility", "max_drawdown", "benchmark_return", digits=4), "sharpe_ratio", "calmar_ratio", digits=5)
+
+
+DEALS = REPORT[: REPORT.index("td AS (SELECT n.portfolio")] + """ds AS (SELECT n.portfolio, n.s AS date, n.ticker, n.p0 AS close, w * n.v0 - coalesce(w * o.v0 / o.p0 * n.p0, 0) AS amount FROM st n JOIN bk2 USING (portfolio, ticker) LEFT JOIN st o ON o.portfolio = n.portfolio AND o.ticker = n.ticker AND o.e = n.s),
+dl AS (SELECT *, amount > 0 AS buy, abs(amount) / close AS shares, close * CASE WHEN amount > 0 THEN 1.001 ELSE 0.999 END AS price FROM ds WHERE abs(amount) > 1)
+SELECT portfolio, date, ticker, CASE WHEN buy THEN 'BUY' ELSE 'SELL' END AS action, {0} AS shares, round(price, 6) AS price, 2.5::DOUBLE AS commission, {1} AS cash FROM dl""".format(*map(significant_sql, ("shares", "(CASE WHEN buy THEN -1 ELSE 1 END * shares * price - 2.5)")))
+
+
+@query("b9_transactions", DEALS)
+def b9_transactions(spark: Spark, d: str) -> DataFrame:
+    """Every trade of the families' backtest in equal weights, with a commission and a tenth of a percent of slippage."""
+    prices = b.bars(spark, d).where("date >= '1995-03-01'")
+    w = pf.equal_weights(members(spark, d)).select("portfolio", "ticker", "w")
+    days = ind.first_of_period(prices.select("date").distinct().where("date >= '1995-07-01'"), "quarter")
+    values = pf.backtest(prices, w, days, start="1995-07-01")
+    out = pf.transactions(pf.backtest_trades(prices, w, days, values, start="1995-07-01"), prices, days, 2.5, 0.001)
+    return rnd(out.withColumns({c: significant(c) for c in ("shares", "cash")}), "price")
 
 
 @query("p10_validation", """SELECT p_brand AS ticker, regexp_matches(p_brand, '^[A-Z]{1,8}$') AS plain, regexp_matches(upper(replace(p_brand, '#', '-')), '^[A-Z0-9.-]+$') AND length(p_brand) <= 10 AS extended, count(*) AS n FROM part GROUP BY 1""", base=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from tidemark.plans.calendar import MISSING
 from tidemark.plans.market import rnd
 from tidemark.session import ship
 from tidemark.sources import bars as b
-from tidemark.sources import trades_source
-from tidemark.sources.upkeep import PriceStore, shared_folder
+from tidemark.sources import tables, trades_source
+from tidemark.sources.upkeep import PriceStore, TtlCache, shared_folder
 
 Spark = SparkSession
 
@@ -143,3 +145,18 @@ def x6_circuit_breaker(spark: Spark, d: str) -> DataFrame:
     ship(spark)
     e = b.table(spark, d, "events").select("event_id", "event_type", "ts", "value")
     return breaker.calls(e, "event_type", "ts", F.col("value") >= 40, ["event_id"], 5, 3600.0).select("event_id", "event_type", "outcome")
+
+
+@query("s16_csv_export", """SELECT concat_ws(',', ticker, date, volume) AS line FROM bars""")
+def s16_csv_export(spark: Spark, d: str) -> DataFrame:
+    return tables.to_csv_lines(b.bars(spark, d).select("ticker", "date", "volume"))
+
+
+@query("s15_cache_info", "SELECT 'bars' AS name, count(*) AS rows, 600.0::DOUBLE AS age, true AS valid FROM bars UNION ALL SELECT 'dividends', count(*), 7200, false FROM dividends")
+def s15_cache_info(spark: Spark, d: str) -> DataFrame:
+    """Two frames put at different times, one of which is over its hour."""
+    now = dt.datetime(2024, 1, 1, 12)
+    cache = TtlCache(spark, shared_folder(spark), dt.timedelta(hours=1))
+    cache.put("dividends", b.dividends(spark, d), now - dt.timedelta(hours=2))
+    cache.put("bars", b.bars(spark, d), now - dt.timedelta(minutes=10))
+    return cache.info(now)

@@ -33,3 +33,14 @@ def write_partitioned(rows: DataFrame, path: str, by: str = "ticker") -> None:
 
 def to_json_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
+
+
+def to_csv_lines(rows: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
+    """A line of comma-separated values a row; values with commas, quotes or breaks are quoted."""
+    return rows.select(F.to_csv(F.struct(*rows.columns), options or {"quote": '"', "escape": '"'}).alias("line"))
+
+
+def to_records(rows: DataFrame, by: str) -> DataFrame:
+    """by, record: the other columns of a row as a map from name to text (null where it is null)."""
+    others = [c for c in rows.columns if c != by]
+    return rows.select(by, F.map_from_arrays(F.array(*map(F.lit, others)), F.array(*(F.col(c).cast("string") for c in others))).alias("record"))

@@ -6,6 +6,7 @@ made anew from the rows just written, the others' rows are carried over. The log
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
@@ -81,3 +82,42 @@ class PriceStore:
         kept = self.stats().where(~F.col("ticker").isin(names)) if self.batch else fresh.limit(0)
         kept.unionByName(fresh).coalesce(1).write.parquet(f"{self.folder}/stats/{self.batch + 1}")
         self.batch += 1
+
+
+class TtlCache:
+    """Frames stored by name below one folder, each good for a time from when it was put.
+
+    A version is a folder; what the driver keeps is a name, a time and a number of rows for each. The time is the caller's.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, ttl: dt.timedelta):
+        self.spark, self.folder, self.ttl = spark, folder, ttl
+        self._log: dict[str, tuple[str, dt.datetime, int]] = {}
+
+    def put(self, name: str, df: DataFrame, now: dt.datetime) -> None:
+        version = uuid.uuid4().hex
+        df.write.parquet(f"{self.folder}/{version}")
+        self.invalidate(name)
+        self._log[name] = version, now, self.spark.read.parquet(f"{self.folder}/{version}").count()
+
+    def get(self, name: str, now: dt.datetime) -> DataFrame | None:
+        """What was put under the name, or None if nothing was, or its time is over."""
+        found = self._log.get(name)
+        return None if found is None or now - found[1] > self.ttl else self.spark.read.parquet(f"{self.folder}/{found[0]}")
+
+    def invalidate(self, name: str) -> None:
+        """Forget a name, and remove its files."""
+        found = self._log.pop(name, None)
+        if found:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{found[0]}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self, now: dt.datetime | None = None) -> None:
+        """Forget all names, or only those whose time is over."""
+        for name in [n for n, (_, at, _) in self._log.items() if now is None or now - at > self.ttl]:
+            self.invalidate(name)
+
+    def info(self, now: dt.datetime) -> DataFrame:
+        """name, rows, age in seconds, valid."""
+        rows = [(n, k, (now - at).total_seconds(), now - at <= self.ttl) for n, (_, at, k) in self._log.items()]
+        return self.spark.createDataFrame(rows, "name string, rows long, age double, valid boolean")
