@@ -140,7 +140,8 @@ SELECT portfolio, date, CASE WHEN v0 * g > 0 THEN round(ln(v0 * g), 6) END AS lo
 
 @query("b9_backtest", BACKTEST)
 def b9_backtest(spark: Spark, d: str) -> DataFrame:
-    """Quarterly rebalanced families, 19% in each member; a family of many members borrows, and a value of 0 or less has no logarithm (null)."""
+    """Quarterly rebalanced families, 19% in each member; a family of many members borrows, and a value of 0 or less has no logarithm
+    (null). After a rebalance at less than 0 there are no values any more (NaN), as the logarithm of that loss in SQL is none."""
     prices = b.bars(spark, d).where("date >= '1995-03-01'")
     w = members(spark, d).select("portfolio", "ticker", F.lit(0.19).alias("w"))
     days = ind.first_of_period(prices.select("date").distinct().where("date >= '1995-07-01'"), "quarter")
