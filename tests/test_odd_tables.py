@@ -5,6 +5,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
@@ -39,3 +40,13 @@ def test_a_family_that_falls_below_nothing(spark, tmp_path):
     rows = same_as_sql(spark, tmp_path, "b9_backtest")
     after = [r.log_value for r in rows if r.portfolio == "Brand#1" and r.date >= dt.date(1995, 10, 2)]
     assert len(after) == 4 and all(v != v for v in after)
+
+
+def test_walks_without_a_unit_root(spark, tmp_path):
+    """Walks that go back to their mean each day, which a test tells as stationary; one has too few days for a test."""
+    rng, rows = np.random.default_rng(3), []
+    for priority, n in (("a", 400), ("b", 400), ("c", 5)):
+        moves = np.diff(np.concatenate([[0], rng.integers(0, 90, n)]))
+        rows += [(2 * i + int(m < 0), abs(int(m)), noon(1995, 1, 1) + dt.timedelta(days=i), priority) for i, m in enumerate(moves)]
+    pq.write_table(pa.table(dict(zip(["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"], zip(*rows)))), tmp_path / "orders.parquet")
+    assert {r.ticker: r.n for r in same_as_sql(spark, tmp_path, "m8_stationary")} == {"a": 399, "b": 399, "c": 4}

@@ -158,6 +158,11 @@ def unit_root(series: DataFrame, lags: int = LAGS) -> DataFrame:
     return out.withColumn("p_value", adf_pvalue(F.col("statistic")))
 
 
+def differences(series: DataFrame) -> DataFrame:
+    """ticker, date, y: what each row of series(ticker, date, y) adds to the one before; a ticker's first has none."""
+    return series.select("ticker", "date", (F.col("y") - F.lag("y").over(by_date())).alias("y")).where("y is not null")
+
+
 def stationary(series: DataFrame, tests: DataFrame, most: float = 0.05) -> DataFrame:
     """series(ticker, date, y), with differences in place of the values of tickers whose unit root is not rejected."""
     x = series.withColumn("_d", F.col("y") - F.lag("y").over(by_date())).join(tests.select("ticker", (F.col("p_value") > most).alias("_root")), "ticker", "left")
