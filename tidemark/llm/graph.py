@@ -15,24 +15,32 @@ from .common import forget, small, stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges(u, v): the smallest node of its component.
 
-    Each round a node takes the smallest label among its neighbours, and then its label's label, so that long paths
-    shrink by halves. Rounds end when no label changes; each is a table in the shared folder. Minima combine map-side.
-    Labels are broadcast while they are small; beyond that the join of a hub's edges is split as a skewed one at run time.
+    Each round a node takes the smallest of itself and its neighbours, and then what that one took, so that long paths shrink by
+    halves; edges are then those between what was taken, once each, so that a round meets only what the ones before have not
+    joined. Rounds end when no edge is left; each is a table in the shared folder. Minima combine map-side. What was taken is
+    broadcast while it is small; beyond that the join of a hub's edges is split as a skewed one at run time.
     """
-    both = stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "links")
-    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
-    n = labels.count()
+    links = stored(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    labels = None
     while True:
-        near = both.join(small(labels, n, 16), both.v == labels.node).groupBy("u").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        after = stored(step.join(small(up, n, 16), "label", "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")), "labels")
-        forget(labels)
-        if after.where("label <> old").isEmpty():
-            forget(both)
-            return after.select("node", "label")
-        labels = after.drop("old")
-        labels.stored_at = after.stored_at
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("low")), "lows")
+        n = low.count()
+        step = stored(low.join(small(low.select(F.col("node").alias("low"), F.col("low").alias("label")), n, 16), "low").select("node", "label"), "labels")
+        if labels is None:
+            after = step
+        else:
+            after = stored(labels.join(small(step.select(F.col("node").alias("label"), F.col("label").alias("top")), n, 16), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+        at = lambda c: small(step.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), n, 16)
+        met = links.join(at("u"), "u").join(at("v"), "v").where("_u <> _v")
+        left = stored(met.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct(), "links")
+        forget(low, links)
+        if labels is not None:
+            forget(labels, step)
+        if left.isEmpty():
+            forget(left)
+            return after
+        links, labels = left, after
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
