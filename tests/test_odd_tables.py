@@ -14,6 +14,7 @@ from test_queries import table
 from tidemark import catalog
 from tidemark.operators import portfolio
 from tidemark.session import ship
+from tidemark.sources import bars
 
 
 def same_as_sql(spark, folder, name):
@@ -68,3 +69,18 @@ def test_an_asset_has_one_mean(spark):
     for order in (["a", "b"], [mom.a.desc(), mom.b.desc()]):
         w = portfolio.optimized(mom.coalesce(1).sortWithinPartitions(*order), "max_sharpe")
         assert portfolio.optimality(mom, w, 0.02).first().excess < 1e-3
+
+
+def test_bars_of_ticks_with_ties_and_nulls(spark, sf):
+    """Two passes give the bars of one; the first, which sees all ticks, does not sort them."""
+    rng = np.random.default_rng(9)
+    pick = lambda *v: v[rng.integers(len(v))]
+    rows = [(pick("a", "b", None), pick(dt.date(1996, 1, 1), dt.date(1996, 1, 2), None), pick(1.0, 2.5, 7.0, None), 2.0, (pick(1, 2, 3, None), pick(1, 2, None), pick(5.0, 6.0))) for _ in range(120)]
+    rows.append(("null keys", None, 3.0, None, (None, None, 1.0)))
+    ticks = spark.createDataFrame(rows, "ticker string, date date, px double, qty double, key struct<o: long, n: int, p: double>")
+    for more in ([], ["qty"]):
+        order = ["ticker", "date", *more, "open", "high", "low", "close", "volume"]
+        one, two = (table(f(ticks, *more).collect(), order, order) for f in (bars.resample_daily, bars.resample_many))
+        assert len(one) >= 10 and one == two
+    plan = bars.fresh_bars(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert [line.lstrip(" :+-").split("(")[0] for line in plan.splitlines() if "partial_sum(qty" in line] == ["HashAggregate"]

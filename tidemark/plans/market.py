@@ -40,7 +40,7 @@ def a9_daily_bars(spark: Spark, d: str) -> DataFrame:
 @query("s1_range_scan", "SELECT ticker, date, close FROM bars WHERE ticker = 'Brand#11' AND date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
 def s1_range_scan(spark: Spark, d: str) -> DataFrame:
     """The filters on brand and date reach the scans of both tables."""
-    return b.fresh_bars(spark, d).where("ticker = 'Brand#11' and date between date'1996-01-01' and date'1997-12-31'").select("ticker", "date", "close")
+    return b.resample_daily(b.trades(spark, d)).where("ticker = 'Brand#11' and date between date'1996-01-01' and date'1997-12-31'").select("ticker", "date", "close")
 
 
 @query("p1_returns", "SELECT ticker, date, round(ret, 6) AS ret, round(ln(1 + ret), 6) AS log_ret FROM returns")
