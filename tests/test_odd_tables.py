@@ -7,6 +7,7 @@ import os
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 
@@ -14,7 +15,7 @@ from test_queries import table
 from tidemark import catalog
 from tidemark.operators import portfolio
 from tidemark.session import ship
-from tidemark.sources import bars
+from tidemark.sources import bars, trades_source
 
 
 def same_as_sql(spark, folder, name):
@@ -84,3 +85,24 @@ def test_bars_of_ticks_with_ties_and_nulls(spark, sf):
         assert len(one) >= 10 and one == two
     plan = bars.fresh_bars(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert [line.lstrip(" :+-").split("(")[0] for line in plan.splitlines() if "partial_sum(qty" in line] == ["HashAggregate"]
+
+
+def test_a_reader_holds_a_batch(tmp_path):
+    """A row group of two million trades: a ticker's reader takes its own ones, and memory for a batch only."""
+    n = 2_000_000
+    k = np.arange(n)
+    day = np.datetime64("1995-01-01T00:00:00", "us") + (k % 100).astype("timedelta64[D]")
+    lines = {"l_orderkey": k, "l_partkey": k % 4, "l_linenumber": (k % 7).astype(np.int32), "l_quantity": (k % 3).astype(float), "l_extendedprice": k * 1.5, "l_shipdate": day}
+    pq.write_table(pa.table(lines), tmp_path / "lineitem.parquet", row_group_size=n)
+    pq.write_table(pa.table({"p_partkey": [0, 1, 2, None], "p_brand": ["a", "b", "a", "a"]}), tmp_path / "part.parquet")
+    before, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        reader = trades_source.TradesReader(str(tmp_path))
+        reader.low = dt.date(1995, 2, 1)
+        got = [(b.num_rows, pc.sum(b.column("orderkey")).as_py()) for p in reader.partitions() if p.ticker == "a" for b in reader.read(p)]
+    finally:
+        pa.set_memory_pool(before)
+    want = k[np.isin(k % 4, (0, 2)) & (k % 3 > 0) & (k % 100 >= 31)]
+    assert (sum(x for x, _ in got), sum(x for _, x in got)) == (len(want), want.sum())
+    assert pool.max_memory() < 32 << 20
